@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from diffloom.functions.rules import SNAPSHOT_CONTEXT, TEXT_EXTENSIONS
 from diffloom.functions.text import extension, join_lines, split_lines
 from diffloom.operators.parse import finish_file_diffs, parse_patches
+from diffloom.storage import stored
 
 NO_FILE = "/dev/null"
 _TEXT_PROBE = 512
@@ -110,11 +111,16 @@ def changed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     An empty file on one side only is no change: it has no lines.
     """
-    status = snapshot_status(left, right).where("status <> 'equal'").select("path", "status", "binary")
-    pairs = status
+    # Stored, the changed paths have a known size: when they are few, Catalyst
+    # broadcasts them and no content of an equal file is shuffled.
+    changed = stored(
+        snapshot_status(left, right).where("status <> 'equal'").select("path", "status", "binary")
+    )
+    pairs = changed
     for side, table in (("left", left), ("right", right)):
         texts = table.select("path", _decoded(F.col("content")).alias(f"{side}_doc"))
-        pairs = pairs.join(texts, "path", "left")
+        wanted = texts.join(changed.select("path"), "path", "left_semi")
+        pairs = pairs.join(wanted, "path", "left")
     return pairs.select(
         "path",
         F.when(F.col("status") == "added", NO_FILE).otherwise(F.concat(F.lit("a/"), "path")).alias("old_path"),

@@ -8,10 +8,15 @@ an independent SQL engine derive the same lines without building a patch.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffloom.sources.patches import spread
+from diffloom.storage import shared_folder
+
 EXTENSIONS = ["py", "cpp", "js", "ts", "java", "cs", "c", "h", "sql", "md", "jsx", "sh"]
 FOLDERS = [
     "src/auth/", "lib/core/", "app/", "", "ui/widgets/", "services/", "src/", "config/",
@@ -138,7 +143,7 @@ NEW_PATH = "CASE WHEN (d + f) % 10 = 1 THEN '/dev/null' ELSE concat('b/', {path}
 
 def synthetic_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One patch per document: ``patch_id, content``."""
-    docs = parquet(spark, sf_dir, "documents").select(
+    docs = spread(parquet(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         F.col("doc_id").alias("d"), F.split("text", "[ \n]+", -1).alias("words")
     )
     sized = docs.selectExpr("d", "words", f"{FILE_LINES} AS fs", f"{HUNK_LINES} AS hs")
@@ -188,6 +193,70 @@ def synthetic_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of the documents, one file each.
+
+    By the last digit of the number: 0 moved to another folder, 3 and 4 got one
+    line more, 5 lost the first line, 6 has other line ends, 7 is binary.
+    """
+    docs = parquet(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 10)
+    name = F.concat(F.lit("d"), "doc_id", F.when(F.col("k") == 7, ".bin").otherwise(".txt"))
+    text = F.concat("text", F.lit("\n"))
+    content = F.when(F.col("k") == 7, F.concat(F.unhex(F.lit("FF00")), text.cast("binary")))
+    later = (
+        F.when(F.col("k").isin(3, 4), F.concat(text, F.lit("appended "), "doc_id", F.lit("\n")))
+        .when(F.col("k") == 5, F.regexp_replace(text, r"\A[^\n]*\n", ""))
+        .when(F.col("k") == 6, F.replace(text, F.lit("\n"), F.lit("\r\n")))
+        .otherwise(text)
+    )
+    folder = F.when(F.col("k") == 0, "moved/").otherwise("docs/")
+    left = docs.select(
+        F.concat(F.lit("docs/"), name).alias("path"),
+        F.coalesce(content, text.cast("binary")).alias("content"),
+    )
+    right = docs.select(
+        F.concat(folder, name).alias("path"),
+        F.coalesce(content, later.cast("binary")).alias("content"),
+    )
+    return left, right
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write the orders as XML compare reports and return their folder."""
+    orders = parquet(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    statuses = F.array(*map(F.lit, REPORT_STATUSES))
+    status = F.get(statuses, (key % len(REPORT_STATUSES)).cast("int"))
+    counts = (
+        F.when(key % 5 == 0, F.lit(""))
+        .when(key % 5 == 1, F.lit("n/a"))
+        .when(key % 5 == 2, F.lit("0"))
+        .otherwise(F.concat(F.lit(" "), F.col("o_custkey") % 1000))
+    )
+    item = F.concat(
+        F.lit('<item leftfile="src&amp;lib/o'), key, F.lit('.c"'),
+        F.when(status == "leftonly", F.lit("")).otherwise(
+            F.concat(F.lit(' rightfile="b/src&amp;lib/o'), key, F.lit('.c"'))
+        ),
+        F.lit(' status="'), status, F.lit('" leftlines="'), counts,
+        F.lit('" rightlines="'), F.when(key % 3 == 0, counts).otherwise(key.cast("string")), F.lit('"/>'),
+    )
+    folder = shared_folder(spark)
+    reports = spread(orders.select("o_orderkey", item.alias("value")), "o_orderkey").select("value")
+    reports.mapInPandas(_as_document, "value string").write.text(folder)
+    return folder
+
+
+def _as_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each partition becomes one file, so it gets one root element."""
+    yield pd.DataFrame({"value": ["<report><folder>"]})
+    yield from batches
+    yield pd.DataFrame({"value": ["</folder></report>"]})
+
+
+REPORT_STATUSES = ["identical", "Different", "leftonly", "rightonly", "binarydiffer", "error", "unknown"]
+
+
 def _rename(expression: str, name: str, to: str | None = None) -> str:
     """Qualify a bare name outside string literals with the lambda variable."""
     pieces = re.split(r"('(?:[^'\\]|\\.)*')", expression)

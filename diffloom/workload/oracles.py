@@ -722,3 +722,57 @@ SELECT patch_id, to_json({{'generated_at': '{_STAMP}', 'files': files, 'architec
   'token_estimate': {{'total_tokens': total_tokens}}}})::VARCHAR AS document,
        cost AS estimated_cost_usd
 FROM entries JOIN fact_lists USING (d) JOIN money USING (d)"""
+
+
+SNAPSHOT = """
+doc AS (
+  SELECT doc_id, doc_id % 10 AS k, 'd' || doc_id || CASE WHEN doc_id % 10 = 7 THEN '.bin' ELSE '.txt' END AS name,
+         string_split(text, chr(10)) AS ls
+  FROM documents),
+pair AS (
+  SELECT 'docs/' || name AS path, k, ls FROM doc
+  UNION ALL SELECT 'moved/' || name, 10, ls FROM doc WHERE k = 0)
+"""
+ORACLES["snapshot_statuses"] = f"""WITH {SNAPSHOT}
+SELECT path, CASE WHEN k = 10 THEN 'added' WHEN k = 0 THEN 'removed' WHEN k IN (3, 4, 5, 7) THEN 'changed'
+                  ELSE 'equal' END AS status, k = 7 AS binary, k = 7 AS bytes_equal
+FROM pair"""
+
+_COMPARED = """
+SELECT path, CASE WHEN k = 10 THEN '/dev/null' ELSE 'a/' || path END AS old_path,
+       CASE WHEN k = 0 THEN '/dev/null' ELSE 'b/' || path END AS new_path, k = 7 AS binary,
+       (k <> 7)::BIGINT AS n_hunks,
+       CASE WHEN k = 10 THEN len(list_filter(ls, lambda x: x NOT LIKE '++%')) WHEN k IN (3, 4) THEN 1 ELSE 0 END::BIGINT AS added,
+       CASE WHEN k = 0 THEN len(list_filter(ls, lambda x: x NOT LIKE '--%')) WHEN k = 5 THEN 1 ELSE 0 END::BIGINT AS deleted
+FROM pair WHERE k IN (0, 3, 4, 5, 7, 10)"""
+ORACLES["snapshot_lines"] = f"WITH {SNAPSHOT} {_COMPARED}"
+ORACLES["snapshot_exclude"] = f"WITH {SNAPSHOT} {_COMPARED} AND k NOT IN (7, 10)"
+
+ORACLES["file_pairs"] = f"""WITH {SNAPSHOT}
+SELECT CASE WHEN k = 0 THEN 'moved/' ELSE 'docs/' END || name AS path, 'a/docs/' || name AS old_path,
+       'b/' || CASE WHEN k = 0 THEN 'moved/' ELSE 'docs/' END || name AS new_path, k = 7 AS binary,
+       (k IN (3, 4, 5))::BIGINT AS n_hunks, (k IN (3, 4))::BIGINT AS added, (k = 5)::BIGINT AS deleted
+FROM doc"""
+
+REPORT = """
+item AS (
+  SELECT o_orderkey AS key, o_orderkey % 7 AS status,
+    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE o_custkey % 1000 END AS old_lines
+  FROM orders),
+both_sides AS (
+  SELECT *, CASE WHEN key % 3 = 0 THEN old_lines ELSE key END AS new_lines FROM item WHERE status NOT IN (0, 6)),
+entry AS (
+  SELECT 'src&lib/o' || key || '.c' AS old_path,
+    CASE WHEN status = 2 THEN '' ELSE 'b/src&lib/o' || key || '.c' END AS new_path,
+    CASE WHEN status = 2 THEN '' ELSE 'src&lib/o' || key || '.c' END AS path, status = 4 AS binary,
+    (old_lines IS NOT NULL OR new_lines IS NOT NULL)::BIGINT AS n_hunks,
+    concat_ws(chr(10), CASE WHEN new_lines <> 0 THEN '+[' || new_lines || ' lines in new file]' END,
+              CASE WHEN old_lines <> 0 THEN '-[' || old_lines || ' lines in old file]' END) AS body,
+    coalesce((new_lines <> 0)::BIGINT, 0) AS added, coalesce((old_lines <> 0)::BIGINT, 0) AS deleted
+  FROM both_sides)
+"""
+ORACLES["xml_report"] = f"WITH {REPORT} SELECT * FROM entry"
+ORACLES["xml_report_changed"] = f"""WITH {REPORT}
+SELECT count(*) FILTER (NOT "binary") AS changed_files, count(*) FILTER ("binary") AS binary_files,
+       sum(added)::BIGINT AS lines_added, sum(deleted)::BIGINT AS lines_deleted
+FROM entry WHERE n_hunks > 0 OR "binary" """

@@ -37,8 +37,15 @@ from diffloom.operators.statistics import (
 )
 from diffloom.operators.symbols import symbol_table
 from diffloom.plans import reports
+from diffloom.sources.compare_report import load_report
 from diffloom.sources.patches import spread
-from diffloom.workload.fixtures import parquet, synthetic_patches
+from diffloom.sources.snapshots import compare_file_pairs, compare_snapshots, snapshot_status
+from diffloom.workload.fixtures import (
+    document_snapshots,
+    parquet,
+    report_files,
+    synthetic_patches,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = reports.ReviewOptions(source="documents", generated_at="2024-05-01 00:00:00")
@@ -52,7 +59,7 @@ def query(run: Query) -> Query:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_patches(spread(synthetic_patches(spark, sf_dir)))
+    return parse_patches(synthetic_patches(spark, sf_dir))
 
 
 def _plain(table: DataFrame) -> DataFrame:
@@ -260,7 +267,7 @@ QUERIES["redact_api_safe_comments"] = _redacted(redaction.API_SAFE_COMMENTS)
 
 def _redacted_lines(table: str, key: str, text: str, mode: str) -> Query:
     def run(spark, sf_dir):
-        rows = parquet(spark, sf_dir, table).select(
+        rows = spread(parquet(spark, sf_dir, table).select(key, text), key).select(
             key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
         )
         path = F.concat(F.lit(f"{table}/"), F.col(key))
@@ -370,3 +377,45 @@ def review_json(spark, sf_dir):
 @query
 def token_summary(spark, sf_dir):
     return _plain(reports.token_summaries(_rows(spark, sf_dir)))
+
+
+@query
+def snapshot_statuses(spark, sf_dir):
+    return snapshot_status(*document_snapshots(spark, sf_dir))
+
+
+_COMPARED = ["path", "old_path", "new_path", "binary", "n_hunks", "added", "deleted"]
+
+
+@query
+def snapshot_lines(spark, sf_dir):
+    files = compare_snapshots(*document_snapshots(spark, sf_dir))
+    return _plain(files.select(*_COMPARED))
+
+
+@query
+def snapshot_exclude(spark, sf_dir):
+    files = compare_snapshots(*document_snapshots(spark, sf_dir), exclude=["moved/*", "*.bin"])
+    return _plain(files.select(*_COMPARED))
+
+
+@query
+def file_pairs(spark, sf_dir):
+    left, right = document_snapshots(spark, sf_dir)
+    name = F.substring_index("path", "/", -1)
+    old = left.select(name.alias("name"), F.col("path").alias("left_path"), F.col("content").alias("left"))
+    new = right.select(name.alias("name"), F.col("path").alias("right_path"), F.col("content").alias("right"))
+    return _plain(compare_file_pairs(old.join(new, "name")).select(*_COMPARED))
+
+
+@query
+def xml_report(spark, sf_dir):
+    files = load_report(spark, report_files(spark, sf_dir))
+    return _plain(files.select("old_path", "new_path", "path", "binary", "n_hunks", "body", "added", "deleted"))
+
+
+@query
+def xml_report_changed(spark, sf_dir):
+    return _plain(patch_totals(load_report(spark, report_files(spark, sf_dir))).groupBy().agg(
+        *[F.sum(c).alias(c) for c in ("changed_files", "binary_files", "lines_added", "lines_deleted")]
+    ))
