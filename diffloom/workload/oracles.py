@@ -776,3 +776,125 @@ ORACLES["xml_report_changed"] = f"""WITH {REPORT}
 SELECT count(*) FILTER (NOT "binary") AS changed_files, count(*) FILTER ("binary") AS binary_files,
        sum(added)::BIGINT AS lines_added, sum(deleted)::BIGINT AS lines_deleted
 FROM entry WHERE n_hunks > 0 OR "binary" """
+
+
+_LINE_COMMENT = quote("(?://|#).*")
+_BLOCK_COMMENT = quote("(?s)/\\*.*?\\*/|'''.*?'''|\"\"\".*?\"\"\"")
+_STRING = quote("\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'")
+_KEPT_WORDS = ", ".join(map(quote, rules.KEPT_WORDS))
+_KEPT_NAMES = ", ".join(map(quote, dict.fromkeys(rules.KEPT_WORDS + rules.KEPT_TYPES)))
+_PREFIXES = quote("^(" + "|".join(rules.PUBLIC_PREFIXES) + ").")
+
+
+def _rewritten(source: str, mode: str) -> str:
+    """CTE ``redacted`` (columns of ``source`` and text) for its columns path and line.
+
+    RE2 has no lookbehind, so numbers and names are found by cutting a line into
+    runs of word characters and judging each run with its neighbours.
+    """
+    comments = mode == "api-safe-comments"
+    keep = f"t IN ({_KEPT_WORDS})"
+    if mode.startswith("api-safe"):
+        keep = (
+            f"t IN ({_KEPT_NAMES}) OR regexp_full_match(t, '[A-Z][a-z]+(?:[A-Z][a-z]+)*') "
+            f"OR (regexp_full_match(t, '[A-Z_][A-Z0-9_]*') AND contains(t, '_')) OR regexp_matches(t, {_PREFIXES})"
+        )
+    single = f"regexp_extract(body, {_LINE_COMMENT})" if comments else "''"
+    code = f"regexp_replace(body, {_LINE_COMMENT}, '____COMMENT_0____')" if comments else "body"
+    blocks = f"regexp_extract_all(code, {_BLOCK_COMMENT})" if comments else "[]::VARCHAR[]"
+    pieces = f"string_split_regex(code, {_BLOCK_COMMENT})" if comments else "[code]"
+    return f"""
+r0 AS (SELECT *, regexp_extract(line, '^[+\\- ]?\\s*') AS head FROM {source}),
+r1 AS (SELECT *, substr(line, length(head) + 1) AS body FROM r0),
+r2 AS (SELECT *, {single} AS line_comment, {code} AS code FROM r1),
+r3 AS (
+  SELECT *, list_filter([line_comment], lambda c: c <> '') || {blocks} AS comments,
+    array_to_string(list_transform({pieces}, lambda x, i: CASE WHEN i = 1 THEN x ELSE
+      '____COMMENT_' || (i - 2 + (line_comment <> '')::INT) || '____' || x END), '') AS b3
+  FROM r2),
+r4 AS (
+  SELECT *, array_to_string(list_transform(string_split_regex(b3, {_STRING}), lambda x, i:
+      CASE WHEN i = 1 THEN x ELSE '____STR_' || (i - 1) || '____' || x END), '') AS b4
+  FROM r3),
+r5 AS (
+  SELECT *, regexp_extract_all(b4, '[\\p{{L}}\\p{{N}}_.]+|-|[^\\p{{L}}\\p{{N}}_.\\-]+') AS runs FROM r4),
+r6 AS (
+  SELECT *, list_transform(runs, lambda t: regexp_extract(t,
+      '^(\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?(?:[eE]\\p{{Nd}}+)?[fFlLuU]?)(?:$|\\.)', 1)) AS nums,
+    list_transform(runs, lambda t, i: t = '-' AND
+      (i = 1 OR NOT regexp_matches(runs[i - 1], '[\\p{{L}}\\p{{N}}_.]$'))) AS signs
+  FROM r5),
+r7 AS (
+  SELECT *, array_to_string(list_transform(runs, lambda t, i:
+    CASE WHEN signs[i] AND coalesce(nums[i + 1], '') NOT IN ('', '1') THEN ''
+         WHEN nums[i] <> '' AND NOT (CASE WHEN i > 1 AND signs[i - 1] THEN '-' || nums[i] ELSE nums[i] END
+              IN ('0', '1', '-1')) THEN '____NUM_0____' || substr(t, length(nums[i]) + 1)
+         ELSE t END), '') AS b7
+  FROM r6),
+r8 AS (
+  SELECT *, array_to_string(list_transform(
+    regexp_extract_all(b7, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda t:
+    CASE WHEN NOT regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_]*') THEN t
+         WHEN (t LIKE '\\_\\_\\_\\_%' ESCAPE '\\' AND t LIKE '%\\_\\_\\_\\_' ESCAPE '\\') OR {keep} THEN t
+         ELSE 'sym_' || sha256(path || '::' || t)[1:6] END), '') AS b8
+  FROM r7),
+r9 AS (
+  SELECT *, regexp_replace(regexp_replace(b8, '____STR_\\p{{Nd}}+____', '"<str>"', 'g'),
+                           '____NUM_\\p{{Nd}}+____', '<n>', 'g') AS b9 FROM r8),
+redacted AS MATERIALIZED (
+  SELECT *, head || list_reduce([b9] || list_transform(comments, lambda c, i: (i - 1) || ':' || c),
+    lambda a, x: replace(a, '____COMMENT_' || split_part(x, ':', 1) || '____', substr(x, strpos(x, ':') + 1))) AS text
+  FROM r9)
+"""
+
+
+def _redaction(mode: str) -> str:
+    comment_list = (
+        f"list_filter([regexp_extract(line, {_LINE_COMMENT}), regexp_extract(line, {_BLOCK_COMMENT})], "
+        "lambda c: c <> '')"
+        if mode == "api-safe-comments"
+        else "[]::VARCHAR[]"
+    )
+    return with_ctes(NOISE) + f""",
+kept_numbered AS (
+  SELECT d, f, h, row_number() OVER (PARTITION BY d, f ORDER BY h) AS hunk_seq FROM kept),
+masked AS MATERIALIZED (
+  SELECT d, f, h, line_no, line, patch_id, file_seq, path, hunk_seq,
+    line_no = 0 OR max((kind IN ('add', 'del'))::INT) OVER (PARTITION BY d, f, h, line_no = 0 ORDER BY line_no
+      ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS keep
+  FROM lines JOIN kept_numbered USING (d, f, h) JOIN file USING (d, f) WHERE NOT is_binary),
+shown_lines AS (SELECT * FROM masked WHERE keep AND line_no > 0),
+{_rewritten('shown_lines', mode)},
+islands AS (
+  SELECT *, line_no - row_number() OVER (PARTITION BY d, f, h ORDER BY line_no) AS island,
+         {comment_list} AS found
+  FROM masked WHERE NOT keep),
+markers AS (
+  SELECT patch_id, file_seq, hunk_seq, min(line_no) AS line_no,
+    array_to_string(['··· [' || count(*) || ' line(s) redacted] ···'] ||
+                    flatten(list(found ORDER BY line_no)), '  ') AS text
+  FROM islands GROUP BY patch_id, file_seq, hunk_seq, island),
+result AS (
+  SELECT patch_id, file_seq, hunk_seq, line_no, text FROM redacted
+  UNION ALL SELECT patch_id, file_seq, hunk_seq, line_no, line FROM masked WHERE line_no = 0
+  UNION ALL SELECT * FROM markers)
+SELECT patch_id, file_seq, hunk_seq,
+       row_number() OVER (PARTITION BY patch_id, file_seq, hunk_seq ORDER BY line_no) - 1 AS ord, text
+FROM result"""
+
+
+ORACLES["redact_full"] = _redaction("full")
+ORACLES["redact_api_safe"] = _redaction("api-safe")
+ORACLES["redact_api_safe_comments"] = _redaction("api-safe-comments")
+
+
+def _table_redaction(table: str, key: str, text: str, mode: str) -> str:
+    return f"""WITH source_lines AS (
+  SELECT {key}, '{table}/' || {key} AS path, unnest(string_split({text}, chr(10))) AS line,
+         unnest(range(len(string_split({text}, chr(10))))) AS line_no FROM {table}),
+{_rewritten('source_lines', mode)}
+SELECT {key}, line_no, text AS redacted FROM redacted"""
+
+
+ORACLES["redact_documents"] = _table_redaction("documents", "doc_id", "text", "full")
+ORACLES["redact_pages"] = _table_redaction("pages", "page_id", "html", "api-safe-comments")
