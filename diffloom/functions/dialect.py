@@ -51,3 +51,30 @@ def java_regex(pattern: str, flags: str = "") -> str:
             tok = _boundary(before, after)
         out.append(tok)
     return f"(?d{'iu' if 'i' in flags else ''}{flags.replace('i', '')}){''.join(out)}"
+
+
+def required_words(pattern: str) -> list[str] | None:
+    """One literal for each top-level alternative that every match must contain.
+
+    Looking for literals is much cheaper than running a regular expression, and
+    most texts contain none of them.  None means that a literal is not evident.
+    """
+    words, depth, plain = [], 0, [""]
+    for tok in re.findall(r"\\.|\[\^?[^\]]*\]|.", pattern, re.S):
+        if tok == "(":
+            depth += 1
+        elif tok == ")":
+            depth -= 1
+        elif tok == "|" and depth == 0:
+            words.append(plain)
+            plain = [""]
+            continue
+        elif depth == 0 and tok in "?*{":
+            # The character before a quantifier that allows zero may be absent.
+            plain[-1] = plain[-1][:-1]
+        elif depth == 0 and re.fullmatch(r"[A-Za-z_@:]", tok):
+            plain[-1] += tok
+            continue
+        plain.append("")
+    longest = [max(runs, key=len) for runs in [*words, plain]]
+    return longest if all(longest) else None

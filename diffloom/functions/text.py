@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.functions.dialect import SPACE
+from diffloom.functions.dialect import SPACE, java_regex, required_words
 
 # A line is changed when its marker is + or -, unless the marker is tripled.
 ADD_MARK = r"\+(?!\+\+)"
@@ -20,6 +23,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(table: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    Catalyst pushes a filter below a projection and repeats the expressions it
+    refers to.  A generator that yields one row stops that, which pays off for
+    columns that cut or filter whole texts.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return table.select("*", F.inline_outer(F.array(row)))
+
+
+def may_match(text: Column, pattern: str, flags: str = "") -> Column:
+    """False only where ``pattern`` cannot match, judged by plain literals."""
+    words = required_words(pattern)
+    if words is None:
+        return F.lit(True)
+    if "i" in flags:
+        # Same folding as case-insensitive matching: long s is an s.
+        text, words = F.lower(F.upper(text)), [w.lower() for w in words]
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in dict.fromkeys(words)])
+
+
+def matches(text: Column, pattern: str, flags: str = "") -> Column:
+    return may_match(text, pattern, flags) & text.rlike(java_regex(pattern, flags))
+
+
+def find_all(text: Column, pattern: str, flags: str = "", group: int = 0) -> Column:
+    """All matches of a rule, an empty array where it cannot match."""
+    found = F.regexp_extract_all(text, F.lit(java_regex(pattern, flags)), F.lit(group))
+    none = F.array().cast("array<string>")
+    return F.when(may_match(text, pattern, flags), found).otherwise(none)
+
+
 def unify_newlines(text: Column) -> Column:
     """Turn every line separator known to ``str.splitlines`` into LF."""
     lone = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"

@@ -9,6 +9,8 @@ only distinct nodes travel, never source text.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from diffloom.functions.rules import (
     NON_SOURCE_SHARE,
     NON_SOURCE_SUFFIXES,
 )
-from diffloom.functions.text import let, strip
+from diffloom.functions.text import computed, let, matches, strip
 from diffloom.operators.parse import changed_only, post_image
 
 IF_ELSE, SWITCH_CASE, LOOP = "if_else", "switch_case", "loop"
@@ -38,16 +40,37 @@ def likely_source(path: Column) -> Column:
 
 
 def non_source_line(line: Column) -> Column:
-    return line.rlike("|".join(java_regex(p) for p in NON_SOURCE_LINES))
+    """Linker or build-report output.  Rules tied to the line start run as one pattern."""
+    anchored = [p.removeprefix("^") for p in NON_SOURCE_LINES if p.startswith("^")]
+    at_start = line.rlike(java_regex(rf"\A(?:{'|'.join(anchored)})"))
+    inside = [matches(line, p) for p in NON_SOURCE_LINES if not p.startswith("^")]
+    return reduce(or_, inside, at_start)
 
 
-def looks_like_source(lines: Column) -> Column:
-    """Less than 34 % of the non-blank lines are build output; none is no source."""
+def source_lines(code: Column) -> Column:
+    """Numbered lines that can hold control flow, null if the text is no source.
+
+    A text with 34 % or more build output among its non-blank lines is no source;
+    neither is a blank one.  Blank, comment and build-output lines are left out.
+    """
+    lines = F.transform(
+        F.split(code, "\n", -1),
+        lambda raw, i: F.struct((i + 1).alias("number"), strip(raw).alias("line")),
+    )
+    judged = F.transform(
+        F.filter(lines, lambda x: x["line"] != ""),
+        lambda x: x.withField("noise", non_source_line(x["line"])),
+    )
+
     def judge(kept: Column) -> Column:
-        noise = F.size(F.filter(kept, non_source_line))
-        return (F.size(kept) > 0) & (noise / F.size(kept) < F.lit(NON_SOURCE_SHARE))
+        noise = F.size(F.filter(kept, lambda x: x["noise"]))
+        usable = F.filter(
+            kept, lambda x: ~(x["noise"] | x["line"].startswith("#") | x["line"].startswith("//"))
+        )
+        is_source = (F.size(kept) > 0) & (noise / F.size(kept) < F.lit(NON_SOURCE_SHARE))
+        return F.when(is_source, usable)
 
-    return let(F.filter(lines, lambda line: line.rlike(rf"[^{SPACE}]")), judge)
+    return let(judged, judge)
 
 
 def _node(flow_type: str, name: Column, condition: Column | None = None) -> Column:
@@ -73,15 +96,21 @@ def _wrapped(word: str, inner: Column, cut: bool) -> Column:
     return F.concat(F.lit(word + " ("), inner, F.lit(")"))
 
 
+def _at_start(line: Column, pattern: str) -> Column:
+    """Match of a rule ``^word...``, tried only on lines that start with the word."""
+    word = re.match(r"\^([a-z]+)", pattern).group(1)
+    return line.startswith(word) & line.rlike(java_regex(pattern))
+
+
 def _clause(line: Column, word: str, pattern: str, flow_type: str, cut: bool) -> tuple:
     """Condition and node of ``word (...)``; empty parentheses give no node."""
     inner = _inside(line, pattern)
     node = F.when(inner != "", _node(flow_type, _wrapped(word, inner, cut), inner))
-    return line.rlike(java_regex(pattern)), node.otherwise(_nothing())
+    return _at_start(line, pattern), node.otherwise(_nothing())
 
 
 def _fixed(line: Column, word: str, pattern: str, flow_type: str) -> tuple:
-    return line.rlike(java_regex(pattern)), _node(flow_type, F.lit(word))
+    return _at_start(line, pattern), _node(flow_type, F.lit(word))
 
 
 def _first(*rules: tuple) -> Column:
@@ -105,7 +134,7 @@ def _switch_case(line: Column) -> Column:
     case_node = F.when(value != "", _node(SWITCH_CASE, F.concat(F.lit("case "), value)))
     return _first(
         _clause(line, "switch", r"^switch\s*\((.*?)\)", SWITCH_CASE, False),
-        (line.rlike(java_regex(case)), case_node.otherwise(_nothing())),
+        (_at_start(line, case), case_node.otherwise(_nothing())),
         _fixed(line, "default", r"^default\s*:", SWITCH_CASE),
     )
 
@@ -124,7 +153,7 @@ def _try_catch(line: Column) -> Column:
     name = F.when(what != "", _wrapped("catch", what, False)).otherwise(F.lit("catch"))
     return _first(
         _fixed(line, "try", r"^try\s*[{:]?\s*$", TRY_CATCH),
-        (line.rlike(java_regex(catch)), _node(TRY_CATCH, name, what)),
+        (_at_start(line, catch), _node(TRY_CATCH, name, what)),
         _fixed(line, "finally", r"^finally\s*[{:]?\s*$", TRY_CATCH),
     )
 
@@ -135,11 +164,11 @@ def _event_or_call(line: Column) -> Column:
     for pattern, action in EVENT_PATTERNS:
         event = F.regexp_extract(line, java_regex(pattern), 1)
         node = _node(EVENT, F.concat(F.lit(f"{action}: "), event), event)
-        rules.append((line.rlike(java_regex(pattern)), node))
+        rules.append((matches(line, pattern), node))
     callee = F.regexp_extract(line, rf"(?<![{WORD}])([A-Za-z_][A-Za-z0-9_]{{2,}})[{SPACE}]*\(", 1)
     ignored = F.lower(callee).isin(*CONTROL_WORDS) | callee.rlike(r"\A[A-Z][A-Z0-9]*\z")
     call = _node(CALL, F.concat(F.lit("Call: "), callee, F.lit("()")))
-    return _first(*rules, ((callee != "") & ~ignored, call))
+    return _first(*rules, (line.contains("(") & (callee != "") & ~ignored, call))
 
 
 def flow_nodes(documents: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,22 +176,17 @@ def flow_nodes(documents: DataFrame, keys: list[str]) -> DataFrame:
 
     ``documents`` has the key columns and ``code``.
     """
-    lined = documents.select(*keys, F.split("code", "\n", -1).alias("lines")).where(
-        looks_like_source(F.col("lines"))
-    )
-    lines = lined.select(*keys, F.posexplode_outer("lines").alias("pos", "raw")).select(
-        *keys, (F.col("pos") + 1).alias("line_number"), strip(F.col("raw")).alias("line")
-    )
+    lines = documents.select(
+        *keys, F.inline_outer(source_lines(F.col("code"))).alias("line_number", "line", "noise")
+    ).where("line is not null")
     line = F.col("line")
-    skipped = (line == "") | line.startswith("#") | line.startswith("//") | non_source_line(line)
-    detected = lines.where(~skipped).select(
-        *keys,
-        "line_number",
-        _if_else(line).alias("n1"),
-        _switch_case(line).alias("n2"),
-        _loop(line).alias("n3"),
-        _try_catch(line).alias("n4"),
-        _event_or_call(line).alias("n5"),
+    detected = computed(
+        lines.select(*keys, "line_number", "line"),
+        n1=_if_else(line),
+        n2=_switch_case(line),
+        n3=_loop(line),
+        n4=_try_catch(line),
+        n5=_event_or_call(line),
     )
     nodes = detected.select(
         *keys, "line_number", F.posexplode(F.array("n1", "n2", "n3", "n4", "n5")).alias("slot", "node")

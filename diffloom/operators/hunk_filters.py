@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from diffloom.functions.dialect import BLANK
 from diffloom.functions.rules import COMMENT_STARTS, COMMENT_STARTS_OTHER
-from diffloom.functions.text import ADD_MARK, CHANGED_MARK, DEL_MARK, count_matches
+from diffloom.functions.text import ADD_MARK, CHANGED_MARK, DEL_MARK, computed, count_matches
 
 
 def whitespace_only(hunk: Column) -> Column:
@@ -68,4 +68,4 @@ def with_meaningful(
 ) -> DataFrame:
     """File table with the array ``kept_hunks`` and its size ``n_kept``."""
     kept = meaningful(F.col("hunks"), F.col("extension"), skip_whitespace, skip_comments)
-    return files.withColumn("kept_hunks", kept).withColumn("n_kept", F.size("kept_hunks"))
+    return computed(files, kept_hunks=kept).withColumn("n_kept", F.size("kept_hunks"))

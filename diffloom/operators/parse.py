@@ -16,6 +16,7 @@ from diffloom.functions.text import (
     CHANGED_MARK,
     DEL_MARK,
     canonical_path,
+    computed,
     count_matches,
     extension,
     join_lines,
@@ -46,18 +47,15 @@ def parse_patches(patches: DataFrame) -> DataFrame:
         "patch_id", F.posexplode_outer(F.split(text, _CUT_FILES, -1)).alias("file_seq", "segment")
     ).where("file_seq > 0")
     seg = F.col("segment")
-    paths = segments.select(
-        "patch_id",
-        "file_seq",
-        F.regexp_extract(seg, r"\A--- ([^\t\n]*)", 1).alias("old_path"),
-        F.coalesce(
-            F.try_element_at(F.regexp_extract_all(seg, F.lit(_NEW_PATH_LINE), F.lit(1)), F.lit(-1)),
-            F.lit(""),
-        ).alias("new_path"),
-        seg.rlike(_BINARY_LINE).alias("binary"),
-        _hunk_texts(F.regexp_replace(seg, _CONSUMED, "")).alias("hunks"),
+    new_paths = F.regexp_extract_all(seg, F.lit(_NEW_PATH_LINE), F.lit(1))
+    entries = computed(
+        segments,
+        old_path=F.regexp_extract(seg, r"\A--- ([^\t\n]*)", 1),
+        new_path=F.coalesce(F.try_element_at(new_paths, F.lit(-1)), F.lit("")),
+        binary=seg.rlike(_BINARY_LINE),
+        hunks=_hunk_texts(F.regexp_replace(seg, _CONSUMED, "")),
     )
-    return finish_file_diffs(paths)
+    return finish_file_diffs(entries)
 
 
 def finish_file_diffs(entries: DataFrame) -> DataFrame:

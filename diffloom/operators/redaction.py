@@ -29,7 +29,11 @@ _NUMBER = (
     rf"(?<![{WORD}.])-?\p{{Nd}}+(?:\.\p{{Nd}}+)?(?:[eE][+-]?\p{{Nd}}+)?[fFlLuU]?"
     rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 )
-_NAME = rf"(?<![{WORD}])[A-Za-z_][A-Za-z0-9_]*+(?![{WORD}])"
+# A number (group 1), or what lies between the places where one can start.
+_NUMBER_TOKENS = rf"({_NUMBER})|[^\p{{Nd}}-]+|\p{{Nd}}+|-"
+_NAME_TOKENS = rf"[{WORD}]+|[^{WORD}]+"
+_NAME = r"\A[A-Za-z_][A-Za-z0-9_]*\z"
+_CUT = "\uffff"
 _LINE_COMMENT = r"(?d)(?://|#).*"
 _BLOCK_COMMENT = r"(?s)/\*.*?\*/|'''.*?'''|\"\"\".*?\"\"\""
 _PUBLIC_NAME = (
@@ -58,24 +62,17 @@ def _kept_name(token: Column, mode: str) -> Column:
     return token.isin(*KEPT_WORDS) | sentinel
 
 
-def _rewrite(text: Column, pattern: str, replace) -> Column:
-    """Replace each match by ``replace(match)``."""
-
-    def build(t: Column) -> Column:
-        matches = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), replace)
-        pieces = F.split(t, pattern, -1)
-        return F.array_join(
-            F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""
-        )
-
-    return let(text, build)
-
-
 def _number_matches(text: Column, pattern: str, label: str, first: Column) -> Column:
-    """Replace the k-th match by ``____<label>_<first + k>____``."""
+    """Replace the k-th match by ``____<label>_<first + k>____``.
+
+    Splitting at a single character needs no regular expression to be compiled
+    per row; a text that already holds that character is split at the pattern.
+    """
+    cut = F.split(F.regexp_replace(text, pattern, _CUT), _CUT, -1)
+    pieces = F.when(F.contains(text, F.lit(_CUT)), F.split(text, pattern, -1)).otherwise(cut)
     return F.array_join(
         F.transform(
-            F.split(text, pattern, -1),
+            pieces,
             lambda piece, i: F.when(i == 0, piece).otherwise(
                 F.concat(F.lit(f"____{label}_"), (first + i - 1).cast("string"), F.lit("____"), piece)
             ),
@@ -86,19 +83,39 @@ def _number_matches(text: Column, pattern: str, label: str, first: Column) -> Co
 
 def _hide(body: Column, path: Column, mode: str) -> Column:
     """Strings, then numbers, then names; sentinels take their final form last."""
-    no_strings = _number_matches(body, _STRING, "STR", F.lit(1))
-    no_numbers = _rewrite(
-        no_strings,
-        _NUMBER,
-        lambda m: F.when(m.isin(*_KEPT_NUMBERS), m).otherwise(F.lit("____NUM_0____")),
-    )
-    no_names = _rewrite(
-        no_numbers,
-        _NAME,
-        lambda m: F.when(_kept_name(m, mode), m).otherwise(placeholder(m, path)),
-    )
-    marked = F.regexp_replace(no_names, r"____STR_\p{Nd}+____", '"<str>"')
-    return F.regexp_replace(marked, r"____NUM_\p{Nd}+____", "<n>")
+    quoted = body.contains('"') | body.contains("'")
+    no_strings = F.when(quoted, _number_matches(body, _STRING, "STR", F.lit(1))).otherwise(body)
+
+    def hide_numbers(t: Column) -> Column:
+        tokens, numbers = (
+            F.regexp_extract_all(t, F.lit(_NUMBER_TOKENS), F.lit(group)) for group in (0, 1)
+        )
+        hidden = F.zip_with(
+            tokens,
+            numbers,
+            lambda token, number: F.when(
+                (number == "") | number.isin(*_KEPT_NUMBERS), token
+            ).otherwise(F.lit("____NUM_0____")),
+        )
+        return F.when(t.rlike(r"\p{Nd}"), F.array_join(hidden, "")).otherwise(t)
+
+    def hide_names(t: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.regexp_extract_all(t, F.lit(_NAME_TOKENS), F.lit(0)),
+                lambda token: F.when(
+                    token.rlike(_NAME) & ~_kept_name(token, mode), placeholder(token, path)
+                ).otherwise(token),
+            ),
+            "",
+        )
+
+    def restore(t: Column) -> Column:
+        marked = F.regexp_replace(t, r"____STR_\p{Nd}+____", '"<str>"')
+        final = F.regexp_replace(marked, r"____NUM_\p{Nd}+____", "<n>")
+        return F.when(t.contains("____"), final).otherwise(t)
+
+    return let(hide_names(let(no_strings, hide_numbers)), restore)
 
 
 def _hide_but_comments(body: Column, path: Column, mode: str) -> Column:

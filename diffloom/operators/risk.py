@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diffloom.functions.dialect import java_regex
 from diffloom.functions.rules import (
     DANGEROUS_CONTENT,
     ELEVATED_PATHS,
@@ -14,17 +13,17 @@ from diffloom.functions.rules import (
     RISK_ICONS,
     SENSITIVE_EXTENSIONS,
 )
-from diffloom.functions.text import first_match
+from diffloom.functions.text import first_match, matches
 from diffloom.operators.parse import changed_only, changed_text
 
 
 def first_path_rule(path: Column, patterns: list[str]) -> Column:
     lowered = F.lower(path)
-    return first_match([(p, lowered.rlike(java_regex(p, "i"))) for p in patterns])
+    return first_match([(p, matches(lowered, p, "i")) for p in patterns])
 
 
 def first_content_rule(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    return first_match([(p, text.rlike(java_regex(p, flags))) for p, flags in patterns])
+    return first_match([(p, matches(text, p, flags)) for p, flags in patterns])
 
 
 def with_risk(files: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def with_risk(files: DataFrame) -> DataFrame:
 
 
 def _hits(text: Column) -> Column:
-    hits = [text.rlike(java_regex(p, flags)).cast("int") for p, flags in NOTABLE_CONTENT]
+    hits = [matches(text, p, flags).cast("int") for p, flags in NOTABLE_CONTENT]
     return sum(hits[1:], hits[0])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from diffloom.functions.dialect import java_regex
 from diffloom.functions.rules import SYMBOL_EXTENSIONS, SYMBOL_PATTERNS
-from diffloom.functions.text import join_lines
+from diffloom.functions.text import computed, join_lines
 from diffloom.operators.hunk_filters import meaningful
 from diffloom.operators.parse import changed_only
 
@@ -42,7 +42,7 @@ def symbol_list(kept_hunks: Column, ext: Column) -> Column:
 
 def with_symbols(files: DataFrame) -> DataFrame:
     """Add ``symbols``; both noise filters always apply here."""
-    kept = files.withColumn("_kept", meaningful(F.col("hunks"), F.col("extension")))
+    kept = computed(files, _kept=meaningful(F.col("hunks"), F.col("extension")))
     return kept.withColumn("symbols", symbol_list(F.col("_kept"), F.col("extension"))).drop("_kept")
 
 
@@ -50,6 +50,7 @@ def symbol_table(files: DataFrame) -> DataFrame:
     """``patch_id, file_seq, ord, symbol``; ``ord`` counts from 1."""
     return (
         with_symbols(changed_only(files))
-        .select("patch_id", "file_seq", F.posexplode("symbols").alias("pos", "symbol"))
+        .select("patch_id", "file_seq", F.posexplode_outer("symbols").alias("pos", "symbol"))
+        .where("symbol is not null")
         .select("patch_id", "file_seq", (F.col("pos") + 1).alias("ord"), "symbol")
     )

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from diffloom.functions import rules
-from diffloom.functions.dialect import java_regex
+from diffloom.functions.dialect import java_regex, required_words
 from diffloom.functions.text import extension, split_lines, strip, subsystem
 
 PIECES = [
@@ -70,3 +70,15 @@ def test_path_helpers(spark):
     table = spark.createDataFrame([(p,) for p in cases], "p string")
     for row in table.select("p", extension(F.col("p")).alias("e"), subsystem(F.col("p")).alias("s")).collect():
         assert (row.e, row.s) == cases[row.p], row.p
+
+
+def test_required_words_are_in_every_match():
+    samples = texts(20_000, seed=11)
+    for pattern, flags in all_patterns():
+        words = required_words(pattern)
+        option = (re.I if "i" in flags else 0) | (re.M if "m" in flags else 0)
+        for sample in samples if words else []:
+            for m in re.finditer(pattern, sample, option):
+                found = m.group(0).upper().lower() if "i" in flags else m.group(0)
+                wanted = [w.lower() for w in words] if "i" in flags else words
+                assert any(w in found for w in wanted), (pattern, m.group(0))
