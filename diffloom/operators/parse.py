@@ -26,11 +26,11 @@ from diffloom.functions.text import (
 )
 
 HUNK_HEADER = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-_CUT_FILES = r"\n(?=--- )"
-_CUT_HUNKS = r"\n(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
-_NEW_PATH_LINE = r"(?md)^\+\+\+ ([^\t\n]*)"
-_BINARY_LINE = r"(?md)^Binary files"
-_CONSUMED = r"(?d)\n(?:\+\+\+ |Binary files).*"
+CUT_FILES = r"\n(?=--- )"
+CUT_HUNKS = r"\n(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
+NEW_PATH_LINE = r"(?md)^\+\+\+ ([^\t\n]*)"
+BINARY_LINE = r"(?md)^Binary files"
+CONSUMED = r"(?d)\n(?:\+\+\+ |Binary files).*"
 
 
 def parse_patches(patches: DataFrame) -> DataFrame:
@@ -44,16 +44,16 @@ def parse_patches(patches: DataFrame) -> DataFrame:
     # The outer generator keeps Catalyst from adding a size() filter that would
     # cut every text twice; element 0 is what precedes the first file header.
     segments = patches.select(
-        "patch_id", F.posexplode_outer(F.split(text, _CUT_FILES, -1)).alias("file_seq", "segment")
+        "patch_id", F.posexplode_outer(F.split(text, CUT_FILES, -1)).alias("file_seq", "segment")
     ).where("file_seq > 0")
     seg = F.col("segment")
-    new_paths = F.regexp_extract_all(seg, F.lit(_NEW_PATH_LINE), F.lit(1))
+    new_paths = F.regexp_extract_all(seg, F.lit(NEW_PATH_LINE), F.lit(1))
     entries = computed(
         segments,
         old_path=F.regexp_extract(seg, r"\A--- ([^\t\n]*)", 1),
         new_path=F.coalesce(F.try_element_at(new_paths, F.lit(-1)), F.lit("")),
-        binary=seg.rlike(_BINARY_LINE),
-        hunks=_hunk_texts(F.regexp_replace(seg, _CONSUMED, "")),
+        binary=seg.rlike(BINARY_LINE),
+        hunks=_hunk_texts(F.regexp_replace(seg, CONSUMED, "")),
     )
     return finish_file_diffs(entries)
 
@@ -81,7 +81,7 @@ def finish_file_diffs(entries: DataFrame) -> DataFrame:
 
 
 def _hunk_texts(segment: Column) -> Column:
-    pieces = F.split(segment, _CUT_HUNKS, -1)
+    pieces = F.split(segment, CUT_HUNKS, -1)
     return F.filter(pieces, lambda _, i: i > 0)
 
 

@@ -193,6 +193,33 @@ def synthetic_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PIECE_FILE, PIECE_HUNK = "(c + t * 5 + i) % 23 = 0", "(t * 3 + i) % 7 = 0"
+PIECE_MARK = "CASE (c + t + i) % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN ' ' ELSE '+' END"
+
+
+def conversation_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One patch per conversation, one piece per turn, one line per word.
+
+    Files and hunks begin wherever the formulas say, so most of them span turns.
+    """
+    turns = spread(parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    words = turns.select(
+        F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.split("text", "[ \n]+", -1).alias("words")
+    )
+    line = f"""
+        transform(words, (w, i) -> concat(
+            CASE WHEN {PIECE_FILE} THEN concat('--- a/c', c, '_', t, '_', i, '.py\\n',
+                                               '+++ b/c', c, '_', t, '_', i, '.py\\n') ELSE '' END,
+            CASE WHEN {PIECE_HUNK} THEN '@@ -1 +1 @@\\n' ELSE '' END,
+            {PIECE_MARK}, w))
+    """
+    return words.select(
+        F.col("c").cast("string").alias("patch_id"),
+        F.col("t").alias("piece_no"),
+        F.array_join(F.expr(line), "\n").alias("content"),
+    )
+
+
 def document_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two snapshots of the documents, one file each.
 

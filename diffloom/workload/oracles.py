@@ -10,7 +10,7 @@ import re
 
 from diffloom.functions import rules
 from diffloom.plans.reports import PROMPT_TEMPLATE
-from diffloom.workload.fixtures import duck_body
+from diffloom.workload.fixtures import PIECE_FILE, PIECE_HUNK, PIECE_MARK, duck_body
 
 _CLASS = {r"\w": r"\p{L}\p{N}_"}
 
@@ -898,3 +898,30 @@ SELECT {key}, line_no, text AS redacted FROM redacted"""
 
 ORACLES["redact_documents"] = _table_redaction("documents", "doc_id", "text", "full")
 ORACLES["redact_pages"] = _table_redaction("pages", "page_id", "html", "api-safe-comments")
+
+
+_PIECES = f"""WITH turn_words AS (
+  SELECT conv_id AS c, turn AS t, unnest(string_split_regex(text, '[ \\n]+')) AS w,
+         unnest(range(len(string_split_regex(text, '[ \\n]+')))) AS i
+  FROM conversations),
+turn_lines AS (
+  SELECT c, t, i, {PIECE_MARK} || w AS line, ({PIECE_FILE})::INT AS opens_file, ({PIECE_HUNK})::INT AS opens_hunk
+  FROM turn_words),
+in_file AS (
+  SELECT *, sum(opens_file) OVER (PARTITION BY c ORDER BY t, i) AS file_seq FROM turn_lines),
+in_hunk AS (
+  SELECT *, sum(opens_hunk) OVER (PARTITION BY c, file_seq ORDER BY t, i) AS hunk FROM in_file WHERE file_seq > 0),
+stats AS (
+  SELECT c::VARCHAR AS patch_id, file_seq::BIGINT AS file_seq,
+    max(CASE WHEN opens_file = 1 THEN 'c' || c || '_' || t || '_' || i || '.py' END) AS path, 'py' AS extension,
+    false AS is_binary, sum(opens_hunk)::BIGINT AS n_hunks,
+    count(*) FILTER (hunk > 0 AND line LIKE '+%' AND line NOT LIKE '+++%') AS added,
+    count(*) FILTER (hunk > 0 AND line LIKE '-%' AND line NOT LIKE '---%') AS deleted
+  FROM in_hunk GROUP BY c, file_seq HAVING sum(opens_hunk) > 0)
+"""
+ORACLES["piece_statistics"] = _PIECES + """
+SELECT patch_id, file_seq, path, extension, is_binary AS binary, n_hunks, added, deleted FROM stats"""
+ORACLES["piece_totals"] = _PIECES + """
+SELECT patch_id, count(*) AS changed_files, 0::BIGINT AS binary_files, sum(added)::BIGINT AS lines_added,
+       sum(deleted)::BIGINT AS lines_deleted
+FROM stats GROUP BY patch_id"""

@@ -22,6 +22,7 @@ from diffloom.operators.parse import (
     removed_text,
     text_files,
 )
+from diffloom.operators.pieces import piece_file_stats
 from diffloom.operators.risk import file_risk, risk_histogram, riskiest_files
 from diffloom.operators.statistics import (
     file_stats,
@@ -41,6 +42,7 @@ from diffloom.sources.compare_report import load_report
 from diffloom.sources.patches import spread
 from diffloom.sources.snapshots import compare_file_pairs, compare_snapshots, snapshot_status
 from diffloom.workload.fixtures import (
+    conversation_pieces,
     document_snapshots,
     parquet,
     report_files,
@@ -419,3 +421,13 @@ def xml_report_changed(spark, sf_dir):
     return _plain(patch_totals(load_report(spark, report_files(spark, sf_dir))).groupBy().agg(
         *[F.sum(c).alias(c) for c in ("changed_files", "binary_files", "lines_added", "lines_deleted")]
     ))
+
+
+@query
+def piece_statistics(spark, sf_dir):
+    return _plain(piece_file_stats(conversation_pieces(spark, sf_dir)))
+
+
+@query
+def piece_totals(spark, sf_dir):
+    return _plain(patch_totals(piece_file_stats(conversation_pieces(spark, sf_dir))))
