@@ -1,9 +1,11 @@
 """Report tables: one text or JSON document per patch, one text per file.
 
-``review_rows`` does all work on text inside file rows.  The tables below then
-need one exchange by ``patch_id``; the columns a report does not use, diff text
-above all, are pruned before it.  The group of a patch is never larger than the
-patch row it came from.
+``review_rows`` does all work on text inside file rows.  Each report first turns
+rows into lines or parts (``summary_lines``, ``changed_file_lines``,
+``prompt_parts``, ``file_reports``), which stay distributed; the functions named
+after whole reports then put the lines of a patch into one document.  Such a
+document is no larger than the patch row it came from.  For a change set that
+came as many rows, such as a snapshot comparison, write the lines instead.
 """
 
 from __future__ import annotations
@@ -64,9 +66,9 @@ def review_rows(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFram
     )
     counted = ~F.col("binary") & (F.col("n_kept") > 0)
     same_path = Window.partitionBy("patch_id", "path")
-    # Hash-partitioned by patch_id the rows also satisfy the window by path and
-    # the later aggregation by patch: one exchange serves all three.
-    placed = facts.repartition("patch_id").withColumn(
+    # The exchange is by patch and path: a patch with very many files spreads
+    # over the tasks, and only its documents, one row each, are put together.
+    placed = facts.withColumn(
         "_last",
         F.max_by(
             F.struct("file_seq", "own"), F.when(~F.col("identical"), F.col("file_seq"))
@@ -141,9 +143,8 @@ def _by_risk() -> tuple[Column, Column]:
     return -F.col("score"), F.col("file_seq")
 
 
-def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
-    """Overview per patch: totals, risk histogram, tokens, file table."""
-    listed = ~F.col("identical")
+def summary_lines(rows: DataFrame) -> DataFrame:
+    """File table of the summary, one line per changed text file, with sort keys."""
     symbols = F.col("symbols")
     more = F.when(
         F.size(symbols) > SYMBOLS_IN_SUMMARY, _text(" +", F.size(symbols) - SYMBOLS_IN_SUMMARY, " more")
@@ -157,11 +158,17 @@ def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
         F.when(shown == "", F.lit("—")).otherwise(shown),
         _text(risk_icon(F.col("level")), " ", F.col("level")),
     )
+    return rows.withColumn("line", F.when(_changed(), row))
+
+
+def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
+    """Overview per patch: totals, risk histogram, tokens, file table."""
+    listed = ~F.col("identical")
 
     def level_count(level: str) -> Column:
         return F.count_if(F.col("is_last") & (F.col("level") == level))
 
-    totals = rows.groupBy("patch_id").agg(
+    totals = summary_lines(rows).groupBy("patch_id").agg(
         F.count_if(_changed()).alias("changed_files"),
         F.count_if(listed & F.col("binary")).alias("binary_files"),
         F.sum(F.when(listed, F.col("added")).otherwise(0)).alias("lines_added"),
@@ -170,7 +177,7 @@ def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
         level_count("Med").alias("med"),
         level_count("Low").alias("low"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
-        _gather(row, *_by_risk(), where=_changed()).alias("table"),
+        _gather(F.col("line"), *_by_risk(), where=_changed()).alias("table"),
         _gather(
             _text("- `", F.col("path"), "`"), F.col("file_seq"), where=listed & F.col("binary")
         ).alias("binaries"),
@@ -203,18 +210,25 @@ def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
     )
 
 
-def changed_file_lists(rows: DataFrame) -> DataFrame:
-    """One line per entry in path order."""
+def changed_file_lines(rows: DataFrame) -> DataFrame:
+    """``patch_id, path, file_seq, line`` of every entry that is not identical."""
     status = F.when(F.col("binary"), F.lit("BINARY")).otherwise(
         _text("+", F.col("added"), "/-", F.col("deleted"))
     )
     line = F.concat_ws(
         " ", _pad(_text("[", F.col("level"), "]"), 8), _pad(status, 16), F.col("path")
     )
-    listing = _gather(line, F.col("path"), F.col("file_seq"), where=~F.col("identical"))
+    return rows.select("patch_id", "path", "file_seq", F.when(~F.col("identical"), line).alias("line"))
+
+
+def changed_file_lists(rows: DataFrame) -> DataFrame:
+    """One document per patch with the lines in path order."""
+    known = F.col("line").isNotNull()
+    listing = _gather(F.col("line"), F.col("path"), F.col("file_seq"), where=known)
     lines = F.when(F.col("listing") != "", F.col("listing"))
     return (
-        rows.groupBy("patch_id")
+        changed_file_lines(rows)
+        .groupBy("patch_id")
         .agg(listing.alias("listing"))
         .select("patch_id", F.concat_ws("\n", F.lit("# Changed Files\n"), lines).alias("report"))
     )
@@ -312,10 +326,8 @@ def _stripped(options: ReviewOptions) -> Column:
     )
 
 
-def review_prompts(
-    rows: DataFrame, options: ReviewOptions = DEFAULTS, template: str = PROMPT_TEMPLATE
-) -> DataFrame:
-    """One review prompt per patch, riskiest files first."""
+def prompt_parts(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
+    """``patch_id, score, file_seq, part``: the text of each file in the prompt."""
     shown = _changed() & (F.col("n_kept") > 0)
     if options.strip_patch:
         diff = F.array_join(_stripped(options), "\n\n")
@@ -329,9 +341,14 @@ def review_prompts(
         "### FILE: ", F.col("path"), "\nRisk: ", F.col("level"), " | +", F.col("added"), "/-",
         F.col("deleted"), " LOC", symbols, "\n\n```diff\n", diff, "\n```",
     )
-    parts = rows.select(
-        "patch_id", "score", "file_seq", F.when(shown, part).alias("part")
-    ).groupBy("patch_id").agg(
+    return rows.select("patch_id", "score", "file_seq", F.when(shown, part).alias("part"))
+
+
+def review_prompts(
+    rows: DataFrame, options: ReviewOptions = DEFAULTS, template: str = PROMPT_TEMPLATE
+) -> DataFrame:
+    """One review prompt per patch, riskiest files first."""
+    parts = prompt_parts(rows, options).groupBy("patch_id").agg(
         _gather(F.col("part"), *_by_risk(), where=F.col("part").isNotNull(), sep="\n\n---\n\n").alias("diffs")
     )
     before, after = template.split("{diff_content}")

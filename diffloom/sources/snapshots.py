@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from diffloom.functions.rules import SNAPSHOT_CONTEXT, TEXT_EXTENSIONS
 from diffloom.functions.text import extension, join_lines, split_lines
 from diffloom.operators.parse import finish_file_diffs, parse_patches
-from diffloom.storage import stored
+from diffloom.storage import numbered, stored
 
 NO_FILE = "/dev/null"
 _TEXT_PROBE = 512
@@ -194,13 +194,25 @@ def compare_snapshots(
 ) -> DataFrame:
     """File table of the differences; ``patch_id`` is the relative path.
 
-    Ordering by ``patch_id, file_seq`` gives the order of the change set.
+    Ordering by ``patch_id, file_seq`` gives the order of the change set;
+    :func:`as_change_set` turns it into one patch.
     """
     left, right = (exclude_paths(side, exclude or []) for side in (left, right))
     pairs = changed_pairs(left, right)
     return parse_patches(pair_patches(pairs)).unionByName(_binary_entries(pairs))
 
 
+def as_change_set(files: DataFrame, name: str) -> DataFrame:
+    """All files as one patch called ``name``, numbered in path order.
+
+    Facts that concern the whole comparison, such as imports that moved from one
+    file to another, need this view.
+    """
+    placed = numbered(files.withColumnRenamed("file_seq", "entry"), "patch_id", "entry")
+    columns = {"patch_id": F.lit(name), "file_seq": F.col("number") + 1}
+    return placed.select(*[columns.get(c, F.col(c)).alias(c) for c in files.columns])
+
+
 def compare_file_pairs(pairs: DataFrame) -> DataFrame:
     """Compare explicit pairs ``left_path, right_path, left, right`` (binary).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +24,24 @@ def stored(table: DataFrame) -> DataFrame:
     path = shared_folder(table.sparkSession)
     table.write.parquet(path)
     return table.sparkSession.read.parquet(path)
+
+
+def numbered(table: DataFrame, *order: str) -> DataFrame:
+    """Store ``table`` sorted and add ``number``, its place in that order from 0.
+
+    A range-partitioned write gives files whose names follow the order.  The
+    place of a row is its index in the file plus the rows of earlier files, so
+    the only window is over one row per file.
+    """
+    ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ranged).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index")
+    )
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_file").agg(F.count("*").alias("_rows")).select(
+        "_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+    )
+    placed = rows.join(starts, "_file")
+    return placed.withColumn("number", F.col("_start") + F.col("_index")).drop(
+        "_file", "_index", "_start"
+    )

@@ -746,6 +746,13 @@ SELECT path, CASE WHEN k = 10 THEN '/dev/null' ELSE 'a/' || path END AS old_path
        CASE WHEN k = 0 THEN len(list_filter(ls, lambda x: x NOT LIKE '--%')) WHEN k = 5 THEN 1 ELSE 0 END::BIGINT AS deleted
 FROM pair WHERE k IN (0, 3, 4, 5, 7, 10)"""
 ORACLES["snapshot_lines"] = f"WITH {SNAPSHOT} {_COMPARED}"
+ORACLES["snapshot_change_set"] = f"""WITH {SNAPSHOT}, compared AS ({_COMPARED})
+SELECT 'documents' AS patch_id, row_number() OVER (ORDER BY encode(path)) AS file_seq, * FROM compared"""
+ORACLES["snapshot_totals"] = f"""WITH {SNAPSHOT}, compared AS ({_COMPARED})
+SELECT 'documents' AS patch_id, count(*) FILTER (NOT "binary") AS changed_files,
+       count(*) FILTER ("binary") AS binary_files, sum(added)::BIGINT AS lines_added,
+       sum(deleted)::BIGINT AS lines_deleted
+FROM compared"""
 ORACLES["snapshot_exclude"] = f"WITH {SNAPSHOT} {_COMPARED} AND k NOT IN (7, 10)"
 
 ORACLES["file_pairs"] = f"""WITH {SNAPSHOT}

@@ -40,7 +40,12 @@ from diffloom.operators.symbols import symbol_table
 from diffloom.plans import reports
 from diffloom.sources.compare_report import load_report
 from diffloom.sources.patches import spread
-from diffloom.sources.snapshots import compare_file_pairs, compare_snapshots, snapshot_status
+from diffloom.sources.snapshots import (
+    as_change_set,
+    compare_file_pairs,
+    compare_snapshots,
+    snapshot_status,
+)
 from diffloom.workload.fixtures import (
     conversation_pieces,
     document_snapshots,
@@ -395,6 +400,18 @@ def snapshot_lines(spark, sf_dir):
     return _plain(files.select(*_COMPARED))
 
 
+@query
+def snapshot_change_set(spark, sf_dir):
+    files = as_change_set(compare_snapshots(*document_snapshots(spark, sf_dir)), "documents")
+    return _plain(files.select(*FILE_KEYS, *_COMPARED))
+
+
+@query
+def snapshot_totals(spark, sf_dir):
+    files = as_change_set(compare_snapshots(*document_snapshots(spark, sf_dir)), "documents")
+    return _plain(patch_totals(files))
+
+
 @query
 def snapshot_exclude(spark, sf_dir):
     files = compare_snapshots(*document_snapshots(spark, sf_dir), exclude=["moved/*", "*.bin"])

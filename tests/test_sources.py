@@ -7,7 +7,14 @@ from diffloom.operators.parse import changed_only, parse_patches
 from diffloom.operators.statistics import file_stats
 from diffloom.sources.compare_report import load_report
 from diffloom.sources.patches import load_patches, patch_table, read_patch_files, spread
-from diffloom.sources.snapshots import compare_file_pairs, compare_snapshots, read_snapshot, snapshot_status
+from diffloom.operators.architecture import arch_facts
+from diffloom.sources.snapshots import (
+    as_change_set,
+    compare_file_pairs,
+    compare_snapshots,
+    read_snapshot,
+    snapshot_status,
+)
 
 
 def test_patch_files(spark, tmp_path):
@@ -112,3 +119,13 @@ def test_file_pairs(spark):
 def test_bad_text_column_is_an_error(spark):
     with pytest.raises(Exception):
         parse_patches(spark.createDataFrame([(1,)], "x int")).count()
+
+
+def test_change_set_numbers_by_path_and_joins_facts(spark):
+    left = tree(spark, {"b.py": "import os\nx\n", "a.py": "y\n", "é.py": "1\n", "Z.py": "1\n"})
+    right = tree(spark, {"b.py": "x\n", "a.py": "import os\nimport re\ny\n", "é.py": "2\n", "Z.py": "2\n"})
+    files = as_change_set(compare_snapshots(left, right), "cmp")
+    assert [(r.patch_id, r.file_seq, r.path) for r in files.orderBy("file_seq").collect()] == [
+        ("cmp", 1, "Z.py"), ("cmp", 2, "a.py"), ("cmp", 3, "b.py"), ("cmp", 4, "é.py")]
+    facts = arch_facts(files).where("kind = 'dependency_change'")
+    assert [r.text for r in facts.collect()] == ["New dependency: `re`"]
