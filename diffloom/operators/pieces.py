@@ -29,7 +29,9 @@ from diffloom.operators.parse import (
     CUT_HUNKS,
     NEW_PATH_LINE,
 )
+from diffloom.storage import stored
 
+# Pieces that one task numbers in a row; larger blocks only make its sort longer.
 PIECES_PER_BLOCK = 4096
 
 
@@ -137,7 +139,9 @@ def piece_file_stats(pieces: DataFrame) -> DataFrame:
     The last aggregation sums numbers with map-side combine, so a file that
     spans many pieces is as cheap as many files.
     """
-    numbered = number_pieces(piece_parts(pieces))
+    # Stored, the few numbers of a piece serve both levels of numbering, and the
+    # text is read and cut once.
+    numbered = number_pieces(stored(piece_parts(pieces)))
     parts = numbered.select(
         "patch_id", "piece_no", "files_before", "open_hunks", F.inline_outer("parts")
     )

@@ -239,12 +239,14 @@ def _fact_lists(facts: DataFrame) -> DataFrame:
     columns = []
     for kind in FACT_KINDS:
         wanted = F.col("kind") == kind
-        if kind in (arch.API, arch.DEPENDENCY):
-            wanted = wanted & (F.col("place") <= FACTS_SHOWN)
+        if kind == arch.API:
+            # API facts are numbered without gaps, so the rest need not travel.
+            wanted = wanted & (F.col("ord") <= FACTS_SHOWN)
         entries = F.array_sort(F.collect_list(F.when(wanted, F.struct("ord", "text"))))
+        if kind == arch.DEPENDENCY:
+            entries = F.slice(entries, 1, FACTS_SHOWN)
         columns.append(F.transform(entries, lambda e: e["text"]).alias(kind))
-    place = F.row_number().over(Window.partitionBy("patch_id", "kind").orderBy("ord"))
-    return facts.withColumn("place", place).groupBy("patch_id").agg(*columns)
+    return facts.groupBy("patch_id").agg(*columns)
 
 
 FACT_KINDS = [

@@ -198,7 +198,8 @@ def compare_snapshots(
     :func:`as_change_set` turns it into one patch.
     """
     left, right = (exclude_paths(side, exclude or []) for side in (left, right))
-    pairs = changed_pairs(left, right)
+    # Stored, the contents of changed files are fetched once for all three branches.
+    pairs = stored(changed_pairs(left, right))
     return parse_patches(pair_patches(pairs)).unionByName(_binary_entries(pairs))
 
 
