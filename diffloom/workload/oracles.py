@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from diffloom.functions import rules
-from diffloom.plans.reports import PROMPT_TEMPLATE
+from diffloom.plans.reports import PROMPT_TEMPLATE, STRIPPED_NOTICE
 from diffloom.workload.fixtures import PIECE_FILE, PIECE_HUNK, PIECE_MARK, duck_body
 
 _CLASS = {r"\w": r"\p{L}\p{N}_"}
@@ -659,6 +659,15 @@ prompts AS (
   FROM parts)
 SELECT patch_id, prompt, (length(prompt) // 4)::BIGINT AS prompt_tokens FROM prompts"""
 
+_FILE_REPORT = f"""
+SELECT patch_id, file_seq, path, translate(path, '/\\:', '___') || '.diff.md' AS file_name,
+  concat_ws(chr(10), '# `' || path || '`', '', '**Risk:** ' || {_ICON} || ' ' || level || '  |  **+' || added ||
+    '** / **-' || deleted || '** LOC  |  **Hunks:** ' || n_kept, '',
+    CASE WHEN len(names) > 0 THEN '**Modified symbols:** `' || array_to_string(names[1:20], '`, `') || '`' || chr(10) END,
+    '**Risk reasons:**', '- ' || array_to_string(reasons, chr(10) || '- '), '',
+    CASE WHEN n_kept > 0 THEN '## Diff' || chr(10) || chr(10) || diff_text
+         ELSE '*No meaningful changes after filtering.*' || chr(10) END) AS report
+FROM review LEFT JOIN blocks USING (d, f) WHERE NOT is_binary"""
 ORACLES["file_reports"] = with_ctes(*_REVIEW_CTES) + f""",
 grouped AS (
   SELECT lines.*, sum((kind <> 'ctx')::INT) OVER (PARTITION BY d, f, h ORDER BY line_no) AS g,
@@ -670,14 +679,7 @@ shown AS (
   SELECT d, f, h, '```diff' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) || chr(10) || '```' || chr(10) AS block
   FROM counted WHERE used <= 30 OR line = last_line GROUP BY d, f, h),
 blocks AS (SELECT d, f, string_agg(block, chr(10) ORDER BY h) AS diff_text FROM shown GROUP BY d, f)
-SELECT patch_id, file_seq, path, translate(path, '/\\:', '___') || '.diff.md' AS file_name,
-  concat_ws(chr(10), '# `' || path || '`', '', '**Risk:** ' || {_ICON} || ' ' || level || '  |  **+' || added ||
-    '** / **-' || deleted || '** LOC  |  **Hunks:** ' || n_kept, '',
-    CASE WHEN len(names) > 0 THEN '**Modified symbols:** `' || array_to_string(names[1:20], '`, `') || '`' || chr(10) END,
-    '**Risk reasons:**', '- ' || array_to_string(reasons, chr(10) || '- '), '',
-    CASE WHEN n_kept > 0 THEN '## Diff' || chr(10) || chr(10) || diff_text
-         ELSE '*No meaningful changes after filtering.*' || chr(10) END) AS report
-FROM review LEFT JOIN blocks USING (d, f) WHERE NOT is_binary"""
+{_FILE_REPORT}"""
 
 ORACLES["token_summary"] = with_ctes(NOISE, TOKENS) + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY tokens DESC, first_seq) AS place FROM by_path),
@@ -855,14 +857,15 @@ redacted AS MATERIALIZED (
 """
 
 
-def _redaction(mode: str) -> str:
+def _redaction_ctes(mode: str) -> str:
+    """CTE ``stripped``: lines of the stripped kept hunks, placed by line_no."""
     comment_list = (
         f"list_filter([regexp_extract(line, {_LINE_COMMENT}), regexp_extract(line, {_BLOCK_COMMENT})], "
         "lambda c: c <> '')"
         if mode == "api-safe-comments"
         else "[]::VARCHAR[]"
     )
-    return with_ctes(NOISE) + f""",
+    return f"""
 kept_numbered AS (
   SELECT d, f, h, row_number() OVER (PARTITION BY d, f ORDER BY h) AS hunk_seq FROM kept),
 masked AS MATERIALIZED (
@@ -881,13 +884,18 @@ markers AS (
     array_to_string(['··· [' || count(*) || ' line(s) redacted] ···'] ||
                     flatten(list(found ORDER BY line_no)), '  ') AS text
   FROM islands GROUP BY patch_id, file_seq, hunk_seq, island),
-result AS (
+stripped AS MATERIALIZED (
   SELECT patch_id, file_seq, hunk_seq, line_no, text FROM redacted
   UNION ALL SELECT patch_id, file_seq, hunk_seq, line_no, line FROM masked WHERE line_no = 0
   UNION ALL SELECT * FROM markers)
+"""
+
+
+def _redaction(mode: str) -> str:
+    return with_ctes(NOISE, _redaction_ctes(mode)) + """
 SELECT patch_id, file_seq, hunk_seq,
        row_number() OVER (PARTITION BY patch_id, file_seq, hunk_seq ORDER BY line_no) - 1 AS ord, text
-FROM result"""
+FROM stripped"""
 
 
 ORACLES["redact_full"] = _redaction("full")
@@ -932,3 +940,36 @@ ORACLES["piece_totals"] = _PIECES + """
 SELECT patch_id, count(*) AS changed_files, 0::BIGINT AS binary_files, sum(added)::BIGINT AS lines_added,
        sum(deleted)::BIGINT AS lines_deleted
 FROM stats GROUP BY patch_id"""
+
+
+_STRIPPED_BLOCKS = """
+stripped_hunks AS (
+  SELECT patch_id, file_seq, hunk_seq, string_agg(text, chr(10) ORDER BY line_no) AS text
+  FROM stripped GROUP BY patch_id, file_seq, hunk_seq)
+"""
+_STRIPPED = (*_REVIEW_CTES, _redaction_ctes("api-safe"), _STRIPPED_BLOCKS)
+_NOTICE = (
+    "'> 🔒 **Stripped Patch** — surrounding context and identifiers have been "
+    "redacted/pseudonymized. Only the core changed lines remain.', '',"
+)
+ORACLES["stripped_file_reports"] = with_ctes(*_STRIPPED) + f""",
+blocks AS (
+  SELECT d, f, string_agg('```diff' || chr(10) || text || chr(10) || '```' || chr(10), chr(10) ORDER BY hunk_seq) AS diff_text
+  FROM stripped_hunks JOIN file USING (patch_id, file_seq) GROUP BY d, f)
+""" + _FILE_REPORT.replace("CASE WHEN len(names) > 0 THEN '**Modified", f"{_NOTICE} CASE WHEN len(names) > 0 THEN '**Modified")
+
+ORACLES["stripped_prompts"] = with_ctes(*_STRIPPED) + f""",
+diffs AS (
+  SELECT patch_id, file_seq, string_agg(text, chr(10) || chr(10) ORDER BY hunk_seq) AS hunks
+  FROM stripped_hunks GROUP BY patch_id, file_seq),
+parts AS (
+  SELECT patch_id, string_agg('### FILE: ' || path || chr(10) || 'Risk: ' || level || ' | +' || added || '/-' ||
+      deleted || ' LOC' || CASE WHEN len(names) > 0
+        THEN chr(10) || 'Modified symbols: ' || array_to_string(names[1:10], ', ') ELSE '' END ||
+      chr(10) || chr(10) || '```diff' || chr(10) || hunks || chr(10) || '```',
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, file_seq)
+    FILTER (NOT is_binary AND n_kept > 0) AS diffs
+  FROM review LEFT JOIN diffs USING (patch_id, file_seq) GROUP BY patch_id)
+SELECT patch_id, {quote(STRIPPED_NOTICE + _BEFORE)} || coalesce(diffs, '(No meaningful diffs found)')
+       || {quote(_AFTER)} AS prompt
+FROM parts"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -448,3 +449,18 @@ def piece_statistics(spark, sf_dir):
 @query
 def piece_totals(spark, sf_dir):
     return _plain(patch_totals(piece_file_stats(conversation_pieces(spark, sf_dir))))
+
+
+STRIPPED = replace(OPTIONS, strip_patch=True)
+
+
+@query
+def stripped_file_reports(spark, sf_dir):
+    rows = reports.review_rows(_files(spark, sf_dir), STRIPPED)
+    return _plain(reports.file_reports(rows, STRIPPED))
+
+
+@query
+def stripped_prompts(spark, sf_dir):
+    rows = reports.review_rows(_files(spark, sf_dir), STRIPPED)
+    return reports.review_prompts(rows, STRIPPED)
