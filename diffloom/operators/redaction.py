@@ -161,9 +161,8 @@ def pseudonymize_line(
     return F.concat(head, let(F.regexp_replace(line, _HEAD, ""), lambda b: hide(b, path, mode)))
 
 
-def _marker(count: Column, lines: Column, mode: str) -> Column:
-    before, after = COLLAPSE_MARKER.split("{n}")
-    marker = F.concat(F.lit(before), count.cast("string"), F.lit(after))
+def _marker(count: Column, lines: Column, mode: str, template: str) -> Column:
+    marker = F.replace(F.lit(template), F.lit("{n}"), count.cast("string"))
     if mode != API_SAFE_COMMENTS:
         return marker
     comments = F.flatten(
@@ -182,11 +181,16 @@ def _marker(count: Column, lines: Column, mode: str) -> Column:
 
 
 def strip_hunk(
-    hunk: Column, path: Column, mode: str = API_SAFE, core_context: int = 1, strict: bool = False
+    hunk: Column,
+    path: Column,
+    mode: str = API_SAFE,
+    core_context: int = 1,
+    strict: bool = False,
+    collapse_marker: str = COLLAPSE_MARKER,
 ) -> Column:
     """Lines of a stripped hunk (``array<string>``), header first and unchanged.
 
-    With ``strict`` the function context after the second ``@@`` is cut off.
+    ``{n}`` in ``collapse_marker`` stands for the number of collapsed lines.  With ``strict`` the function context after the second ``@@`` is cut off.
     """
     marker_mode = API_SAFE if strict else mode
 
@@ -225,7 +229,10 @@ def strip_hunk(
                     lambda first, last: F.struct(
                         first.alias("pos"),
                         _marker(
-                            last - first + 1, F.slice(body, first + 1, last - first + 1), marker_mode
+                            last - first + 1,
+                            F.slice(body, first + 1, last - first + 1),
+                            marker_mode,
+                            collapse_marker,
                         ).alias("text"),
                     ),
                 )
@@ -239,7 +246,11 @@ def strip_hunk(
 
 
 def strip_files(
-    files: DataFrame, mode: str = API_SAFE, core_context: int = 1, strict: bool = False
+    files: DataFrame,
+    mode: str = API_SAFE,
+    core_context: int = 1,
+    strict: bool = False,
+    collapse_marker: str = COLLAPSE_MARKER,
 ) -> DataFrame:
     """Stripped lines of the hunks in ``kept_hunks``: ``..., hunk_seq, ord, text``.
 
@@ -249,7 +260,9 @@ def strip_files(
     hunks = files.select(
         "patch_id", "file_seq", "path", F.posexplode_outer("kept_hunks").alias("pos", "hunk")
     ).where("pos is not null")
-    stripped = strip_hunk(F.col("hunk"), F.col("path"), mode, core_context, strict)
+    stripped = strip_hunk(
+        F.col("hunk"), F.col("path"), mode, core_context, strict, collapse_marker
+    )
     return hunks.select(
         "patch_id",
         "file_seq",

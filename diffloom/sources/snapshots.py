@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from diffloom.functions.rules import SNAPSHOT_CONTEXT, TEXT_EXTENSIONS
 from diffloom.functions.text import extension, join_lines, split_lines
 from diffloom.operators.parse import finish_file_diffs, parse_patches
+from diffloom.sources.patches import spread
 from diffloom.storage import numbered, stored
 
 NO_FILE = "/dev/null"
@@ -172,7 +173,8 @@ def pair_patches(pairs: DataFrame) -> DataFrame:
         F.col("path").alias("patch_id"), _one_sided_patch().alias("content")
     ).where("content is not null")
     both = texts.where("status = 'changed'").select("path", "old_path", "new_path", "left_doc", "right_doc")
-    diffs = both.mapInPandas(_line_diffs, "patch_id string, content string")
+    # Line differences cost far more than reading, so a small table is spread out.
+    diffs = spread(both, "path").mapInPandas(_line_diffs, "patch_id string, content string")
     return one_sided.unionByName(diffs.where("content <> ''"))
 
 

@@ -116,6 +116,8 @@ def test_collapsed_comments_and_strict_header(spark):
         strip_hunk(F.col("h"), F.lit("p"), API_SAFE_COMMENTS, 0),
         strip_hunk(F.col("h"), F.lit("p"), API_SAFE_COMMENTS, 0, strict=True)).first()
     assert lines[1] == "··· [3 line(s) redacted] ···  // one  # three  /* two */"
+    custom = table.select(strip_hunk(F.col("h"), F.lit("p"), FULL, 0, collapse_marker="<{n}>")).first()[0]
+    assert custom[1] == "<3>"
     assert strict[:2] == ["@@ -1 +1 @@", "··· [3 line(s) redacted] ···"]
 
 
