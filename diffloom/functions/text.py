@@ -84,8 +84,16 @@ def pick(text: Column, mark: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?md)^{mark}(.*)$"), F.lit(1))
 
 
-def count_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def _count_starts(text: Column, start: str) -> Column:
+    """Number of lines that begin with ``start``, by plain substring search."""
+    lines = F.concat(F.lit("\n"), text)
+    rest = F.replace(lines, F.lit("\n" + start), F.lit(""))
+    return (F.octet_length(lines) - F.octet_length(rest)) / F.lit(1 + len(start))
+
+
+def count_changed(text: Column, sign: str) -> Column:
+    """Lines of a hunk that start with the sign, but not with three of it."""
+    return (_count_starts(text, sign) - _count_starts(text, sign * 3)).cast("int")
 
 
 def line_kind(line: Column, is_first: Column) -> Column:

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from diffloom.functions.dialect import BLANK
 from diffloom.functions.rules import COMMENT_STARTS, COMMENT_STARTS_OTHER
-from diffloom.functions.text import ADD_MARK, CHANGED_MARK, DEL_MARK, computed, count_matches
+from diffloom.functions.text import ADD_MARK, CHANGED_MARK, DEL_MARK, computed, count_changed
 
 
 def whitespace_only(hunk: Column) -> Column:
     """The added and the removed lines are the same multiset of token lists."""
-    added = count_matches(hunk, rf"(?md)^{ADD_MARK}")
-    deleted = count_matches(hunk, rf"(?md)^{DEL_MARK}")
+    added, deleted = count_changed(hunk, "+"), count_changed(hunk, "-")
     squeezed = F.regexp_replace(hunk, f"[{BLANK}]+", " ")
 
     def tokens(mark: str) -> Column:

@@ -17,7 +17,7 @@ from diffloom.functions.text import (
     DEL_MARK,
     canonical_path,
     computed,
-    count_matches,
+    count_changed,
     extension,
     join_lines,
     line_kind,
@@ -47,13 +47,18 @@ def parse_patches(patches: DataFrame) -> DataFrame:
         "patch_id", F.posexplode_outer(F.split(text, CUT_FILES, -1)).alias("file_seq", "segment")
     ).where("file_seq > 0")
     seg = F.col("segment")
-    new_paths = F.regexp_extract_all(seg, F.lit(NEW_PATH_LINE), F.lit(1))
+    # Lines of a header are rare inside hunks; only then is the whole text searched.
+    head = F.substring_index(seg, "\n@@ ", 1)
+    tail = F.substring(seg, F.length(head) + 1, F.length(seg))
+    strays = F.contains(tail, F.lit("\n+++ ")) | F.contains(tail, F.lit("\nBinary files"))
+    searched = F.when(strays, seg).otherwise(head)
+    new_paths = F.regexp_extract_all(searched, F.lit(NEW_PATH_LINE), F.lit(1))
     entries = computed(
         segments,
         old_path=F.regexp_extract(seg, r"\A--- ([^\t\n]*)", 1),
         new_path=F.coalesce(F.try_element_at(new_paths, F.lit(-1)), F.lit("")),
-        binary=seg.rlike(BINARY_LINE),
-        hunks=_hunk_texts(F.regexp_replace(seg, CONSUMED, "")),
+        binary=F.contains(seg, F.lit("\nBinary files")),
+        hunks=_hunk_texts(F.when(strays, F.regexp_replace(seg, CONSUMED, "")).otherwise(seg)),
     )
     return finish_file_diffs(entries)
 
@@ -75,8 +80,8 @@ def finish_file_diffs(entries: DataFrame) -> DataFrame:
     )
     return body.select(
         "*",
-        count_matches(F.col("body"), rf"(?md)^{ADD_MARK}").alias("added"),
-        count_matches(F.col("body"), rf"(?md)^{DEL_MARK}").alias("deleted"),
+        count_changed(F.col("body"), "+").alias("added"),
+        count_changed(F.col("body"), "-").alias("deleted"),
     )
 
 
@@ -121,8 +126,8 @@ def hunk_table(files: DataFrame) -> DataFrame:
         F.coalesce(number(2), one).alias("old_count"),
         number(3).alias("new_start"),
         F.coalesce(number(4), one).alias("new_count"),
-        count_matches(text, rf"(?md)^{ADD_MARK}").alias("added"),
-        count_matches(text, rf"(?md)^{DEL_MARK}").alias("deleted"),
+        count_changed(text, "+").alias("added"),
+        count_changed(text, "-").alias("deleted"),
         "text",
     )
 

@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import (
-    ADD_MARK,
-    DEL_MARK,
     canonical_path,
-    count_matches,
+    count_changed,
     extension,
     join_lines,
     let,
@@ -46,8 +44,8 @@ def _part(segment: Column, number: Column) -> Column:
         inner = join_lines(F.slice(hunks, F.lit(2), F.size(hunks)))
         head = F.get(hunks, F.lit(0))
 
-        def count(text: Column, mark: str) -> Column:
-            return count_matches(text, rf"(?md)^{mark}").cast("bigint")
+        def count(text: Column, sign: str) -> Column:
+            return count_changed(text, sign).cast("bigint")
 
         old_path = F.regexp_extract(segment, r"\A--- ([^\t\n]*)", 1)
         new_path = F.regexp_extract_all(segment, F.lit(NEW_PATH_LINE), F.lit(1))
@@ -57,10 +55,10 @@ def _part(segment: Column, number: Column) -> Column:
             F.try_element_at(new_path, F.lit(-1)).alias("new_path"),
             segment.rlike(BINARY_LINE).alias("binary"),
             (F.size(hunks) - 1).cast("bigint").alias("hunks"),
-            count(inner, ADD_MARK).alias("added"),
-            count(inner, DEL_MARK).alias("deleted"),
-            F.when(number == 0, count(head, ADD_MARK)).otherwise(0).alias("head_added"),
-            F.when(number == 0, count(head, DEL_MARK)).otherwise(0).alias("head_deleted"),
+            count(inner, "+").alias("added"),
+            count(inner, "-").alias("deleted"),
+            F.when(number == 0, count(head, "+")).otherwise(0).alias("head_added"),
+            F.when(number == 0, count(head, "-")).otherwise(0).alias("head_deleted"),
         )
 
     return let(F.split(F.regexp_replace(segment, CONSUMED, ""), CUT_HUNKS, -1), describe)
