@@ -148,22 +148,27 @@ def _one_sided_patch() -> Column:
     return F.when(count > 0, F.concat_ws("\n", *names, header, body))
 
 
-def _line_diffs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Unified diff of each pair; every emitted line ends with LF."""
-    for batch in batches:
-        patches = []
-        for old_path, new_path, old, new in zip(
-            batch.old_path, batch.new_path, batch.left_doc, batch.right_doc
-        ):
-            lines = difflib.unified_diff(
-                old.splitlines(keepends=True),
-                new.splitlines(keepends=True),
-                fromfile=old_path,
-                tofile=new_path,
-                n=SNAPSHOT_CONTEXT,
-            )
-            patches.append("".join(x if x.endswith("\n") else x + "\n" for x in lines))
-        yield pd.DataFrame({"patch_id": batch.path, "content": patches})
+def _line_differ():
+    """Function for ``mapInPandas``; a closure, so workers need not have this package."""
+
+    def line_diffs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Unified diff of each pair; every emitted line ends with LF."""
+        for batch in batches:
+            patches = []
+            for old_path, new_path, old, new in zip(
+                batch.old_path, batch.new_path, batch.left_doc, batch.right_doc
+            ):
+                lines = difflib.unified_diff(
+                    old.splitlines(keepends=True),
+                    new.splitlines(keepends=True),
+                    fromfile=old_path,
+                    tofile=new_path,
+                    n=SNAPSHOT_CONTEXT,
+                )
+                patches.append("".join(x if x.endswith("\n") else x + "\n" for x in lines))
+            yield pd.DataFrame({"patch_id": batch.path, "content": patches})
+
+    return line_diffs
 
 
 def pair_patches(pairs: DataFrame) -> DataFrame:
@@ -174,7 +179,7 @@ def pair_patches(pairs: DataFrame) -> DataFrame:
     ).where("content is not null")
     both = texts.where("status = 'changed'").select("path", "old_path", "new_path", "left_doc", "right_doc")
     # Line differences cost far more than reading, so a small table is spread out.
-    diffs = spread(both, "path").mapInPandas(_line_diffs, "patch_id string, content string")
+    diffs = spread(both, "path").mapInPandas(_line_differ(), "patch_id string, content string")
     return one_sided.unionByName(diffs.where("content <> ''"))
 
 

@@ -270,15 +270,19 @@ def report_files(spark: SparkSession, sf_dir: str) -> str:
     )
     folder = shared_folder(spark)
     reports = spread(orders.select("o_orderkey", item.alias("value")), "o_orderkey").select("value")
-    reports.mapInPandas(_as_document, "value string").write.text(folder)
+    reports.mapInPandas(_document_writer(), "value string").write.text(folder)
     return folder
 
 
-def _as_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each partition becomes one file, so it gets one root element."""
-    yield pd.DataFrame({"value": ["<report><folder>"]})
-    yield from batches
-    yield pd.DataFrame({"value": ["</folder></report>"]})
+def _document_writer():
+    """Function for ``mapInPandas``: each partition becomes one file with one root."""
+
+    def as_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["<report><folder>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</folder></report>"]})
+
+    return as_document
 
 
 REPORT_STATUSES = ["identical", "Different", "leftonly", "rightonly", "binarydiffer", "error", "unknown"]
