@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """New folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="diffloom-")
+    """New folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is used if driver and executors are one
+    process; any other session is refused, because its executors would each write to
+    their own disk and later reads would miss rows.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="diffloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -23,25 +33,38 @@ def stored(table: DataFrame) -> DataFrame:
     """
     path = shared_folder(table.sparkSession)
     table.write.parquet(path)
-    return table.sparkSession.read.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def with_place(ordered: DataFrame, *order: str) -> DataFrame:
+    """Store ``ordered`` in the given order; add ``_part`` and ``_index``.
+
+    ``_part`` is the number of the range partition a row was written by and
+    ``_index`` its row in that file, so ``(_part, _index)`` follows the order.  Rows
+    that agree in all of ``order`` may stand in any order, and are split between
+    partitions like others.
+    """
+    table = ordered.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = table.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    return stored(ranged).select(
+        *ordered.columns,
+        F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("_part"),
+        F.col("_metadata.row_index").alias("_index"),
+    )
 
 
 def numbered(table: DataFrame, *order: str) -> DataFrame:
     """Store ``table`` sorted and add ``number``, its place in that order from 0.
 
-    A range-partitioned write gives files whose names follow the order.  The
-    place of a row is its index in the file plus the rows of earlier files, so
-    the only window is over one row per file.
+    The place of a row is its index in its range partition plus the rows of earlier
+    partitions, so the only window is over one row per partition.
     """
-    ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(ranged).select(
-        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index")
-    )
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_file").agg(F.count("*").alias("_rows")).select(
-        "_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+    rows = with_place(table, *order)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
-    placed = rows.join(starts, "_file")
+    placed = rows.join(starts, "_part")
     return placed.withColumn("number", F.col("_start") + F.col("_index")).drop(
-        "_file", "_index", "_start"
+        "_part", "_index", "_start"
     )
