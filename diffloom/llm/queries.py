@@ -12,7 +12,9 @@ from diffloom.llm.chat_format import perspectives
 from diffloom.llm.exact_dedup import exact_duplicates
 from diffloom.llm.license_scan import NOTICES, license_scan
 from diffloom.llm.minhash_dedup import near_duplicates
+from diffloom.llm.packing import pack
 from diffloom.llm.token_counts import unigram_counts
+from diffloom.llm.vector_dedup import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_metric_join(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.95)
+
+
 def op2_chat_perspectives(spark, sf_dir):
     return perspectives(table(spark, sf_dir, "conversations"))
 
@@ -33,6 +39,10 @@ def op4_exact_stream(spark, sf_dir):
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op7_nnls_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), window=2048, terminator=1).drop("cut")
+
+
 def op8_unigram_counts(spark, sf_dir):
     return unigram_counts(table(spark, sf_dir, "documents"))
 
