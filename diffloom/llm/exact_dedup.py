@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 
 from diffloom.storage import shared_folder, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore"
+#: Preallocation takes some MB for each of many small stores.
+STATE_STORE = {
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,16 +44,18 @@ def normal_text(text: Column) -> Column:
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str):
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def stream_of(spark: SparkSession, path: str, bytes_per_batch: int = 64 << 30) -> DataFrame:
@@ -83,7 +90,7 @@ def digest_state(stream: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.max("_id").alias("keep_id"), F.count("*").alias("group_size"), F.min("_at").alias("at")
     )
     folder = shared_folder(spark)
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with _settings(spark, STATE_STORE):
         run = (
             state.writeStream.outputMode("update").format("noop")
             .option("checkpointLocation", folder).trigger(availableNow=True).start()
