@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from diffloom.storage import shared_folder, stored
 
 STATE = "spark.sql.streaming.stateStore"
-#: Preallocation takes some MB for each of many small stores.
+#: Preallocation takes some MB for each of many small stores, unbounded buffers too.
 STATE_STORE = {
     f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{STATE}.rocksdb.allowFAllocate": "false",
+    f"{STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STATE}.rocksdb.maxMemoryUsageMB": "256",
 }
 
 
