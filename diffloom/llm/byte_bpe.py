@@ -59,7 +59,7 @@ def _coded(docs, id_col, text_col, ranks_path, pattern, block_chars, finish, sch
         code = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}
         )
-        return lambda word: np.array(code._encode_single_piece(word), np.uint32).tobytes()
+        return lambda words: [np.array(code._encode_single_piece(w), np.uint32).tobytes() for w in words]
 
     words = word_rows(docs, id_col, text_col, pattern, block_chars)
     return per_block(per_word(words, encoder), finish, schema)
@@ -80,7 +80,7 @@ def document_ids(layout: Layout, results: list[bytes]) -> Iterator[tuple[object,
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS,
-    pattern: str = public_tokenizers.PATTERN, block_chars: int = 16 << 20,
+    pattern: str = public_tokenizers.PATTERN, block_chars: int = 28 << 20,
 ) -> DataFrame:
     """One row per document: id, ids array<int>."""
 
@@ -113,7 +113,7 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ranks_path: str = RANKS) ->
 
 def round_trip(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS,
-    pattern: str = public_tokenizers.PATTERN, block_chars: int = 16 << 20,
+    pattern: str = public_tokenizers.PATTERN, block_chars: int = 28 << 20,
 ) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256.
 

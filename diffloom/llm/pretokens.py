@@ -1,19 +1,20 @@
 """Distinct-word work over whole texts: split once, work once per distinct word, put back.
 
 ``word_rows`` turns the documents of a task into blocks.  A block is a bounded number of
-bytes of text (one longer text is a block of its own).  It becomes one row per distinct
-pre-token with its number in the block, and one layout row with the positions: the
-number of every pre-token in text order, by document.  ``per_word`` deals the words out
-by their hash, sorted, so each distinct word of the corpus is worked on once, however
-many blocks have it; a word comes at most once from each block.  ``per_block`` brings
-the results and the layout of a block together.
-
-The state of a task is one block; words stream through ``per_word`` one batch at a time.
+characters of text (one longer text is a block of its own).  It becomes a layout row, with
+the positions of its pre-tokens by document, and one row per word bucket, with the block's
+distinct pre-tokens whose hash falls into the bucket, in byte order.  ``per_word`` brings
+the rows of a bucket together, so each distinct word of the corpus is worked on once,
+however many blocks have it.  ``per_block`` brings the results and the layout of a block
+together.
+
+A task of ``word_rows`` or ``per_block`` holds one block.  ``per_word`` streams rows and
+remembers words up to a bound; beyond it the memory starts anew, which costs work on words
+met again and changes no result.  The number of buckets is that of shuffle partitions.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count, islice
@@ -21,13 +22,18 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = "block string, slot int, word binary, layout binary, ids binary"
+ROWS = "block long, bucket int, data binary"
+NAMES = ["block", "bucket", "data"]
+KINDS = [pa.int64(), pa.int32(), pa.binary()]
 #: Match this many pre-tokens at a time, so that a very long text is never one list.
 STRIDE = 1_000_000
+REMEMBERED = 1_000_000
 
 
 def pieces_of(pattern: regex.Pattern, text: str) -> Iterator[list[str]]:
@@ -39,16 +45,52 @@ def pieces_of(pattern: regex.Pattern, text: str) -> Iterator[list[str]]:
         yield part
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Unsigned 32-bit arrays; bytes of equal place stand together, which compresses better."""
+    sizes = np.array([len(arrays), *map(len, arrays)], np.uint32)
+    parts = [a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in (sizes, *arrays)]
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, at, arrays = np.frombuffer(zstandard.decompress(data), np.uint8), 0, []
+
+    def take(n: int) -> np.ndarray:
+        nonlocal at
+        part = raw[at : at + 4 * n].reshape(4, n).T.copy().view("<u4").reshape(-1)
+        at += 4 * n
+        return part
+
+    # The sizes are an array themselves, of unknown length: its first plane starts with it.
+    n = int(raw[0])
+    for size in take(n + 1)[1:]:
+        arrays.append(take(int(size)))
+    return arrays
+
+
+def packed_bytes(items: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, items), "<u4", len(items))
+    head = packed(lengths)
+    return len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join(items), 3)
+
+
+def unpacked_bytes(data: bytes) -> list[bytes]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    (lengths,) = unpacked(data[4:at])
+    blob = zstandard.decompress(data[at:])
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class _Block:
-    def __init__(self, name: str) -> None:
-        self.name = name
+    def __init__(self) -> None:
         self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids: list[int | None] = []
         self.lengths: list[int] = []
         self.parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id, text: str | None, pattern: regex.Pattern) -> None:
+    def add(self, doc_id: int | None, text: str | None, pattern: regex.Pattern) -> None:
         self.ids.append(doc_id)
         length = 0
         for words in pieces_of(pattern, text or ""):
@@ -58,138 +100,129 @@ class _Block:
         self.lengths.append(length)
         self.size += len(text or "") + 64
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, name: int, buckets: int) -> pa.RecordBatch:
         words = [w.encode() for w in self.numbers]
-        places = np.concatenate([*self.parts, np.zeros(0, np.uint32)])
-        head = np.array([len(self.ids), len(words)], np.uint32).tobytes()
-        layout = head + np.array(self.lengths, np.uint64).tobytes() + places.tobytes()
-        ids = pa.array(self.ids)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
-            out.write_batch(pa.record_batch([ids], ["id"]))
-        yield _batch(self.name, [-1], [None], [zlib.compress(_planes(layout), 1)], [
-            sink.getvalue().to_pybytes()
-        ])
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            empty = [None] * len(part)
-            yield _batch(self.name, range(at, at + len(part)), part, empty, empty)
-
-
-def _planes(data: bytes) -> bytes:
-    """Bytes of 4-byte numbers by their place in the number, which compresses better."""
-    return np.frombuffer(data, np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplanes(data: bytes) -> bytes:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.tobytes()
-
-
-def _batch(name: str, slots, words, layouts, ids) -> pa.RecordBatch:
-    n = len(words)
-    return pa.record_batch(
-        [
-            pa.array([name] * n, pa.string()),
-            pa.array(slots, pa.int32()),
-            pa.array(words, pa.binary()),
-            pa.array(layouts, pa.binary()),
-            pa.array(ids, pa.binary()),
-        ],
-        ["block", "slot", "word", "layout", "ids"],
-    )
+        tokens = np.concatenate([*self.parts, np.zeros(0, np.uint32)])
+        by_bytes = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % buckets
+        order = by_bytes[np.argsort(hashes[by_bytes], kind="stable")]
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+
+        # Words met once are a zero and their places in text order, others their frequency
+        # rank from 1, which keeps the positions small.
+        frequency = np.bincount(tokens, minlength=len(words))
+        often = np.flatnonzero(frequency > 1)
+        often = often[np.argsort(-frequency[often], kind="stable")]
+        rank = np.zeros(len(words), np.int64)
+        rank[often] = np.arange(1, len(often) + 1)
+        codes = rank[tokens]
+        known = np.array([i is not None for i in self.ids], np.uint32)
+        values = np.array([i or 0 for i in self.ids], np.int64).view(np.uint32)
+        layout = packed(
+            np.array(self.lengths, np.uint64).view(np.uint32), known, values, codes,
+            place[often], place[tokens[codes == 0]],
+        )
+        rows = [(name, -1, layout)]
+        cuts = np.searchsorted(hashes[order], np.arange(buckets + 1)).tolist()
+        ordered = [words[i] for i in order.tolist()]
+        rows += [
+            (name, b, packed_bytes(ordered[lo:hi]))
+            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo
+        ]
+        return pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows), KINDS)], NAMES)
+
+
+def partitions(table: DataFrame) -> int:
+    return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def word_rows(
-    docs: DataFrame, id_col: str, text_col: str, pattern: str, block_chars: int = 16 << 20
+    docs: DataFrame, id_col: str, text_col: str, pattern: str, block_chars: int = 28 << 20
 ) -> DataFrame:
+    buckets = partitions(docs)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
-        task, number = TaskContext.get().partitionId(), count()
-        block = _Block(f"{task}-{next(number)}")
+        names = count(TaskContext.get().partitionId() << 32)
+        block = _Block()
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 block.add(doc_id.as_py(), text.as_py(), compiled)
                 if block.size >= block_chars:
-                    yield from block.rows()
-                    block = _Block(f"{task}-{next(number)}")
+                    yield block.rows(next(names), buckets)
+                    block = _Block()
         if block.ids:
-            yield from block.rows()
+            yield block.rows(next(names), buckets)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    )
     return rows.mapInArrow(split, ROWS)
 
 
-def per_word(rows: DataFrame, make: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
-    """Put ``make()(word)`` into ``ids`` of every word row, working once per distinct word.
+def per_word(
+    rows: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bytes]]]
+) -> DataFrame:
+    """Replace the words of every bucket row by their results, working once per distinct word.
 
-    Words arrive in byte order within a task.  Layout rows pass.
+    ``make()`` gets lists of new words in byte order and returns their results.  Layout rows pass.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        result_of, last, result = make(), None, b""
+        results_of, bucket, known = make(), None, {}
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            results = batch.column(4).to_pylist()
-            for i, word in enumerate(words):
-                if word is not None:
-                    if word != last:
-                        last, result = word, result_of(word)
-                    results[i] = result
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.nulls(len(words), pa.binary()),
-                    batch.column(3),
-                    pa.array(results, pa.binary()),
-                ],
-                ["block", "slot", "word", "layout", "ids"],
-            )
-
-    # Layout rows have no word; their block's name spreads them.
-    key = F.coalesce(F.xxhash64("word"), F.xxhash64("block"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_key", F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(key))
-    return (
-        dealt.repartition(n, "_key").sortWithinPartitions("word").drop("_key").mapInArrow(work, ROWS)
-    )
+            data = batch.column(2).to_pylist()
+            for i, number in enumerate(batch.column(1).to_pylist()):
+                if number < 0:
+                    continue
+                if number != bucket or len(known) > REMEMBERED:
+                    bucket, known = number, {}
+                words = unpacked_bytes(data[i])
+                new = [w for w in words if w not in known]
+                known.update(zip(new, results_of(new)))
+                data[i] = packed_bytes([known[w] for w in words])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(data, KINDS[2])], NAMES)
+
+    # Layout rows are dealt by their block.
+    key = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.xxhash64("bucket"))
+    dealt = rows.withColumn("_key", key).repartition(partitions(rows), "_key")
+    return dealt.sortWithinPartitions("bucket").select(*NAMES).mapInArrow(work, ROWS)
 
 
 class Layout:
-    """Positions of a block: number of every pre-token in text order, by document."""
-
-    def __init__(self, layout: bytes, ids: bytes) -> None:
-        data = _unplanes(zlib.decompress(layout))
-        n, self.words = (int(x) for x in np.frombuffer(data, np.uint32, 2))
-        self.lengths = np.frombuffer(data, np.uint64, n, 8).astype(np.int64)
-        self.places = np.frombuffer(data, np.uint32, offset=8 + 8 * n)
-        self.ids = pa.ipc.open_stream(ids).read_all().column("id").to_pylist()
+    """Documents of a block: ids, and for each of their pre-tokens the place of its result."""
+
+    def __init__(self, data: bytes) -> None:
+        lengths, known, values, codes, often, once = unpacked(data)
+        self.lengths = lengths.view(np.uint64).astype(np.int64)
+        self.ids = [
+            value if there else None for value, there in zip(values.view(np.int64).tolist(), known)
+        ]
+        self.places = np.empty(len(codes), np.int64)
+        self.places[codes > 0] = often[codes[codes > 0].astype(np.int64) - 1]
+        self.places[codes == 0] = once
         ends = np.cumsum(self.lengths)
         self.bounds = list(zip((ends - self.lengths).tolist(), ends.tolist()))
 
 
 def per_block(
-    rows: DataFrame, finish: Callable[[Layout, list[bytes]], pa.RecordBatch], schema: str
+    rows: DataFrame, finish: Callable[[Layout, list[bytes]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """Rows of ``finish(layout, results)``; ``results`` has the result of each word number."""
+    """Rows of ``finish(layout, results)``; a pre-token's result is at its place in ``results``."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, results, name = None, [], None
         for batch in batches:
-            columns = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for block, slot, packed, ids in zip(*columns):
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(2)):
                 if block != name:
                     if layout is not None:
                         yield from finish(layout, results)
-                    layout, results, name = Layout(packed, ids), [], block
+                    layout, results, name = Layout(data.as_py()), [], block
                 else:
-                    results.append(ids)
+                    results += unpacked_bytes(data.as_py())
         if layout is not None:
             yield from finish(layout, results)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = rows.select("block", "slot", "layout", "ids")
-    schema_in = slim.repartition(n, "block").sortWithinPartitions("block", "slot").select(
-        "block", "slot", F.lit(None).cast("binary").alias("word"), "layout", "ids"
-    )
-    return schema_in.mapInArrow(assemble, schema)
+    dealt = rows.repartition(partitions(rows), "block").sortWithinPartitions("block", "bucket")
+    return dealt.mapInArrow(assemble, schema)

@@ -70,13 +70,13 @@ class SharedForward:
 
 def unigram_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS,
-    pattern: str = public_tokenizers.PATTERN, unknown: float = -30.0, block_chars: int = 16 << 20,
+    pattern: str = public_tokenizers.PATTERN, unknown: float = -30.0, block_chars: int = 28 << 20,
 ) -> DataFrame:
     """One row per document: id, n_pretokens, n_tokens."""
 
     def counter():
         forward = SharedForward(zipf_scores(ranks_path), unknown)
-        return lambda word: np.uint32(forward.count(word)).tobytes()
+        return lambda words: [forward.count(word).to_bytes(4, "little") for word in words]
 
     def finish(layout: Layout, results: list[bytes]) -> Iterator[pa.RecordBatch]:
         of_word = np.frombuffer(b"".join(results), np.uint32).astype(np.int64)
