@@ -14,6 +14,7 @@ from diffloom.llm.license_scan import NOTICES, license_scan
 from diffloom.llm.minhash_dedup import near_duplicates
 from diffloom.llm.packing import pack
 from diffloom.llm.token_counts import unigram_counts
+from diffloom.llm.toxicity import toxicity
 from diffloom.llm.vector_dedup import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,18 @@ def op4_exact_stream(spark, sf_dir):
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op5_toxicity_neighbours(spark, sf_dir):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    training = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    scored = toxicity(table(spark, sf_dir, "documents"), training)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_nnls_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), window=2048, terminator=1).drop("cut")
 
