@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.llm.graph import components
@@ -35,8 +35,6 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
 
     Keys with the same nodes are one bucket.
     """
-    from pyspark.sql import Window
-
     same = Window.partitionBy("key")
     seen = keys.select(
         "node", "size",
@@ -52,7 +50,7 @@ def bucket_components(
 ) -> DataFrame:
     """node, component for the nodes that have a link.
 
-    ``buckets`` is stored already and has bucket, node (long) and size of the node's set;
+    ``buckets`` is stored already and has bucket, node (any orderable type) and size of the node's set;
     sizes further apart than ``similarity`` allows are no pair.  ``verify`` gets a
     table of pairs (a, b), a < b, and returns those that are links.
     """
@@ -65,8 +63,8 @@ def bucket_components(
         )
         # The largest component of a bucket needs no leaders: the others' have met it.
         state = classes.groupBy("bucket").agg(
-            F.max_by("component", F.struct("n", -F.col("component"))).alias("main"),
-            F.max_by("untried", F.struct("n", -F.col("component"))).alias("_main_untried"),
+            F.max_by("component", F.struct("n", "component")).alias("main"),
+            F.max_by("untried", F.struct("n", "component")).alias("_main_untried"),
             F.sum("untried").alias("_untried"),
         ).select("bucket", "main", (F.col("_untried") - F.col("_main_untried")).alias("open"))
         state = stored(state.where("open > 0"))

@@ -11,6 +11,7 @@ from diffloom.llm.byte_bpe import round_trip
 from diffloom.llm.chat_format import perspectives
 from diffloom.llm.exact_dedup import exact_duplicates
 from diffloom.llm.license_scan import NOTICES, license_scan
+from diffloom.llm.line_dedup import line_components
 from diffloom.llm.minhash_dedup import near_duplicates
 from diffloom.llm.packing import pack
 from diffloom.llm.token_counts import unigram_counts
@@ -52,6 +53,10 @@ def op5_toxicity_neighbours(spark, sf_dir):
     )
 
 
+def op6_fuzzy_lines(spark, sf_dir):
+    return line_components(table(spark, sf_dir, "documents"))
+
+
 def op7_nnls_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), window=2048, terminator=1).drop("cut")
 
