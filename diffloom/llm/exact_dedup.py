@@ -12,8 +12,8 @@ digest.  Rows whose bytes differ (a collision of SHA-256) form groups by their t
 
 Defined results: a null text counts as empty; empty texts are equal to each other;
 rows repeated as a whole, id included, count as rows of the group and all of them say
-``kept`` if their id stays; a null id never stays unless all ids of the group are null
-(then ``keep_id`` and ``kept`` are null and false); other columns are ignored; an empty
+``kept`` if their id stays; a null id does not stay unless all ids of the group are
+null (then ``keep_id`` is null and all of them stay); other columns are ignored; an empty
 table gives an empty result.  Normalisation lower-cases A-Z and nothing else.
 """
 
@@ -144,6 +144,6 @@ def exact_duplicates(
         F.col("_id").alias(id_col),
         "keep_id",
         "group_size",
-        F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         F.col("_digest").alias("text_sha256"),
     )
