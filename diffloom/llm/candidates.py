@@ -5,7 +5,10 @@ members of other components are verified.  A bucket is done when all its members
 in one component, or when every member outside its largest component has been a leader;
 then each pair of its members is either verified or known to be connected.  A bucket of
 near copies is done after one leader, that is after as many pairs as it has members.
-The number of leaders grows eightfold by round, so buckets of unrelated members also end
+The first leader is the member that meets most others in all its buckets, which the
+common origin of near copies does.  The first round looks at a part of the buckets only;
+after it most others have all their members in one component and cost nothing.  Then
+the number of leaders grows eightfold by round, so buckets of unrelated members also end
 after few rounds.  There is no cap: every bucket is worked on until it is done.
 """
 
@@ -30,82 +33,110 @@ def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     )
 
 
-def shared_buckets(keys: DataFrame) -> DataFrame:
-    """bucket, node, size of the keys(key, node, size) that at least two nodes have.
+def shared_buckets(keys: DataFrame, parts: int) -> DataFrame:
+    """bucket, node, first, weight of the keys(key, node) that at least two nodes have.
 
-    Keys with the same nodes are one bucket.
+    Keys with the same nodes are one bucket.  ``first`` marks the buckets of the first
+    round, about one in ``parts``.  The weight of a node counts the nodes it meets in its
+    buckets, repeatedly.  Keys and nodes are long, so the rows of this exchange are small.
     """
     same = Window.partitionBy("key")
     seen = keys.select(
-        "node", "size",
-        F.count("*").over(same).alias("_n"),
+        "node",
+        (F.pmod("key", F.lit(parts)) == 0).alias("first"),
+        F.count("*").over(same).alias("n"),
         F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(same).alias("_a"),
         F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).over(same).alias("_b"),
-    ).where("_n > 1")
-    return seen.select(F.xxhash64("_n", "_a", "_b").alias("bucket"), "node", "size").distinct()
-
+    ).where("n > 1")
+    members = stored(
+        seen.groupBy(F.xxhash64("n", "_a", "_b").alias("bucket"), "node")
+        .agg(F.max("first").alias("first"), F.max("n").alias("n"))
+    )
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    return members.drop("n").join(weights, "node")
 
-def bucket_components(
-    buckets: DataFrame, verify: Verify, similarity: float, first: int = 1, growth: int = 8
-) -> DataFrame:
-    """node, component for the nodes that have a link.
 
-    ``buckets`` is stored already and has bucket, node (any orderable type) and size of the node's set;
-    sizes further apart than ``similarity`` allows are no pair.  ``verify`` gets a
-    table of pairs (a, b), a < b, and returns those that are links.
-    """
-    members = buckets.withColumn("tried", F.lit(False))
-    labels, links, leaders = None, None, first
-    while True:
-        tagged = with_components(members, labels)
-        classes = tagged.groupBy("bucket", "component").agg(
-            F.count("*").alias("n"), F.count(F.when(~F.col("tried"), 1)).alias("untried")
-        )
-        # The largest component of a bucket needs no leaders: the others' have met it.
-        state = classes.groupBy("bucket").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"),
-            F.max_by("untried", F.struct("n", "component")).alias("_main_untried"),
-            F.sum("untried").alias("_untried"),
-        ).select("bucket", "main", (F.col("_untried") - F.col("_main_untried")).alias("open"))
-        state = stored(state.where("open > 0"))
-        if state.isEmpty():
-            return labels
-        members = stored(tagged.join(state, "bucket"))
-        is_open = ~F.col("tried") & (F.col("component") != F.col("main"))
-        chance = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(1 << 20)) * F.col("open")
-        least = stored(
-            members.where(is_open).groupBy("bucket").agg(F.min("node").alias("least"))
+def _round(members: DataFrame, labels, leaders: int, verify: Verify, similarity: float):
+    """One round: (members of open buckets with new ``tried``, links found), None when done."""
+    tagged = with_components(members, labels)
+    classes = tagged.groupBy("bucket", "component").agg(
+        F.count("*").alias("n"), F.count(F.when(~F.col("tried"), 1)).alias("untried")
+    )
+    # The largest component of a bucket needs no leaders: the others' have met it.
+    largest = F.struct("n", "component")
+    state = classes.groupBy("bucket").agg(
+        F.count("*").alias("classes"),
+        F.max("n").alias("most"),
+        F.max_by("component", largest).alias("main"),
+        F.max_by("untried", largest).alias("_main_untried"),
+        F.sum("untried").alias("_untried"),
+    ).select("bucket", "main", "most", "classes", (F.col("_untried") - F.col("_main_untried")).alias("open"))
+    state = stored(state.where("classes > 1 and open > 0"))
+    if state.isEmpty():
+        return None
+    members = stored(tagged.join(state, "bucket"))
+    # Where no two members are connected yet, any of them may lead.
+    is_open = ~F.col("tried") & ((F.col("component") != F.col("main")) | (F.col("most") == 1))
+    chance = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(1 << 20)) * F.col("open")
+    central = stored(
+        members.where(is_open).groupBy("bucket").agg(
+            F.max_by("node", F.struct("weight", "node")).alias("central")
         )
-        marked = members.join(least, "bucket", "left").withColumn(
+    )
+    marked = stored(
+        members.join(central, "bucket", "left").withColumn(
             "leads",
-            is_open & ((F.col("node") == F.col("least")) | (chance < F.lit(leaders << 20))),
-        )
-        marked = stored(marked.select("bucket", "node", "size", "component", "tried", "leads"))
-        lead = stored(
-            marked.where("leads").select(
-                "bucket",
-                F.col("node").alias("leader"),
-                F.col("size").alias("leader_size"),
-                F.col("component").alias("leader_component"),
-            )
-        )
-        pairs = (
-            marked.join(lead, "bucket")
-            .where(
-                (F.col("component") != F.col("leader_component"))
-                & (F.col("size") >= F.lit(similarity) * F.col("leader_size"))
-                & (F.col("leader_size") >= F.lit(similarity) * F.col("size"))
-            )
-            .select(
-                F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-            )
-            .distinct()
+            is_open
+            & (
+                (F.col("node") == F.col("central"))
+                | (F.lit(leaders > 1) & (chance < F.lit(leaders << 20)))
+            ),
+        ).select("bucket", "node", "size", "weight", "component", "tried", "leads")
+    )
+    lead = stored(
+        marked.where("leads").select(
+            "bucket",
+            F.col("node").alias("leader"),
+            F.col("size").alias("leader_size"),
+            F.col("component").alias("leader_component"),
         )
-        found = stored(verify(pairs))
-        members = marked.select(
-            "bucket", "node", "size", (F.col("tried") | F.col("leads")).alias("tried")
+    )
+    pairs = (
+        marked.join(lead, "bucket")
+        .where(
+            (F.col("component") != F.col("leader_component"))
+            & (F.col("size") >= F.lit(similarity) * F.col("leader_size"))
+            & (F.col("leader_size") >= F.lit(similarity) * F.col("size"))
         )
-        leaders *= growth
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        .distinct()
+    )
+    found = stored(verify(pairs))
+    rest = marked.select(
+        "bucket", "node", "size", "weight", (F.col("tried") | F.col("leads")).alias("tried")
+    )
+    return rest, found
+
+
+def bucket_components(
+    buckets: DataFrame, verify: Verify, similarity: float, growth: int = 8
+) -> DataFrame | None:
+    """node, component for the nodes that have a link; None without a link.
+
+    ``buckets`` is stored already and has bucket, node (any orderable type), size of the
+    node's set, first and weight; sizes further apart than ``similarity`` allows are no
+    pair.  ``verify`` gets a table of pairs (a, b), a < b, and returns those that are links.
+    """
+    labels, links = None, None
+    members = buckets.withColumn("tried", F.lit(False))
+    for wave in (members.where("first"), members):
+        rest, leaders = wave.drop("first"), 1
+        while (done := _round(rest, labels, leaders, verify, similarity)) is not None:
+            rest, found = done
+            leaders *= growth
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = components(links)
+            if wave is not members:
+                break
+    return labels

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.llm.bitmap import KeyBitmap
 from diffloom.llm.candidates import bucket_components, shared_buckets
 from diffloom.storage import stored
 
@@ -127,15 +128,15 @@ def signatures(
 
 
 def table_keys(representatives: DataFrame, keys: int) -> DataFrame:
-    """key, node, size: one row per table, a pair of a left and a right half key."""
+    """key, node: one row per table, a pair of a left and a right half key."""
     sides = representatives.select(
-        "node", "size",
+        "node",
         F.slice("halves", 1, keys).alias("left"),
         F.slice("halves", keys + 1, keys).alias("right"),
     )
-    lefts = sides.select("node", "size", "right", F.posexplode("left").alias("i", "u"))
-    both = lefts.select("node", "size", "i", "u", F.posexplode("right").alias("j", "v"))
-    return both.select(F.xxhash64("i", "u", "j", "v").alias("key"), "node", "size")
+    lefts = sides.select("node", "right", F.posexplode("left").alias("i", "u"))
+    both = lefts.select("node", "i", "u", F.posexplode("right").alias("j", "v"))
+    return both.select(F.xxhash64("i", "u", "j", "v").alias("key"), "node")
 
 
 def verified(texts: DataFrame, n: int, similarity: Fraction):
@@ -173,13 +174,17 @@ def near_duplicates(
             F.first("halves").alias("halves"),
         )
     )
-    buckets = stored(shared_buckets(table_keys(classes, keys)))
+    shared = shared_buckets(table_keys(classes, keys), parts=16)
+    sizes = classes.groupBy("node").agg(F.max("size").alias("size"))
+    buckets = stored(shared.join(sizes, "node"))
     needed = stored(buckets.select("node").distinct())
     all_texts = docs.select(
         F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")
     )
+    there = KeyBitmap(needed, "node").may_have("node")
     texts = stored(
-        all_texts.join(needed, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+        all_texts.where(there).join(needed, "node", "left_semi").groupBy("node")
+        .agg(F.max("text").alias("text"))
     )
     exact = Fraction(similarity).limit_denominator(10_000)
     labels = bucket_components(buckets, verified(texts, words, exact), similarity)

@@ -79,7 +79,9 @@ def test_components_of_chain_star_and_cycle(spark):
 def test_bucket_of_bridged_groups_needs_no_pairs_of_one_group(spark):
     """Two groups in one bucket that only the pair (19, 20) links."""
     nodes = list(range(40))
-    buckets = stored(spark.createDataFrame([(1, i, 1) for i in nodes], "bucket long, node long, size int"))
+    rows = [(1, i, 1, True, 40) for i in nodes]
+    schema = "bucket long, node long, size int, first boolean, weight long"
+    buckets = stored(spark.createDataFrame(rows, schema))
     asked = []
 
     def verify(pairs):
