@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-Terms that toxic training texts have significantly more often than others (a chi-square
-test over all labelled texts) span the space, so a text is a short sparse vector, and all
+Terms that toxic training texts have several times as often as others (``least_lift``),
+and significantly so (a chi-square test over all labelled texts), span the space, so a text is a short sparse vector, and all
 steps after the first two passes over the texts run on a small table of such vectors.
 Inverse document frequencies come from all documents.
 
@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.llm.bitmap import KeyBitmap
 from diffloom.storage import stored
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -79,7 +80,7 @@ def term_statistics(labelled: DataFrame) -> DataFrame:
 
 
 def chosen_terms(
-    statistics: DataFrame, least_chi: float, least_texts: int, max_terms: int
+    statistics: DataFrame, least_chi: float, least_lift: float, least_texts: int, max_terms: int
 ) -> tuple[list[bytes], int, int]:
     """Terms of toxic texts by chi-square, and the numbers of toxic and other texts."""
     statistics = stored(statistics)
@@ -93,7 +94,7 @@ def chosen_terms(
     chi = F.when(spread > 0, (a * d - b * c) ** 2 * n / spread)
     rows = (
         statistics.where(F.length("term") > 0).where(a + b >= least_texts)
-        .where(a * other > b * toxic)
+        .where(a * other >= F.lit(least_lift) * b * toxic)
         .withColumn("chi", chi).where(F.col("chi") >= least_chi)
         .orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()
     )
@@ -260,7 +261,7 @@ def calibrated(vote: Column, rates: list[float], absent: float) -> Column:
 def toxicity(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", k: int = 25, max_examples: int = 4096, max_terms: int = 4096,
-    least_chi: float = 30.0, least_texts: int = 5, bins: int = 20, shown: int = 3,
+    least_chi: float = 30.0, least_lift: float = 3.0, least_texts: int = 5, bins: int = 20, shown: int = 3,
 ) -> DataFrame:
     """One row per document: id, score, evidence; ``training`` has (id_col, label_col)."""
     labels = stored(
@@ -269,8 +270,10 @@ def toxicity(
         .agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).cast("int").alias("label"))
     )
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    labelled = KeyBitmap(labels, "id").may_have("id")
     terms, toxic, other = chosen_terms(
-        term_statistics(own.join(labels, "id")), least_chi, least_texts, max_terms
+        term_statistics(own.where(labelled).join(labels, "id")),
+        least_chi, least_lift, least_texts, max_terms,
     )
     rate = toxic / (toxic + other) if toxic + other else 0.0
     vectors = stored(sparse_vectors(own, "id", "text", terms))
