@@ -25,6 +25,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffloom.llm.bitmap import KeyBitmap
 from diffloom.storage import shared_folder, stored
 
 STATE = "spark.sql.streaming.stateStore"
@@ -122,7 +123,8 @@ def exact_duplicates(
     rows = _located(spark.read.parquet(path), id_col, text_col)
 
     hits = groups.where("group_size > 1").select("_digest", "at")
-    texts = rows.join(hits, "_digest").select("_digest", "_at", "at", "_text")
+    hit = KeyBitmap(hits, "_digest").may_have("_digest")
+    texts = rows.where(hit).join(hits, "_digest").select("_digest", "_at", "at", "_text")
     held = texts.where(F.col("_at") == F.col("at")).select("_digest", F.col("_text").alias("held"))
     unequal = stored(
         texts.select("_digest", "_text").join(stored(held), "_digest")
