@@ -192,6 +192,7 @@ NON_SOURCE_SUFFIXES = """
 .xml
 """.split()
 MAX_DIAGRAM_NODES = 25
+NAME_CHARS = 40
 MAX_FLOW_FILES = 8
 
 # --- snapshots and compare reports ------------------------------------------

@@ -21,6 +21,7 @@ from diffloom.functions.rules import (
     EVENT_PATTERNS,
     MAX_DIAGRAM_NODES,
     MAX_FLOW_FILES,
+    NAME_CHARS,
     NON_SOURCE_LINES,
     NON_SOURCE_SHARE,
     NON_SOURCE_SUFFIXES,
@@ -88,11 +89,11 @@ def _inside(line: Column, pattern: str) -> Column:
     return strip(F.regexp_extract(line, java_regex(pattern), 1))
 
 
-def _wrapped(word: str, inner: Column, cut: bool) -> Column:
-    """``word (inner)``, with inner shortened to 40 characters where ``cut``."""
-    if cut:
-        short = F.concat(F.substring(inner, 1, 40), F.lit("..."))
-        inner = F.when(F.length(inner) > 40, short).otherwise(inner)
+def _wrapped(word: str, inner: Column, chars: int | None) -> Column:
+    """``word (inner)``, with inner shortened to ``chars`` characters (None: whole)."""
+    if chars is not None:
+        short = F.concat(F.substring(inner, 1, chars), F.lit("..."))
+        inner = F.when(F.length(inner) > chars, short).otherwise(inner)
     return F.concat(F.lit(word + " ("), inner, F.lit(")"))
 
 
@@ -102,10 +103,10 @@ def _at_start(line: Column, pattern: str) -> Column:
     return line.startswith(word) & line.rlike(java_regex(pattern))
 
 
-def _clause(line: Column, word: str, pattern: str, flow_type: str, cut: bool) -> tuple:
+def _clause(line: Column, word: str, pattern: str, flow_type: str, chars: int | None) -> tuple:
     """Condition and node of ``word (...)``; empty parentheses give no node."""
     inner = _inside(line, pattern)
-    node = F.when(inner != "", _node(flow_type, _wrapped(word, inner, cut), inner))
+    node = F.when(inner != "", _node(flow_type, _wrapped(word, inner, chars), inner))
     return _at_start(line, pattern), node.otherwise(_nothing())
 
 
@@ -120,10 +121,10 @@ def _first(*rules: tuple) -> Column:
     return chain.otherwise(_nothing())
 
 
-def _if_else(line: Column) -> Column:
+def _if_else(line: Column, chars: int | None) -> Column:
     return _first(
-        _clause(line, "if", r"^if\s*\((.*?)\)", IF_ELSE, True),
-        _clause(line, "else if", r"^else\s+if\s*\((.*?)\)", IF_ELSE, True),
+        _clause(line, "if", r"^if\s*\((.*?)\)", IF_ELSE, chars),
+        _clause(line, "else if", r"^else\s+if\s*\((.*?)\)", IF_ELSE, chars),
         _fixed(line, "else", r"^else\s*[{:]?\s*$", IF_ELSE),
     )
 
@@ -133,24 +134,24 @@ def _switch_case(line: Column) -> Column:
     value = _inside(line, case)
     case_node = F.when(value != "", _node(SWITCH_CASE, F.concat(F.lit("case "), value)))
     return _first(
-        _clause(line, "switch", r"^switch\s*\((.*?)\)", SWITCH_CASE, False),
+        _clause(line, "switch", r"^switch\s*\((.*?)\)", SWITCH_CASE, None),
         (_at_start(line, case), case_node.otherwise(_nothing())),
         _fixed(line, "default", r"^default\s*:", SWITCH_CASE),
     )
 
 
-def _loop(line: Column) -> Column:
+def _loop(line: Column, chars: int | None) -> Column:
     return _first(
-        _clause(line, "for", r"^for\s*\((.*?)\)", LOOP, True),
-        _clause(line, "while", r"^while\s*\((.*?)\)", LOOP, True),
-        _clause(line, "foreach", r"^for(?:each)?\s+\(.*?\s+(?:in|:)\s+(.*?)\)", LOOP, False),
+        _clause(line, "for", r"^for\s*\((.*?)\)", LOOP, chars),
+        _clause(line, "while", r"^while\s*\((.*?)\)", LOOP, chars),
+        _clause(line, "foreach", r"^for(?:each)?\s+\(.*?\s+(?:in|:)\s+(.*?)\)", LOOP, None),
     )
 
 
 def _try_catch(line: Column) -> Column:
     catch = r"^catch\s*\((.*?)\)"
     what = _inside(line, catch)
-    name = F.when(what != "", _wrapped("catch", what, False)).otherwise(F.lit("catch"))
+    name = F.when(what != "", _wrapped("catch", what, None)).otherwise(F.lit("catch"))
     return _first(
         _fixed(line, "try", r"^try\s*[{:]?\s*$", TRY_CATCH),
         (_at_start(line, catch), _node(TRY_CATCH, name, what)),
@@ -171,10 +172,12 @@ def _event_or_call(line: Column) -> Column:
     return _first(*rules, (line.contains("(") & (callee != "") & ~ignored, call))
 
 
-def flow_nodes(documents: DataFrame, keys: list[str]) -> DataFrame:
+def flow_nodes(documents: DataFrame, keys: list[str], name_chars: int | None = None) -> DataFrame:
     """``keys, ord, flow_type, name, condition, line_number`` per distinct node.
 
-    ``documents`` has the key columns and ``code``.
+    ``documents`` has the key columns and ``code``.  Names are whole and nodes differ by
+    whole names; diagrams take nodes with ``name_chars=NAME_CHARS``, whose conditions are
+    shortened, and those that then are equal are one.
     """
     lines = documents.select(
         *keys, F.inline_outer(source_lines(F.col("code"))).alias("line_number", "line", "noise")
@@ -182,9 +185,9 @@ def flow_nodes(documents: DataFrame, keys: list[str]) -> DataFrame:
     line = F.col("line")
     detected = computed(
         lines.select(*keys, "line_number", "line"),
-        n1=_if_else(line),
+        n1=_if_else(line, name_chars),
         n2=_switch_case(line),
-        n3=_loop(line),
+        n3=_loop(line, name_chars),
         n4=_try_catch(line),
         n5=_event_or_call(line),
     )
@@ -215,14 +218,15 @@ def flow_counts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.count("*").alias("flows"))
 
 
-def first_flow_files(nodes: DataFrame, limit: int = MAX_FLOW_FILES) -> DataFrame:
-    """The first files of a patch that have at least one node."""
+def first_flow_files(nodes: DataFrame, limit: int | None = MAX_FLOW_FILES) -> DataFrame:
+    """The first files of a patch that have at least one node (``limit=None``: all)."""
     order = Window.partitionBy("patch_id").orderBy("file_seq")
     counted = flow_counts(nodes, ["patch_id", "file_seq"])
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def flow_edges(nodes: DataFrame, keys: list[str], limit: int | None = MAX_DIAGRAM_NODES) -> DataFrame:
+def flow_edges(nodes: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Chain Start -> flow_0 -> ... -> flow_end as ``keys, ord, src, dst``."""
     order = Window.partitionBy(*keys).orderBy("ord")
     shown = nodes.select(*keys, "ord")
@@ -256,7 +260,7 @@ def _gather(rows: DataFrame, keys: list[str], text: Column, *order: str) -> Colu
     return F.array_join(F.transform(entries, lambda e: e["text"]), "\n")
 
 
-def flowcharts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_NODES) -> DataFrame:
+def flowcharts(nodes: DataFrame, keys: list[str], limit: int | None = MAX_DIAGRAM_NODES) -> DataFrame:
     """Flowchart text of every document that has nodes (``keys, chart``)."""
     label = escape_label(F.col("name"))
     flow_id = F.concat(F.lit("    flow_"), F.col("ord") - 1)
@@ -276,7 +280,8 @@ def flowcharts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_NODES
     )
     total = F.count("*").over(Window.partitionBy(*keys))
     # Rows beyond the limit are counted, not gathered.
-    shown = nodes.withColumn("total", total).where(F.col("ord") <= limit)
+    counted = nodes.withColumn("total", total)
+    shown = counted if limit is None else counted.where(F.col("ord") <= limit)
     parts = shown.groupBy(*keys).agg(
         _gather(shown, keys, shape, "ord").alias("shapes"),
         _gather(shown, keys, arrow, "ord").alias("arrows"),
@@ -284,8 +289,8 @@ def flowcharts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_NODES
         F.max("ord").alias("last"),
     )
     end = F.when(
-        F.col("total") > limit,
-        F.concat(F.lit("    flow_end([End — "), F.col("total") - limit, F.lit(" more not shown])")),
+        F.col("total") > F.col("last"),
+        F.concat(F.lit("    flow_end([End — "), F.col("total") - F.col("last"), F.lit(" more not shown])")),
     ).otherwise(F.lit("    flow_end([End])"))
     last = F.concat(F.lit("    flow_"), F.col("last") - 1, F.lit(" --> flow_end"))
     chart = F.concat_ws(
@@ -294,19 +299,19 @@ def flowcharts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_NODES
     return parts.select(*keys, chart.alias("chart"))
 
 
-def _ranked(nodes: DataFrame, keys: list[str], kinds: list[str], limit: int) -> DataFrame:
+def _ranked(nodes: DataFrame, keys: list[str], kinds: list[str], limit: int | None) -> DataFrame:
     """Nodes of ``kinds``, one kind after the other, at most ``limit`` per document."""
     group = F.when(F.col("flow_type") == kinds[0], 0).otherwise(1)
     order = Window.partitionBy(*keys).orderBy("group", "ord")
-    return (
+    placed = (
         nodes.where(F.col("flow_type").isin(*kinds))
         .withColumn("group", group)
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= limit)
     )
+    return placed if limit is None else placed.where(F.col("place") <= limit)
 
 
-def sequence_charts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_NODES) -> DataFrame:
+def sequence_charts(nodes: DataFrame, keys: list[str], limit: int | None = MAX_DIAGRAM_NODES) -> DataFrame:
     """Events, then calls, as a message list; only documents that have some."""
     shown = _ranked(nodes, keys, [EVENT, CALL], limit)
     event = escape_label(
@@ -324,7 +329,7 @@ def sequence_charts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_
     )
 
 
-def state_charts(nodes: DataFrame, keys: list[str], limit: int = MAX_DIAGRAM_NODES) -> DataFrame:
+def state_charts(nodes: DataFrame, keys: list[str], limit: int | None = MAX_DIAGRAM_NODES) -> DataFrame:
     """Conditions, then switch cases, as states; only documents that have some."""
     shown = _ranked(nodes, keys, [IF_ELSE, SWITCH_CASE], limit)
     state = F.concat(F.lit("State_"), F.col("place") - 1)
@@ -360,7 +365,7 @@ def code_flow_charts(
     """One diagram text per document, also for documents without nodes."""
     draw = {"sequence": sequence_charts, "state": state_charts}.get(diagram_type, flowcharts)
     empty = EMPTY_CHARTS.get(diagram_type, EMPTY_CHARTS["flowchart"])
-    charts = draw(flow_nodes(documents, keys), keys)
+    charts = draw(flow_nodes(documents, keys, NAME_CHARS), keys)
     return documents.select(*keys).join(charts, keys, "left").select(
         *keys, F.coalesce("chart", F.lit(empty)).alias("chart")
     )

@@ -20,6 +20,7 @@ from diffloom.functions.text import (
     count_changed,
     extension,
     join_lines,
+    let,
     line_kind,
     pick,
     unify_newlines,
@@ -39,33 +40,65 @@ def parse_patches(patches: DataFrame) -> DataFrame:
     Output: ``patch_id, file_seq, old_path, new_path, path, extension, binary,
     hunks array<string>, n_hunks, body, added, deleted``.  A hunk is its text
     with the ``@@`` header as first line; ``body`` is all hunks joined.
+    ``path_repeats`` tells inside the patch row whether the path has other
+    entries, so that later steps exchange those only; it is computed where used.
     """
     text = F.regexp_replace(F.concat(F.lit("\n"), unify_newlines(F.col("content"))), r"\n\z", "")
     # The outer generator keeps Catalyst from adding a size() filter that would
     # cut every text twice; element 0 is what precedes the first file header.
+    pieces = F.split(text, CUT_FILES, -1)
     segments = patches.select(
-        "patch_id", F.posexplode_outer(F.split(text, CUT_FILES, -1)).alias("file_seq", "segment")
+        "patch_id",
+        _repeated(F.transform(pieces, lambda p: canonical_path(*_header_paths(p)))).alias("_repeated"),
+        F.posexplode_outer(pieces).alias("file_seq", "segment"),
     ).where("file_seq > 0")
     seg = F.col("segment")
-    # Lines of a header are rare inside hunks; only then is the whole text searched.
-    head = F.substring_index(seg, "\n@@ ", 1)
-    tail = F.substring(seg, F.length(head) + 1, F.length(seg))
-    strays = F.contains(tail, F.lit("\n+++ ")) | F.contains(tail, F.lit("\nBinary files"))
-    searched = F.when(strays, seg).otherwise(head)
-    new_paths = F.regexp_extract_all(searched, F.lit(NEW_PATH_LINE), F.lit(1))
+    strays = _stray_headers(seg)
+    old_path, new_path = _header_paths(seg)
     entries = computed(
         segments,
-        old_path=F.regexp_extract(seg, r"\A--- ([^\t\n]*)", 1),
-        new_path=F.coalesce(F.try_element_at(new_paths, F.lit(-1)), F.lit("")),
+        old_path=old_path,
+        new_path=new_path,
         binary=F.contains(seg, F.lit("\nBinary files")),
         hunks=_hunk_texts(F.when(strays, F.regexp_replace(seg, CONSUMED, "")).otherwise(seg)),
     )
     return finish_file_diffs(entries)
 
 
+def _stray_headers(segment: Column) -> Column:
+    """Header lines inside of hunks, which are rare; only then is the whole text searched."""
+    head = F.substring_index(segment, "\n@@ ", 1)
+    tail = F.substring(segment, F.length(head) + 1, F.length(segment))
+    return F.contains(tail, F.lit("\n+++ ")) | F.contains(tail, F.lit("\nBinary files"))
+
+
+def _header_paths(segment: Column) -> tuple[Column, Column]:
+    """Old and new path of the text from one file header to the next."""
+    head = F.substring_index(segment, "\n@@ ", 1)
+    searched = F.when(_stray_headers(segment), segment).otherwise(head)
+    new_paths = F.regexp_extract_all(searched, F.lit(NEW_PATH_LINE), F.lit(1))
+    return (
+        F.regexp_extract(segment, r"\A--- ([^\t\n]*)", 1),
+        F.coalesce(F.try_element_at(new_paths, F.lit(-1)), F.lit("")),
+    )
+
+
+def _repeated(paths: Column) -> Column:
+    """Paths of the files of a patch that occur more than once; element 0 is no file."""
+    files = F.array_sort(F.slice(paths, 2, F.greatest(F.size(paths) - 1, F.lit(0))))
+    return let(
+        files, lambda own: F.filter(own, lambda p, i: (i > 0) & (p == F.get(own, i - 1)))
+    )
+
+
 def finish_file_diffs(entries: DataFrame) -> DataFrame:
-    """Add the derived columns to ``patch_id, file_seq, old_path, new_path, binary, hunks``."""
+    """Add the derived columns to ``patch_id, file_seq, old_path, new_path, binary, hunks``.
+
+    ``path_repeats`` is null (not known) unless the entries say which paths repeat.
+    """
     named = entries.withColumn("path", canonical_path(F.col("old_path"), F.col("new_path")))
+    known = "_repeated" in entries.columns
+    repeats = F.array_contains("_repeated", F.col("path")) if known else F.lit(None).cast("boolean")
     body = named.select(
         "patch_id",
         "file_seq",
@@ -77,11 +110,13 @@ def finish_file_diffs(entries: DataFrame) -> DataFrame:
         "hunks",
         F.size("hunks").alias("n_hunks"),
         join_lines(F.col("hunks")).alias("body"),
+        repeats.alias("path_repeats"),
     )
     return body.select(
-        "*",
+        *[c for c in body.columns if c != "path_repeats"],
         count_changed(F.col("body"), "+").alias("added"),
         count_changed(F.col("body"), "-").alias("deleted"),
+        "path_repeats",
     )
 
 
@@ -114,18 +149,28 @@ def hunk_table(files: DataFrame) -> DataFrame:
     def number(group: int) -> Column:
         return F.regexp_extract(text, rf"\A{HUNK_HEADER}", group).try_cast("int")
 
+    # A hunk without a header stands for the line counts of a compare report.
     has_header = text.rlike(rf"\A{HUNK_HEADER}")
-    one = F.when(has_header, F.lit(1))
+
+    def count(group: int, placeholder: str) -> Column:
+        stated = F.regexp_extract(text, rf"(?m)^{placeholder}$", 1).try_cast("int")
+        return F.when(has_header, F.coalesce(number(group), F.lit(1))).otherwise(
+            F.coalesce(stated, F.lit(0))
+        )
+
+    def start(group: int) -> Column:
+        return F.when(has_header, number(group)).otherwise(F.lit(1))
+
     return rows.select(
         "patch_id",
         "file_seq",
         (F.col("pos") + 1).alias("hunk_seq"),
         "path",
         "extension",
-        number(1).alias("old_start"),
-        F.coalesce(number(2), one).alias("old_count"),
-        number(3).alias("new_start"),
-        F.coalesce(number(4), one).alias("new_count"),
+        start(1).alias("old_start"),
+        count(2, r"-\[(-?\d+) lines in old file\]").alias("old_count"),
+        start(3).alias("new_start"),
+        count(4, r"\+\[(-?\d+) lines in new file\]").alias("new_count"),
         count_changed(text, "+").alias("added"),
         count_changed(text, "-").alias("deleted"),
         "text",

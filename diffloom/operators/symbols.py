@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.functions.dialect import java_regex
+from diffloom.functions.dialect import java_regex, required_words
 from diffloom.functions.rules import SYMBOL_EXTENSIONS, SYMBOL_PATTERNS
 from diffloom.functions.text import computed, join_lines
 from diffloom.operators.hunk_filters import meaningful
 from diffloom.operators.parse import changed_only
 
 
+def needs_parenthesis(pattern: str) -> bool:
+    """Every match has a ``(``: the pattern has one outside of groups and alternatives."""
+    depth, found = 0, False
+    tokens = re.findall(r"\\.|\[\^?[^\]]*\]|.", pattern, re.S)
+    for tok, following in zip(tokens, [*tokens[1:], ""]):
+        depth += (tok == "(") - (tok == ")")
+        if depth == 0 and tok == "|":
+            return False
+        found = found or (depth == 0 and tok == r"\(" and following not in ("?", "*", "{"))
+    return found
+
+
+def _guarded(line: Column, pattern: str, name: Column) -> Column:
+    """Try the pattern only on lines with a literal that each of its matches has."""
+    words = required_words(pattern) or (["("] if needs_parenthesis(pattern) else [])
+    if not words:
+        return name
+    return F.when(reduce(or_, [line.contains(w) for w in words]), name).otherwise("")
+
+
 def _names(line: Column, patterns: list[str]) -> Column:
     """First non-empty group of each pattern on one line, '' where there is none."""
     found = []
@@ -20,7 +44,7 @@ def _names(line: Column, patterns: list[str]) -> Column:
         name = F.regexp_extract(line, regex, 1)
         if pattern.count(r"(\w+)") > 1:
             name = F.coalesce(F.nullif(name, F.lit("")), F.regexp_extract(line, regex, 2))
-        found.append(name)
+        found.append(_guarded(line, pattern, name))
     return F.array(*found)
 
 

@@ -39,12 +39,26 @@ class ReviewOptions:
     redaction_mode: str = API_SAFE
     strict_redaction: bool = False
     include_json: bool = True
+    # How many entries the reports show (None: all).  Tables are always complete.
+    symbols_in_summary: int | None = 5
+    symbols_in_prompt: int | None = 10
+    symbols_in_file: int | None = 20
+    facts_shown: int | None = 30
+    dependencies_per_side: int | None = 20
+    signature_chars: int | None = 80
+    top_token_paths: int | None = 10
 
 
 DEFAULTS = ReviewOptions()
-# How many entries the reports show.
-SYMBOLS_IN_SUMMARY, SYMBOLS_IN_PROMPT, SYMBOLS_IN_FILE = 5, 10, 20
-FACTS_SHOWN, TOP_TOKEN_PATHS = 30, 10
+
+
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def report_facts(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
+    """Facts as reports show them: signatures cut, and merged where they then agree."""
+    return arch.marked_facts(files, signature_chars=options.signature_chars)
 
 
 def review_rows(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
@@ -63,26 +77,35 @@ def review_rows(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFram
         (~F.col("binary") & (F.col("n_hunks") == 0)).alias("identical"),
         F.struct("score", "level", "reasons", "symbols").alias("own"),
         F.length(join_lines(F.col("kept_hunks"))).alias("chars"),
+        "path_repeats",
     )
+    # Most paths occur once in a patch.  Their rows decide for themselves and pass no
+    # exchange; only entries of repeated paths, or of files of which that is not
+    # known, meet in a window by patch and path.
+    repeats = F.coalesce("path_repeats", F.lit(True))
+    single, several = facts.where(~repeats), facts.where(repeats)
     counted = ~F.col("binary") & (F.col("n_kept") > 0)
+    deciding = F.when(~F.col("identical"), F.col("file_seq"))
+    counted_seq = F.when(counted, F.col("file_seq"))
     same_path = Window.partitionBy("patch_id", "path")
-    # The exchange is by patch and path: a patch with very many files spreads
-    # over the tasks, and only its documents, one row each, are put together.
-    placed = facts.withColumn(
-        "_last",
-        F.max_by(
-            F.struct("file_seq", "own"), F.when(~F.col("identical"), F.col("file_seq"))
-        ).over(same_path),
+    last = F.struct("file_seq", "own")
+    placed = single.select(
+        "*", F.when(deciding.isNotNull(), last).alias("_last"),
+        counted_seq.alias("_token_seq"), counted_seq.alias("path_seq"),
+    ).unionByName(
+        several.select(
+            "*", F.max_by(last, deciding).over(same_path).alias("_last"),
+            F.max(counted_seq).over(same_path).alias("_token_seq"),
+            F.min(counted_seq).over(same_path).alias("path_seq"),
+        )
     )
-    token_seq = F.max(F.when(counted, F.col("file_seq"))).over(same_path)
-    path_seq = F.min(F.when(counted, F.col("file_seq"))).over(same_path)
     return placed.select(
-        *facts.columns,
+        *[c for c in facts.columns if c != "path_repeats"],
         "_last.own.*",
         (F.col("file_seq") == F.col("_last.file_seq")).alias("is_last"),
         F.when(counted, F.col("chars")).alias("counted_chars"),
-        F.when(F.col("file_seq") == token_seq, chars_to_tokens(F.col("chars"))).alias("tokens"),
-        path_seq.alias("path_seq"),
+        F.when(F.col("file_seq") == F.col("_token_seq"), chars_to_tokens(F.col("chars"))).alias("tokens"),
+        "path_seq",
     )
 
 
@@ -143,13 +166,12 @@ def _by_risk() -> tuple[Column, Column]:
     return -F.col("score"), F.col("file_seq")
 
 
-def summary_lines(rows: DataFrame) -> DataFrame:
+def summary_lines(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
     """File table of the summary, one line per changed text file, with sort keys."""
-    symbols = F.col("symbols")
-    more = F.when(
-        F.size(symbols) > SYMBOLS_IN_SUMMARY, _text(" +", F.size(symbols) - SYMBOLS_IN_SUMMARY, " more")
-    ).otherwise("")
-    shown = F.concat(F.array_join(_quoted(F.slice(symbols, 1, SYMBOLS_IN_SUMMARY)), ", "), more)
+    symbols, shown_symbols = F.col("symbols"), _first(F.col("symbols"), options.symbols_in_summary)
+    left = F.size(symbols) - F.size(shown_symbols)
+    more = F.when(left > 0, _text(" +", left, " more")).otherwise("")
+    shown = F.concat(F.array_join(_quoted(shown_symbols), ", "), more)
     row = table_row(
         _text("`", F.col("path"), "`"),
         _text("+", F.col("added")),
@@ -168,7 +190,7 @@ def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
     def level_count(level: str) -> Column:
         return F.count_if(F.col("is_last") & (F.col("level") == level))
 
-    totals = summary_lines(rows).groupBy("patch_id").agg(
+    totals = summary_lines(rows, options).groupBy("patch_id").agg(
         F.count_if(_changed()).alias("changed_files"),
         F.count_if(listed & F.col("binary")).alias("binary_files"),
         F.sum(F.when(listed, F.col("added")).otherwise(0)).alias("lines_added"),
@@ -234,17 +256,19 @@ def changed_file_lists(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fact_lists(facts: DataFrame) -> DataFrame:
-    """One array of texts per kind and patch, capped where reports cap them."""
+def _fact_lists(facts: DataFrame, options: ReviewOptions) -> DataFrame:
+    """One array of texts per kind and patch, with the limits of the options."""
     columns = []
     for kind in FACT_KINDS:
         wanted = F.col("kind") == kind
-        if kind == arch.API:
-            # API facts are numbered without gaps, so the rest need not travel.
-            wanted = wanted & (F.col("ord") <= FACTS_SHOWN)
+        # Facts are numbered without gaps, so those beyond a limit need not travel.
+        if kind == arch.API and options.facts_shown is not None:
+            wanted = wanted & (F.col("ord") <= options.facts_shown)
+        if kind == arch.DEPENDENCY and options.dependencies_per_side is not None:
+            wanted = wanted & (F.col("list_place") <= options.dependencies_per_side)
         entries = F.array_sort(F.collect_list(F.when(wanted, F.struct("ord", "text"))))
         if kind == arch.DEPENDENCY:
-            entries = F.slice(entries, 1, FACTS_SHOWN)
+            entries = _first(entries, options.facts_shown)
         columns.append(F.transform(entries, lambda e: e["text"]).alias(kind))
     return facts.groupBy("patch_id").agg(*columns)
 
@@ -269,8 +293,8 @@ _NOTES = (
 
 
 def architecture_reports(facts: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
-    """Architecture report per patch from :func:`arch.marked_facts`."""
-    lists = _fact_lists(facts)
+    """Architecture report per patch from :func:`report_facts`."""
+    lists = _fact_lists(facts, options)
     subsystems = F.array_join(_quoted(F.col(arch.SUBSYSTEM)), ", ")
     parts = [
         F.lit(f"# Architecture Changes\n\n> Generated: {options.generated_at}\n"),
@@ -337,7 +361,7 @@ def prompt_parts(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFram
         diff = join_lines(F.col("kept_hunks"))
     symbols = F.when(
         F.size("symbols") > 0,
-        _text("\nModified symbols: ", F.array_join(F.slice("symbols", 1, SYMBOLS_IN_PROMPT), ", ")),
+        _text("\nModified symbols: ", F.array_join(_first(F.col("symbols"), options.symbols_in_prompt), ", ")),
     ).otherwise("")
     part = _text(
         "### FILE: ", F.col("path"), "\nRisk: ", F.col("level"), " | +", F.col("added"), "/-",
@@ -365,7 +389,7 @@ def file_reports(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFram
         F.size("symbols") > 0,
         _text(
             "**Modified symbols:** ",
-            F.array_join(_quoted(F.slice("symbols", 1, SYMBOLS_IN_FILE)), ", "),
+            F.array_join(_quoted(_first(F.col("symbols"), options.symbols_in_file)), ", "),
             "\n",
         ),
     )
@@ -437,19 +461,20 @@ def review_documents(
             "total_tokens", cost_usd(F.col("total_tokens")).alias("estimated_cost_usd")
         ).alias("token_estimate"),
     )
-    return files.join(_fact_lists(facts), "patch_id").select(
+    return files.join(_fact_lists(facts, options), "patch_id").select(
         "patch_id", F.to_json(document).alias("document")
     )
 
 
-def token_summaries(rows: DataFrame) -> DataFrame:
+def token_summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
     """Totals and the paths with most tokens, as text, per patch."""
     order = Window.partitionBy("patch_id").orderBy(F.desc_nulls_last("tokens"), "path_seq")
     placed = rows.withColumn("place", F.row_number().over(order))
     line = _text("  ", _pad(F.format_number("tokens", 0), 6, right=False), "  ", F.col("path"))
-    top = _gather(
-        line, F.col("place"), where=F.col("tokens").isNotNull() & (F.col("place") <= TOP_TOKEN_PATHS)
-    )
+    shown = F.col("tokens").isNotNull()
+    if options.top_token_paths is not None:
+        shown = shown & (F.col("place") <= options.top_token_paths)
+    top = _gather(line, F.col("place"), where=shown)
     totals = placed.groupBy("patch_id").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum("counted_chars"), F.lit(0)).alias("total_chars"),

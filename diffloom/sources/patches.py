@@ -25,15 +25,3 @@ def patch_table(table: DataFrame, patch_id: str, content: str) -> DataFrame:
 def load_patches(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """File table of all patch files under ``path``."""
     return parse_patches(read_patch_files(spark, path))
-
-
-def spread(table: DataFrame, key: str = "patch_id") -> DataFrame:
-    """Give every core a share of a scan that has fewer partitions than cores.
-
-    Analysis is heavy next to reading, so a small input should not sit in one
-    task.  A scan with enough partitions is returned as it is, unshuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, key)

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from diffloom.functions.rules import SNAPSHOT_CONTEXT, TEXT_EXTENSIONS
 from diffloom.functions.text import extension, join_lines, split_lines
 from diffloom.operators.parse import finish_file_diffs, parse_patches
-from diffloom.sources.patches import spread
 from diffloom.storage import numbered, stored
 
 NO_FILE = "/dev/null"
-_TEXT_PROBE = 512
+#: Fixed value: how much of a file of unknown type decides whether it is text.
+TEXT_PROBE = 512
+#: All that ends a line for ``str.splitlines``.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,24 +51,27 @@ def exclude_paths(snapshot: DataFrame, globs: list[str]) -> DataFrame:
     return snapshot
 
 
-def is_text(path: Column, content: Column) -> Column:
-    """Known text extension, or the first 512 bytes are UTF-8.
+def is_text(path: Column, content: Column, probe_bytes: int | None = TEXT_PROBE) -> Column:
+    """Known text extension, or the first ``probe_bytes`` (None: all) are UTF-8.
 
     The probe may cut the last character; an incomplete tail of up to three
     bytes does not make a file binary.
     """
-    probe = F.substring(content, 1, _TEXT_PROBE)
+    known = F.lower(extension(path)).isin(*TEXT_EXTENSIONS)
+    if probe_bytes is None:
+        return known | F.is_valid_utf8(content.cast("string"))
+    probe = F.substring(content, 1, probe_bytes)
     valid = F.is_valid_utf8(probe.cast("string"))
-    tail = F.hex(F.substring(content, _TEXT_PROBE - 2, 3))
-    longer = F.length(content) > _TEXT_PROBE
+    tail = F.hex(F.substring(content, probe_bytes - 2, 3))
+    longer = F.length(content) > probe_bytes
     for cut, lead in (
         (1, "(?:C[2-9A-F]|D.|E.|F[0-4])$"),
         (2, "(?:E.|F[0-4])[89AB].$"),
         (3, "F[0-4](?:[89AB].){2}$"),
     ):
-        shorter = F.substring(content, 1, _TEXT_PROBE - cut).cast("string")
+        shorter = F.substring(content, 1, probe_bytes - cut).cast("string")
         valid = valid | (longer & tail.rlike(lead) & F.is_valid_utf8(shorter))
-    return F.lower(extension(path)).isin(*TEXT_EXTENSIONS) | valid
+    return known | valid
 
 
 def _decoded(content: Column) -> Column:
@@ -118,9 +123,11 @@ def changed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         snapshot_status(left, right).where("status <> 'equal'").select("path", "status", "binary")
     )
     pairs = changed
+    # Binary files are reported by name, so their contents stay where they are.
+    differing = changed.where("not binary").select("path")
     for side, table in (("left", left), ("right", right)):
         texts = table.select("path", _decoded(F.col("content")).alias(f"{side}_doc"))
-        wanted = texts.join(changed.select("path"), "path", "left_semi")
+        wanted = texts.join(differing, "path", "left_semi")
         pairs = pairs.join(wanted, "path", "left")
     return pairs.select(
         "path",
@@ -151,8 +158,10 @@ def _one_sided_patch() -> Column:
 def _line_differ():
     """Function for ``mapInPandas``; a closure, so workers need not have this package."""
 
+    ends = LINE_ENDS
+
     def line_diffs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Unified diff of each pair; every emitted line ends with LF."""
+        """Unified diff of each pair; a last line without an end gets LF."""
         for batch in batches:
             patches = []
             for old_path, new_path, old, new in zip(
@@ -165,7 +174,7 @@ def _line_differ():
                     tofile=new_path,
                     n=SNAPSHOT_CONTEXT,
                 )
-                patches.append("".join(x if x.endswith("\n") else x + "\n" for x in lines))
+                patches.append("".join(x if x[-1] in ends else x + "\n" for x in lines))
             yield pd.DataFrame({"patch_id": batch.path, "content": patches})
 
     return line_diffs
@@ -178,8 +187,7 @@ def pair_patches(pairs: DataFrame) -> DataFrame:
         F.col("path").alias("patch_id"), _one_sided_patch().alias("content")
     ).where("content is not null")
     both = texts.where("status = 'changed'").select("path", "old_path", "new_path", "left_doc", "right_doc")
-    # Line differences cost far more than reading, so a small table is spread out.
-    diffs = spread(both, "path").mapInPandas(_line_differ(), "patch_id string, content string")
+    diffs = both.mapInPandas(_line_differ(), "patch_id string, content string")
     return one_sided.unionByName(diffs.where("content <> ''"))
 
 
@@ -217,7 +225,11 @@ def as_change_set(files: DataFrame, name: str) -> DataFrame:
     file to another, need this view.
     """
     placed = numbered(files.withColumnRenamed("file_seq", "entry"), "patch_id", "entry")
-    columns = {"patch_id": F.lit(name), "file_seq": F.col("number") + 1}
+    columns = {
+        "patch_id": F.lit(name),
+        "file_seq": F.col("number") + 1,
+        "path_repeats": F.lit(None).cast("boolean"),  # known within one path only
+    }
     return placed.select(*[columns.get(c, F.col(c)).alias(c) for c in files.columns])
 
 

@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.sources.patches import spread
 from diffloom.storage import shared_folder
 
 EXTENSIONS = ["py", "cpp", "js", "ts", "java", "cs", "c", "h", "sql", "md", "jsx", "sh"]
@@ -141,6 +140,11 @@ OLD_PATH = "CASE WHEN (d + f) % 10 = 0 THEN '/dev/null' ELSE concat('a/', {path}
 NEW_PATH = "CASE WHEN (d + f) % 10 = 1 THEN '/dev/null' ELSE concat('b/', {path}) END"
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Deal rows out to the shuffle partitions: the analysis is heavy next to the reading."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def synthetic_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One patch per document: ``patch_id, content``."""
     docs = spread(parquet(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(

@@ -159,7 +159,7 @@ def _matches(column: str, pattern: str, group: int, sort: int, extra: str = "")
     )
 
 
-def _fact_ctes() -> str:
+def _fact_ctes(signature_chars: int | None = None) -> str:
     new, removed, api, imports = [], [], [], []
     for k, p in enumerate(rules.NEW_COMPONENT_PATTERNS):
         new += [_matches("body", p, 1, 2 * k), _matches("added_text", p, 1, 2 * k + 1)]
@@ -191,6 +191,9 @@ def _fact_ctes() -> str:
         "CASE side WHEN '+' THEN 'Added in `' || path || '`: `' || name || '`' "
         "ELSE 'Removed from `' || path || '`: `' || name || '`' END"
     )
+    signature = "trim(regexp_replace(name, '^\\s+|\\s+$', '', 'g'))"
+    if signature_chars is not None:
+        signature = f"substr({signature}, 1, {signature_chars})"
     skip = ", ".join(f"'{name}'" for name in ("src", "lib", "include", "source", "app", ".", ""))
     return ",".join([
         """
@@ -199,8 +202,7 @@ analysed AS MATERIALIZED (
   FROM texts JOIN file USING (d, f) WHERE NOT is_binary)""",
         f"new_hits AS ({union(new)})",
         f"removed_hits AS ({union(removed)})",
-        "api_hits AS (SELECT d, f, sort, pos, substr(trim(regexp_replace(name, '^\\s+|\\s+$', '', 'g')), 1, 80)"
-        f" AS name, side FROM ({union(api)}))",
+        f"api_hits AS (SELECT d, f, sort, pos, {signature} AS name, side FROM ({union(api)}))",
         f"import_hits AS (SELECT DISTINCT d, trim(name) AS name, side FROM ({union(imports)}))",
         first_seen("new_facts", "'`' || name || '` in `' || path || '`'", "new_hits"),
         first_seen("removed_facts", "'`' || name || '` from `' || path || '`'", "removed_hits"),
@@ -213,9 +215,9 @@ dependency_all AS (
 dependency_facts AS (
   SELECT d, name, side, CASE side WHEN '+' THEN 'New dependency: `' ELSE 'Removed dependency: `' END
          || name || '`' AS text,
-         CASE side WHEN '+' THEN place ELSE place + 20 END AS ord
-  FROM (SELECT *, row_number() OVER (PARTITION BY d, side ORDER BY name) AS place FROM dependency_all)
-  WHERE place <= 20)""",
+         row_number() OVER (PARTITION BY d ORDER BY side, name) AS ord,
+         row_number() OVER (PARTITION BY d, side ORDER BY name) AS place
+  FROM dependency_all)""",
         f"""
 folders AS (
   SELECT d, f, string_split(replace(path, '\\', '/'), '/') AS parts FROM analysed),
@@ -244,18 +246,18 @@ effect_rows AS (
 effect_facts AS (SELECT d, text, row_number() OVER (PARTITION BY d ORDER BY k) AS ord FROM effect_rows)""",
         """
 facts AS MATERIALIZED (
-  SELECT d, 'new_component' AS kind, ord, path, name, text FROM new_facts
-  UNION ALL SELECT d, 'removed_component', ord, path, name, text FROM removed_facts
-  UNION ALL SELECT d, 'api_change', ord, path, name, text FROM api_facts
-  UNION ALL SELECT d, 'dependency_change', ord, NULL, name, text FROM dependency_facts
-  UNION ALL SELECT d, 'affected_subsystem', ord, NULL, name, name FROM subsystem_facts
-  UNION ALL SELECT d, 'side_effect', ord, NULL, text, text FROM effect_facts
-  UNION ALL SELECT d, 'concurrency_risk', ord, path, (f + 1)::VARCHAR, text FROM concurrency_facts
-  UNION ALL SELECT d, 'memory_risk', ord, path, (f + 1)::VARCHAR, text FROM memory_facts)""",
+  SELECT d, 'new_component' AS kind, ord, path, name, text, ord AS in_list FROM new_facts
+  UNION ALL SELECT d, 'removed_component', ord, path, name, text, ord FROM removed_facts
+  UNION ALL SELECT d, 'api_change', ord, path, name, text, ord FROM api_facts
+  UNION ALL SELECT d, 'dependency_change', ord, NULL, name, text, place FROM dependency_facts
+  UNION ALL SELECT d, 'affected_subsystem', ord, NULL, name, name, ord FROM subsystem_facts
+  UNION ALL SELECT d, 'side_effect', ord, NULL, text, text, ord FROM effect_facts
+  UNION ALL SELECT d, 'concurrency_risk', ord, path, (f + 1)::VARCHAR, text, ord FROM concurrency_facts
+  UNION ALL SELECT d, 'memory_risk', ord, path, (f + 1)::VARCHAR, text, ord FROM memory_facts)""",
     ])
 
 
-FACTS = _fact_ctes()
+FACTS, REPORT_FACTS = _fact_ctes(), _fact_ctes(80)
 
 TOKENS = """
 tokens AS MATERIALIZED (
@@ -271,62 +273,82 @@ by_path AS MATERIALIZED (
 _NOISE_LINE = quote("|".join(rules.NON_SOURCE_LINES))
 
 
-def _flow_ctes(documents: str) -> str:
+def _flow_ctes(documents: str, chars: int | None = None) -> str:
     """Nodes of ``documents``, a relation with columns d, f and code."""
     def cut(word: str, inner: str) -> str:
+        if chars is None:
+            return f"'{word} (' || {inner} || ')'"
         return (
-            f"'{word} (' || CASE WHEN length({inner}) > 40 THEN substr({inner}, 1, 40) || '...' "
+            f"'{word} (' || CASE WHEN length({inner}) > {chars} THEN substr({inner}, 1, {chars}) || '...' "
             f"ELSE {inner} END || ')'"
         )
 
-    def group(pattern: str) -> str:
-        return f"trim(regexp_extract(t, {re2(pattern)}, 1))"
+    def capture(pattern: str, name: str) -> str:
+        """Trimmed first group where the pattern matches, else null; tried on likely lines only."""
+        word = re.match(r"\^([a-z]+)", pattern).group(1)
+        return (
+            f"CASE WHEN starts_with(t, '{word}') AND regexp_matches(t, {re2(pattern)}) "
+            f"THEN trim(regexp_extract(t, {re2(pattern)}, 1)) END AS {name}"
+        )
 
-    def clause(word: str, pattern: str, kind: str, shorten: bool) -> str:
-        inner = group(pattern)
+    def clause(word: str, inner: str, kind: str, shorten: bool) -> str:
         name = cut(word, inner) if shorten else f"'{word} (' || {inner} || ')'"
         return (
-            f"WHEN regexp_matches(t, {re2(pattern)}) THEN CASE WHEN {inner} <> '' "
+            f"WHEN {inner} IS NOT NULL THEN CASE WHEN {inner} <> '' "
             f"THEN {{'k': '{kind}', 'n': {name}, 'c': {inner}}} END"
         )
 
     def fixed(word: str, pattern: str, kind: str) -> str:
-        return f"WHEN regexp_matches(t, {re2(pattern)}) THEN {{'k': '{kind}', 'n': '{word}', 'c': NULL::VARCHAR}}"
+        return (
+            f"WHEN starts_with(t, '{word}') AND regexp_matches(t, {re2(pattern)}) "
+            f"THEN {{'k': '{kind}', 'n': '{word}', 'c': NULL::VARCHAR}}"
+        )
 
-    case = group(r"^case\s+([^:]+):")
-    catch = group(r"^catch\s*\((.*?)\)")
-    events = " ".join(
-        f"WHEN regexp_matches(t, {re2(p)}) THEN {{'k': 'event_trigger', 'n': '{action}: ' || "
-        f"regexp_extract(t, {re2(p)}, 1), 'c': regexp_extract(t, {re2(p)}, 1)}}"
-        for p, action in rules.EVENT_PATTERNS
+    captures = ", ".join(
+        [
+            capture(r"^if\s*\((.*?)\)", "c_if"),
+            capture(r"^else\s+if\s*\((.*?)\)", "c_else_if"),
+            capture(r"^switch\s*\((.*?)\)", "c_switch"),
+            capture(r"^case\s+([^:]+):", "c_case"),
+            capture(r"^for\s*\((.*?)\)", "c_for"),
+            capture(r"^while\s*\((.*?)\)", "c_while"),
+            capture(r"^for(?:each)?\s+\(.*?\s+(?:in|:)\s+(.*?)\)", "c_each"),
+            capture(r"^catch\s*\((.*?)\)", "c_catch"),
+        ]
+        + [
+            f"CASE WHEN contains(t, '(') AND regexp_matches(t, {re2(p)}) THEN regexp_extract(t, {re2(p)}, 1) "
+            f"END AS e_{i}"
+            for i, (p, _) in enumerate(rules.EVENT_PATTERNS)
+        ]
+        + [
+            "CASE WHEN contains(t, '(') THEN regexp_extract(t, "
+            "'(?:^|[^\\p{L}\\p{N}_])([A-Za-z_][A-Za-z0-9_]{2,})\\s*\\(', 1) ELSE '' END AS callee"
+        ]
     )
-    callee = (
-        "regexp_extract(t, '(?:^|[^\\p{L}\\p{N}_])([A-Za-z_][A-Za-z0-9_]{2,})\\s*\\(', 1)"
+    events = " ".join(
+        f"WHEN e_{i} IS NOT NULL THEN {{'k': 'event_trigger', 'n': '{action}: ' || e_{i}, 'c': e_{i}}}"
+        for i, (_, action) in enumerate(rules.EVENT_PATTERNS)
     )
     words = ", ".join(map(quote, rules.CONTROL_WORDS))
     slots = [
-        f"""CASE {clause('if', r'^if\s*\((.*?)\)', 'if_else', True)}
-             {clause('else if', r'^else\s+if\s*\((.*?)\)', 'if_else', True)}
+        f"""CASE {clause('if', 'c_if', 'if_else', True)} {clause('else if', 'c_else_if', 'if_else', True)}
              {fixed('else', r'^else\s*[{:]?\s*$', 'if_else')} END""",
-        f"""CASE {clause('switch', r'^switch\s*\((.*?)\)', 'switch_case', False)}
-             WHEN regexp_matches(t, {re2(r'^case\s+([^:]+):')}) THEN CASE WHEN {case} <> '' THEN
-               {{'k': 'switch_case', 'n': 'case ' || {case}, 'c': NULL::VARCHAR}} END
+        f"""CASE {clause('switch', 'c_switch', 'switch_case', False)}
+             WHEN c_case IS NOT NULL THEN CASE WHEN c_case <> '' THEN
+               {{'k': 'switch_case', 'n': 'case ' || c_case, 'c': NULL::VARCHAR}} END
              {fixed('default', r'^default\s*:', 'switch_case')} END""",
-        f"""CASE {clause('for', r'^for\s*\((.*?)\)', 'loop', True)}
-             {clause('while', r'^while\s*\((.*?)\)', 'loop', True)}
-             {clause('foreach', r'^for(?:each)?\s+\(.*?\s+(?:in|:)\s+(.*?)\)', 'loop', False)} END""",
+        f"""CASE {clause('for', 'c_for', 'loop', True)} {clause('while', 'c_while', 'loop', True)}
+             {clause('foreach', 'c_each', 'loop', False)} END""",
         f"""CASE {fixed('try', r'^try\s*[{:]?\s*$', 'try_catch')}
-             WHEN regexp_matches(t, {re2(r'^catch\s*\((.*?)\)')}) THEN
-               {{'k': 'try_catch', 'n': CASE WHEN {catch} <> '' THEN 'catch (' || {catch} || ')' ELSE 'catch' END,
-                'c': {catch}}}
+             WHEN c_catch IS NOT NULL THEN
+               {{'k': 'try_catch', 'n': CASE WHEN c_catch <> '' THEN 'catch (' || c_catch || ')' ELSE 'catch' END,
+                'c': c_catch}}
              {fixed('finally', r'^finally\s*[{:]?\s*$', 'try_catch')} END""",
-        f"""CASE {events} WHEN {callee} <> '' AND lower({callee}) NOT IN ({words})
-               AND NOT regexp_matches({callee}, '^[A-Z][A-Z0-9]*$')
-             THEN {{'k': 'function_call', 'n': 'Call: ' || {callee} || '()', 'c': NULL::VARCHAR}} END""",
+        f"""CASE {events} WHEN callee <> '' AND lower(callee) NOT IN ({words})
+               AND NOT regexp_matches(callee, '^[A-Z][A-Z0-9]*$')
+             THEN {{'k': 'function_call', 'n': 'Call: ' || callee || '()', 'c': NULL::VARCHAR}} END""",
     ]
-    hits = " UNION ALL ".join(
-        f"SELECT d, f, n, {k} AS slot, {slot} AS node FROM code_lines" for k, slot in enumerate(slots)
-    )
+    node_list = ", ".join(slots)
     return f"""
 flow_docs AS MATERIALIZED ({documents}),
 raw_lines AS (
@@ -340,7 +362,9 @@ code_lines AS MATERIALIZED (
   SELECT d, f, n, trim(raw) AS t FROM raw_lines JOIN source USING (d, f)
   WHERE trim(raw) <> '' AND trim(raw) NOT LIKE '#%' AND trim(raw) NOT LIKE '//%'
     AND NOT regexp_matches(trim(raw), {_NOISE_LINE})),
-flow_hits AS ({hits}),
+captured AS MATERIALIZED (SELECT d, f, n, t, {captures} FROM code_lines),
+flow_hits AS (
+  SELECT d, f, n, unnest(range({len(slots)})) AS slot, unnest([{node_list}]) AS node FROM captured),
 flow_first AS (
   SELECT d, f, node.k AS flow_type, node.n AS name, min((n, slot)) AS place,
          arg_min({{'c': node.c}}, (n, slot)).c AS condition
@@ -353,10 +377,11 @@ nodes AS MATERIALIZED (
 
 
 _SUFFIXES = quote("(" + "|".join(re.escape(s) for s in rules.NON_SOURCE_SUFFIXES) + ")$")
-PATCH_FLOWS = _flow_ctes(
+_PATCH_SOURCES = (
     f"SELECT d, f, post_image AS code FROM texts JOIN file USING (d, f) "
     f"WHERE NOT regexp_matches(lower(path), {_SUFFIXES})"
 )
+PATCH_FLOWS, DRAWN_FLOWS = _flow_ctes(_PATCH_SOURCES), _flow_ctes(_PATCH_SOURCES, 40)
 
 
 def with_ctes(*ctes: str) -> str:
@@ -496,15 +521,19 @@ FROM edges JOIN file USING (d, f) WHERE NOT is_binary GROUP BY patch_id, file_se
 ORACLES["flow_nodes"] = with_ctes(TEXTS, PATCH_FLOWS) + f"""
 SELECT {_ID}, ord, flow_type, name, condition, line_number FROM nodes JOIN file USING (d, f)"""
 
-ORACLES["flow_edges"] = with_ctes(TEXTS, PATCH_FLOWS) + f""",
-shown AS (SELECT d, f, ord, lead(ord) OVER (PARTITION BY d, f ORDER BY ord) AS nxt FROM nodes WHERE ord <= 25)
+_EDGES = f"""
 SELECT {_ID}, ord, 'flow_' || (ord - 1) AS src,
        CASE WHEN nxt IS NULL THEN 'flow_end' ELSE 'flow_' || (nxt - 1) END AS dst
 FROM shown JOIN file USING (d, f)
 UNION ALL SELECT {_ID}, 0, 'Start', 'flow_0' FROM shown JOIN file USING (d, f) WHERE ord = 1"""
+_NEXT = "SELECT d, f, ord, lead(ord) OVER (PARTITION BY d, f ORDER BY ord) AS nxt FROM nodes"
+ORACLES["flow_edges"] = with_ctes(TEXTS, PATCH_FLOWS) + f", shown AS ({_NEXT})" + _EDGES
+ORACLES["flow_edges_shown"] = (
+    with_ctes(TEXTS, DRAWN_FLOWS) + f", shown AS ({_NEXT} WHERE ord <= 25)" + _EDGES
+)
 
 _LABEL = "translate(name, '\"{}[]|', '''()()/')"
-ORACLES["flow_charts"] = with_ctes(TEXTS, PATCH_FLOWS) + f""",
+ORACLES["flow_charts"] = with_ctes(TEXTS, DRAWN_FLOWS) + f""",
 drawn AS (
   SELECT d, f, count(*) AS total,
     string_agg('    flow_' || (ord - 1) || CASE
@@ -533,10 +562,10 @@ charts AS (
       ELSE '    System->>Main: on(' || condition || ')' END, chr(10) ORDER BY place) AS chart
   FROM ordered_nodes GROUP BY d, f)
 """
-ORACLES["flow_calls"] = with_ctes(TEXTS, PATCH_FLOWS, _SEQUENCE) + f"""
+ORACLES["flow_calls"] = with_ctes(TEXTS, DRAWN_FLOWS, _SEQUENCE) + f"""
 SELECT {_ID}, chart FROM charts JOIN file USING (d, f)"""
 
-ORACLES["flow_states"] = with_ctes(TEXTS, PATCH_FLOWS) + f""",
+ORACLES["flow_states"] = with_ctes(TEXTS, DRAWN_FLOWS) + f""",
 ordered_nodes AS (
   SELECT *, row_number() OVER (PARTITION BY d, f ORDER BY (flow_type = 'switch_case')::INT, ord) AS place
   FROM nodes WHERE flow_type IN ('if_else', 'switch_case') QUALIFY place <= 25)
@@ -548,15 +577,16 @@ SELECT {_ID}, 'stateDiagram-v2' || chr(10) || '    [*] --> Start' || chr(10) ||
     || chr(10) || '    End --> [*]' AS chart
 FROM ordered_nodes JOIN file USING (d, f) GROUP BY {_ID}"""
 
-ORACLES["flow_first_files"] = with_ctes(TEXTS, PATCH_FLOWS) + f"""
+ORACLES["flow_first_files"] = with_ctes(TEXTS, DRAWN_FLOWS) + f"""
 SELECT {_ID}, count(*) AS flows, row_number() OVER (PARTITION BY patch_id ORDER BY file_seq) AS rank
 FROM nodes JOIN file USING (d, f) GROUP BY {_ID} QUALIFY rank <= 8"""
 
-_PAGES = _flow_ctes("SELECT page_id AS d, 0 AS f, html AS code FROM pages")
+_PAGE_SOURCES = "SELECT page_id AS d, 0 AS f, html AS code FROM pages"
+_PAGES, _DRAWN_PAGES = _flow_ctes(_PAGE_SOURCES), _flow_ctes(_PAGE_SOURCES, 40)
 ORACLES["page_flows"] = f"""WITH {_PAGES}
 SELECT d AS page_id, ord, flow_type, name, condition, line_number FROM nodes"""
 
-ORACLES["page_charts"] = f"""WITH {_PAGES}, {_SEQUENCE}
+ORACLES["page_charts"] = f"""WITH {_DRAWN_PAGES}, {_SEQUENCE}
 SELECT page_id, coalesce(chart, 'sequenceDiagram' || chr(10)
        || '    Note over Main,System: No event or function calls detected') AS chart
 FROM pages LEFT JOIN charts ON page_id = d"""
@@ -627,8 +657,10 @@ def _section(kind: str, title: str, empty: str) -> str:
 
 
 _NONE = "None detected."
-ORACLES["arch_report"] = with_ctes(TEXTS, FACTS) + f""",
-listed AS (SELECT *, row_number() OVER (PARTITION BY d, kind ORDER BY ord) AS place FROM facts),
+ORACLES["arch_report"] = with_ctes(TEXTS, REPORT_FACTS) + f""",
+listed AS (
+  SELECT *, row_number() OVER (PARTITION BY d, kind ORDER BY ord) AS place
+  FROM facts WHERE kind <> 'dependency_change' OR in_list <= 20),
 every AS (SELECT file.d, listed.* EXCLUDE (d) FROM (SELECT DISTINCT d FROM file) AS file LEFT JOIN listed USING (d))
 SELECT d::VARCHAR AS patch_id, concat_ws(chr(10), '# Architecture Changes', '', '> Generated: {_STAMP}', '',
   '**Affected subsystems:** ' || coalesce(
@@ -702,8 +734,10 @@ def _json_list(kind: str, limit: str = "") -> str:
     return f"coalesce(list(text ORDER BY ord) FILTER (kind = '{kind}'{limit}), [])"
 
 
-ORACLES["review_json"] = with_ctes(*_REVIEW_CTES, FACTS) + f""",
-listed AS (SELECT *, row_number() OVER (PARTITION BY d, kind ORDER BY ord) AS place FROM facts),
+ORACLES["review_json"] = with_ctes(*_REVIEW_CTES, REPORT_FACTS) + f""",
+listed AS (
+  SELECT *, row_number() OVER (PARTITION BY d, kind ORDER BY ord) AS place
+  FROM facts WHERE kind <> 'dependency_change' OR in_list <= 20),
 fact_lists AS (
   SELECT d, {{
     'new_components': {_json_list('new_component')},
@@ -973,3 +1007,13 @@ parts AS (
 SELECT patch_id, {quote(STRIPPED_NOTICE + _BEFORE)} || coalesce(diffs, '(No meaningful diffs found)')
        || {quote(_AFTER)} AS prompt
 FROM parts"""
+
+
+ORACLES["package_tokens"] = ORACLES["token_summary"]
+ORACLES["snapshot_folders"] = """
+SELECT lang, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY lang"""
+
+ORACLES["patch_file_totals"] = with_ctes() + """
+SELECT path, is_binary AS binary, count(*) AS entries, sum(n_hunks)::BIGINT AS hunks,
+       sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted
+FROM file JOIN file_agg USING (d, f) GROUP BY ALL"""

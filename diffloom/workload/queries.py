@@ -39,19 +39,23 @@ from diffloom.operators.statistics import (
 )
 from diffloom.operators.symbols import symbol_table
 from diffloom.plans import reports
+from diffloom.plans.package import export_review_package
 from diffloom.sources.compare_report import load_report
-from diffloom.sources.patches import spread
+from diffloom.sources.patches import load_patches
 from diffloom.sources.snapshots import (
     as_change_set,
     compare_file_pairs,
     compare_snapshots,
+    read_snapshot,
     snapshot_status,
 )
+from diffloom.storage import shared_folder
 from diffloom.workload.fixtures import (
     conversation_pieces,
     document_snapshots,
     parquet,
     report_files,
+    spread,
     synthetic_patches,
 )
 
@@ -169,7 +173,7 @@ def symbols(spark, sf_dir):
 
 def _facts(*kinds: str) -> Query:
     def run(spark, sf_dir):
-        facts = arch.facts_of_kind(arch.arch_facts(_files(spark, sf_dir)), *kinds)
+        facts = arch.arch_facts(_files(spark, sf_dir), list(kinds))
         return _plain(facts.select("patch_id", "kind", "ord", "path", "name", "text"))
 
     return run
@@ -292,8 +296,12 @@ QUERIES["redact_documents"] = _redacted_lines("documents", "doc_id", "text", red
 QUERIES["redact_pages"] = _redacted_lines("pages", "page_id", "html", redaction.API_SAFE_COMMENTS)
 
 
-def _flows(spark, sf_dir) -> DataFrame:
-    return flow.flow_nodes(flow.patch_sources(_files(spark, sf_dir)), FILE_KEYS)
+def _flows(spark, sf_dir, name_chars: int | None = None) -> DataFrame:
+    return flow.flow_nodes(flow.patch_sources(_files(spark, sf_dir)), FILE_KEYS, name_chars)
+
+
+def _drawn_flows(spark, sf_dir) -> DataFrame:
+    return _flows(spark, sf_dir, flow.NAME_CHARS)
 
 
 @query
@@ -306,24 +314,30 @@ def flow_edges(spark, sf_dir):
     return _plain(flow.flow_edges(_flows(spark, sf_dir), FILE_KEYS))
 
 
+@query
+def flow_edges_shown(spark, sf_dir):
+    nodes = _drawn_flows(spark, sf_dir)
+    return _plain(flow.flow_edges(nodes, FILE_KEYS, limit=flow.MAX_DIAGRAM_NODES))
+
+
 @query
 def flow_charts(spark, sf_dir):
-    return _plain(flow.flowcharts(_flows(spark, sf_dir), FILE_KEYS))
+    return _plain(flow.flowcharts(_drawn_flows(spark, sf_dir), FILE_KEYS))
 
 
 @query
 def flow_calls(spark, sf_dir):
-    return _plain(flow.sequence_charts(_flows(spark, sf_dir), FILE_KEYS))
+    return _plain(flow.sequence_charts(_drawn_flows(spark, sf_dir), FILE_KEYS))
 
 
 @query
 def flow_states(spark, sf_dir):
-    return _plain(flow.state_charts(_flows(spark, sf_dir), FILE_KEYS))
+    return _plain(flow.state_charts(_drawn_flows(spark, sf_dir), FILE_KEYS))
 
 
 @query
 def flow_first_files(spark, sf_dir):
-    return _plain(flow.first_flow_files(_flows(spark, sf_dir)))
+    return _plain(flow.first_flow_files(_drawn_flows(spark, sf_dir)))
 
 
 @query
@@ -354,7 +368,7 @@ def changed_files(spark, sf_dir):
 
 @query
 def arch_report(spark, sf_dir):
-    return reports.architecture_reports(arch.marked_facts(_files(spark, sf_dir)), OPTIONS)
+    return reports.architecture_reports(reports.report_facts(_files(spark, sf_dir), OPTIONS), OPTIONS)
 
 
 @query
@@ -371,7 +385,7 @@ def file_reports(spark, sf_dir):
 @query
 def review_json(spark, sf_dir):
     files = _files(spark, sf_dir)
-    facts = arch.marked_facts(files)
+    facts = reports.report_facts(files, OPTIONS)
     documents = reports.review_documents(reports.review_rows(files, OPTIONS), facts, OPTIONS)
     # The two engines print doubles differently, so the cost is a column of its own.
     cost = F.get_json_object("document", "$.token_estimate.estimated_cost_usd").cast("double")
@@ -384,7 +398,7 @@ def review_json(spark, sf_dir):
 
 @query
 def token_summary(spark, sf_dir):
-    return _plain(reports.token_summaries(_rows(spark, sf_dir)))
+    return _plain(reports.token_summaries(_rows(spark, sf_dir), OPTIONS))
 
 
 @query
@@ -464,3 +478,37 @@ def stripped_file_reports(spark, sf_dir):
 def stripped_prompts(spark, sf_dir):
     rows = reports.review_rows(_files(spark, sf_dir), STRIPPED)
     return reports.review_prompts(rows, STRIPPED)
+
+
+@query
+def patch_file_totals(spark, sf_dir):
+    """Patches written to files, many to a file, and read back as whole files."""
+    folder = shared_folder(spark)
+    patches = synthetic_patches(spark, sf_dir).select("content")
+    patches.write.option("maxRecordsPerFile", 500).text(folder)
+    return _plain(
+        load_patches(spark, folder).groupBy("path", "binary").agg(
+            F.count("*").alias("entries"),
+            F.sum("n_hunks").alias("hunks"),
+            F.sum("added").alias("added"),
+            F.sum("deleted").alias("deleted"),
+        )
+    )
+
+
+@query
+def snapshot_folders(spark, sf_dir):
+    """Documents written to files by language and read back as a file tree."""
+    folder = shared_folder(spark)
+    docs = parquet(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 500).text(folder)
+    files = read_snapshot(spark, folder)
+    lang = F.regexp_extract("path", "^lang=([^/]*)/", 1)
+    return files.groupBy(lang.alias("lang")).agg(F.sum(F.length("content")).alias("bytes"))
+
+
+@query
+def package_tokens(spark, sf_dir):
+    """Token summaries of a written review package."""
+    paths = export_review_package(synthetic_patches(spark, sf_dir), shared_folder(spark), OPTIONS)
+    return _plain(spark.read.parquet(paths["token_estimate"]))

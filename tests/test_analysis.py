@@ -21,14 +21,14 @@ def test_risk_paths_and_defaults(parse):
         parse,
         patch("src/auth/login.cpp", ["x = 1"]),
         patch("src/utils.py", ["x = 1"]),
-        patch("deploy/setup.sh", ["x"]),
-        patch("src/module.py", [f"x{i} = 1" for i in range(350)]),
+        patch("tools/release.sh", ["x"]),
+        patch("src/tables.py", [f"x{i} = 1" for i in range(417)]),
         patch("src/auth/SessionManager.cpp", ["std::mutex m;"]),
     )
     assert results[0] == (4, "High", ["High-risk path segment: 'auth'"])
     assert results[1] == (0, "Low", ["No specific risk signals detected"])
     assert results[2] == (3, "Med", ["Sensitive file type: .sh"])
-    assert results[3] == (3, "Med", ["Large change (350 LOC modified)"])
+    assert results[3] == (3, "Med", ["Large change (417 LOC modified)"])
     assert results[4][:2] == (7, "High")
 
 
@@ -72,40 +72,40 @@ def facts(parse, text, *kinds):
 
 
 def test_components(parse):
-    text = patch("a.py", ["class New:", ""], ["class OldEngine:"]) + "\n class Late:\n"
-    text = text.replace("+\n-class OldEngine:", "-class OldEngine:\n+")
+    text = patch("a.py", ["class New:", ""], ["class GridWalker:"]) + "\n class Late:\n"
+    text = text.replace("+\n-class GridWalker:", "-class GridWalker:\n+")
     assert facts(parse, text, arch.NEW) == ["`New` in `a.py`", "`Late` in `a.py`"]
-    assert facts(parse, text, arch.REMOVED) == ["`OldEngine` from `a.py`"]
+    assert facts(parse, text, arch.REMOVED) == ["`GridWalker` from `a.py`"]
 
 
 def test_dependencies_cancel_over_files(parse):
     text = "\n".join([
-        patch("a.py", ["import requests", "import moved"], ["import old_lib"]),
-        patch("b.js", ["const a = require('axios')"], ["import moved"]),
-        patch("c.cpp", ['#include "NewLib.h"']),
+        patch("a.py", ["import polyline", "import moved"], ["import shapefmt"]),
+        patch("b.js", ["const a = require('tilekit')"], ["import moved"]),
+        patch("c.cpp", ['#include "Raster.h"']),
     ])
     assert facts(parse, text, arch.DEPENDENCY) == [
-        "New dependency: `NewLib.h`", "New dependency: `axios`", "New dependency: `requests`",
-        "Removed dependency: `old_lib`"]
+        "New dependency: `Raster.h`", "New dependency: `polyline`", "New dependency: `tilekit`",
+        "Removed dependency: `shapefmt`"]
 
 
-def test_dependency_cap_and_side_effects(parse):
-    text = patch("Engine/a.py", [f"import m{i:02d}" for i in range(25)] + ["std::mutex lock;", "malloc(4);"])
-    assert len(facts(parse, text, arch.DEPENDENCY)) == 20
+def test_dependencies_are_complete_and_side_effects(parse):
+    text = patch("Map/a.py", [f"import m{i:02d}" for i in range(25)] + ["std::mutex lock;", "malloc(4);"])
+    assert len(facts(parse, text, arch.DEPENDENCY)) == 25
     assert facts(parse, text, arch.SIDE_EFFECT) == [
         "25 new dependencies introduced — check for conflicts.",
         "New concurrency code increases risk of race conditions or deadlocks.",
         "Direct memory management changes may introduce leaks or UB."]
-    assert facts(parse, text, arch.CONCURRENCY) == ["`Engine/a.py` introduces concurrency primitives"]
+    assert facts(parse, text, arch.CONCURRENCY) == ["`Map/a.py` introduces concurrency primitives"]
 
 
 def test_api_changes_and_subsystems(parse):
-    text = patch("Engine/a.cs", ["public int Get(int a)", "[HttpGet]"], ["public int Get(int a)"]) + "\n" + patch(
+    text = patch("Map/a.cs", ["public int Get(int a)", "[HttpGet]"], ["public int Get(int a)"]) + "\n" + patch(
         "UI/w.py", ["def run(self, a):", "public int Get(int a)"])
     assert facts(parse, text, arch.API) == [
-        "Added in `Engine/a.cs`: `public int Get(`", "Removed from `Engine/a.cs`: `public int Get(`",
-        "Added in `Engine/a.cs`: `[HttpGet]`", "Added in `UI/w.py`: `def run(self`"]
-    assert facts(parse, text, arch.SUBSYSTEM) == ["Engine", "UI"]
+        "Added in `Map/a.cs`: `public int Get(`", "Removed from `Map/a.cs`: `public int Get(`",
+        "Added in `Map/a.cs`: `[HttpGet]`", "Added in `UI/w.py`: `def run(self`"]
+    assert facts(parse, text, arch.SUBSYSTEM) == ["Map", "UI"]
 
 
 def test_tokens_and_last_wins(parse):
@@ -126,3 +126,32 @@ def test_tokens_and_last_wins(parse):
 def test_totals(parse):
     text = patch("a.py", ["x"], ["y", "z"]) + "\n--- a/i\n+++ b/i\nBinary files differ\n--- a/s\n+++ b/s\n"
     assert patch_totals(parse(text)).first() == ("p0", 1, 1, 1, 2)
+
+
+def test_signatures_differ_beyond_any_prefix(parse):
+    head = "public int " + "A" * 90
+    text = patch("a.cs", [head + "One(int a)", head + "Two(int a)"])
+    assert len(facts(parse, text, arch.API)) == 2
+    cut = arch.marked_facts(parse(text), signature_chars=80).where("kind = 'api_change'")
+    assert cut.count() == 1
+
+
+def test_only_wanted_patterns_are_in_the_plan(parse):
+    files = parse(patch("a.py", ["import m", "class New:"]))
+    wanted = arch.arch_facts(files, [arch.DEPENDENCY])
+    plan = wanted._jdf.queryExecution().optimizedPlan().toString()
+    assert "import" in plan and "class" not in plan.replace("classes", "") and "mutex" not in plan
+    assert [r.text for r in wanted.collect()] == ["New dependency: `m`"]
+    whole = arch.arch_facts(files).where("kind = 'dependency_change'")
+    assert whole.collect() == wanted.collect()
+
+
+def test_rule_tables_hold_all_entries():
+    from diffloom.functions import rules
+
+    sizes = {
+        name: len(getattr(rules, name))
+        for name in ("API_PATTERNS", "IMPORT_PATTERNS", "EVENT_PATTERNS", "CONTROL_WORDS", "SYMBOL_PATTERNS")
+    }
+    assert sizes["API_PATTERNS"] == 7 and sizes["EVENT_PATTERNS"] == 6 and sizes["SYMBOL_PATTERNS"] == 7
+    assert rules.EVENT_PATTERNS[-1][1] == "Emit" and "sizeof" in rules.CONTROL_WORDS

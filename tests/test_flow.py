@@ -40,9 +40,12 @@ def test_conditions_loops_and_clauses(spark):
         "catch (Error e)", "catch", "finally"]
 
 
-def test_long_condition_is_cut(spark):
-    long = "x" * 50
-    assert names(spark, f"if ({long})") == [f"if ({'x' * 40}...)"]
+def test_long_conditions_are_whole_and_cut_for_diagrams_only(spark):
+    code = "\n".join(f"if ({'x' * 50}{c})" for c in "ab")
+    assert names(spark, code) == [f"if ({'x' * 50}{c})" for c in "ab"]
+    documents = spark.createDataFrame([("d", code)], "doc_id string, code string")
+    drawn = flow.flow_nodes(documents, ["doc_id"], flow.NAME_CHARS)
+    assert [r.name for r in drawn.collect()] == [f"if ({'x' * 40}...)"]
 
 
 def test_events_and_calls(spark):
@@ -66,7 +69,10 @@ def test_repeated_call_once_and_chart_cap(spark):
     chart = flow.flowcharts(table, ["doc_id"]).first().chart.split("\n")
     assert chart[0] == "graph TD" and '    flow_24["Call: do_action_24()"]' in chart
     assert "    flow_end([End — 25 more not shown])" in chart and chart[-1] == "    flow_24 --> flow_end"
-    assert flow.flow_edges(table, ["doc_id"]).count() == 26
+    assert flow.flow_edges(table, ["doc_id"]).count() == 51
+    assert flow.flow_edges(table, ["doc_id"], limit=25).count() == 26
+    assert "not shown" not in flow.flowcharts(table, ["doc_id"], None).first().chart
+    assert flow.sequence_charts(table, ["doc_id"], None).first().chart.count("->>") == 50
 
 
 def test_sequence_and_state_charts(spark):

@@ -3,7 +3,6 @@ import json
 from conftest import patch
 from pyspark.sql import functions as F
 
-from diffloom.operators.architecture import marked_facts
 from diffloom.plans import reports
 from diffloom.plans.package import export_review_package
 from diffloom.plans.reports import ReviewOptions
@@ -70,7 +69,7 @@ def test_file_report(parse):
 
 def test_json_and_arch_report(parse):
     files = parse(TEXT + "\n" + patch("z.py", ["import os"]))
-    facts = marked_facts(files)
+    facts = reports.report_facts(files)
     table = reports.review_rows(files, OPTIONS)
     data = json.loads(reports.review_documents(table, facts, OPTIONS).first().document)
     assert [f["path"] for f in data["files"]] == ["low.py", "src/auth/x.py", "i.bin", "note.c", "z.py"]
@@ -84,7 +83,7 @@ def test_json_and_arch_report(parse):
 
 def test_patch_without_facts_keeps_its_report(parse):
     text = "--- a/i.bin\n+++ b/i.bin\nBinary files differ"
-    report = reports.architecture_reports(marked_facts(parse(text)), OPTIONS).first().report
+    report = reports.architecture_reports(reports.report_facts(parse(text)), OPTIONS).first().report
     assert "**Affected subsystems:** N/A" in report
 
 
@@ -118,3 +117,14 @@ def test_package(spark, tmp_path):
         "2024-01-01 00:00:00"}
     no_json = ReviewOptions(include_json=False)
     assert "review_data" not in export_review_package(patches, str(tmp_path / "two"), no_json)
+
+
+def test_single_paths_pass_no_exchange(parse):
+    one = "--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n+a = 1\n"
+    files = parse(one + "--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n+b = 1\n" + one)
+    assert [r.path_repeats for r in files.orderBy("file_seq").collect()] == [True, False, True]
+    rows = reports.review_rows(files)
+    assert [r.is_last for r in rows.orderBy("file_seq").collect()] == [False, True, True]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    first, second = plan.split("Union", 1)[1].split("\n:- ", 1)[-1].split("\n+- ", 1)
+    assert "Window" not in first and "Window" in second

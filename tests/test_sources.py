@@ -3,15 +3,17 @@ import random
 
 import pytest
 
-from diffloom.operators.parse import changed_only, parse_patches
+from diffloom.operators.parse import changed_only, hunk_table, parse_patches
 from diffloom.operators.statistics import file_stats
 from diffloom.sources.compare_report import load_report
-from diffloom.sources.patches import load_patches, patch_table, read_patch_files, spread
+from diffloom.sources.patches import load_patches, patch_table, read_patch_files
 from diffloom.operators.architecture import arch_facts
 from diffloom.sources.snapshots import (
     as_change_set,
+    changed_pairs,
     compare_file_pairs,
     compare_snapshots,
+    is_text,
     read_snapshot,
     snapshot_status,
 )
@@ -28,13 +30,6 @@ def test_patch_files(spark, tmp_path):
     assert patch_table(table, "n", "t").dtypes == [("patch_id", "string"), ("content", "string")]
 
 
-def test_spread_only_small_scans(spark):
-    small = spark.range(10, numPartitions=1).selectExpr("id AS patch_id")
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(10, numPartitions=64).selectExpr("id AS patch_id")
-    assert spread(wide).rdd.getNumPartitions() == 64
-
-
 def test_xml_report(spark, tmp_path):
     (tmp_path / "r.xml").write_text("""<report><folder>
       <item leftfile="a.c" rightfile="b/a.c" status="Different" leftlines="12" rightlines="+1_0"/>
@@ -82,12 +77,43 @@ def test_line_diffs_match_the_standard_library(spark):
     left = {f"f{i}.txt": "".join(rng.choice("ab c\n") for _ in range(60)) for i in range(25)}
     right = {p: "".join(c for c in t if rng.random() > 0.1) + rng.choice(["", "\n", "z"]) for p, t in left.items()}
     got = {r.path: r.hunks for r in compare_snapshots(tree(spark, left), tree(spark, right)).collect()}
+    ends = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
     for path, old in left.items():
         lines = list(difflib.unified_diff(old.splitlines(True), right[path].splitlines(True), n=5))[2:]
-        text = "".join(x if x.endswith("\n") else x + "\n" for x in lines).strip("\n")
+        text = "".join(x if x[-1] in ends else x + "\n" for x in lines).strip("\n")
         assert "\n".join(got.get(path, [])).strip("\n") == text, path
 
 
+def test_other_line_ends_add_no_empty_line(spark):
+    old, new = "one\n\f\ntwo\u0085three\n", "one\n\f\ntwo\u0085four\n"
+    files = compare_snapshots(tree(spark, {"a.c": old}), tree(spark, {"a.c": new}))
+    assert files.first().hunks == ["@@ -1,5 +1,5 @@\n one\n \n \n two\n-three\n+four"]
+
+
+def test_contents_of_binary_files_are_not_fetched(spark):
+    one = tree(spark, {"i.bin": bytes(range(256)), "a.py": "x\n"})
+    two = tree(spark, {"i.bin": bytes(range(255)), "a.py": "y\n"})
+    rows = {r.path: r for r in changed_pairs(one, two).collect()}
+    assert rows["i.bin"].binary and rows["i.bin"].left_doc is None and rows["a.py"].right_doc == "y\n"
+
+
+def test_probe_is_an_option(spark):
+    late = b"a" * 600 + b"\xff"
+    table = tree(spark, {"late": late})
+    for probe, expected in ((512, True), (None, False), (700, False)):
+        got = table.select(is_text(table.path, table.content, probe).alias("t")).first().t
+        assert got is expected
+
+
+def test_placeholder_hunks_have_header_numbers(spark, tmp_path):
+    item = '<item leftfile="a.c" rightfile="b.c" status="different" leftlines="{}" rightlines="{}"/>'
+    body = item.format(7, 12) + item.format(3, "x") + item.format(0, 0)
+    (tmp_path / "r.xml").write_text(f"<report><folder>{body}</folder></report>")
+    rows = hunk_table(load_report(spark, str(tmp_path))).orderBy("file_seq").collect()
+    assert [(r.old_start, r.old_count, r.new_start, r.new_count) for r in rows] == [
+        (1, 7, 1, 12), (1, 3, 1, 0), (1, 0, 1, 0)]
+
+
 def test_missing_final_newline_keeps_lines_apart(spark):
     files = compare_snapshots(tree(spark, {"a.py": "x = 1"}), tree(spark, {"a.py": "x = 2"}))
     assert files.first().hunks == ["@@ -1 +1 @@\n-x = 1\n+x = 2"]
