@@ -272,7 +272,8 @@ def toxicity(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     labelled = KeyBitmap(labels, "id").may_have("id")
     terms, toxic, other = chosen_terms(
-        term_statistics(own.where(labelled).join(labels, "id")),
+        # Labels grow with the documents, so neither side is broadcast, at any size.
+        term_statistics(own.where(labelled).join(labels.hint("merge"), "id")),
         least_chi, least_lift, least_texts, max_terms,
     )
     rate = toxic / (toxic + other) if toxic + other else 0.0
