@@ -46,12 +46,14 @@ def parse_patches(patches: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.concat(F.lit("\n"), unify_newlines(F.col("content"))), r"\n\z", "")
     # The outer generator keeps Catalyst from adding a size() filter that would
     # cut every text twice; element 0 is what precedes the first file header.
-    pieces = F.split(text, CUT_FILES, -1)
-    segments = patches.select(
-        "patch_id",
-        _repeated(F.transform(pieces, lambda p: canonical_path(*_header_paths(p)))).alias("_repeated"),
-        F.posexplode_outer(pieces).alias("file_seq", "segment"),
-    ).where("file_seq > 0")
+    cut = patches.select("patch_id", F.split(text, CUT_FILES, -1).alias("_pieces"))
+    paths = F.transform("_pieces", lambda p: canonical_path(*_header_paths(p)))
+    # Below the generator, so that it is evaluated once per patch.
+    segments = (
+        cut.select("patch_id", "_pieces", _repeated(paths).alias("_repeated"))
+        .select("patch_id", "_repeated", F.posexplode_outer("_pieces").alias("file_seq", "segment"))
+        .where("file_seq > 0")
+    )
     seg = F.col("segment")
     strays = _stray_headers(seg)
     old_path, new_path = _header_paths(seg)
