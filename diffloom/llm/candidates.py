@@ -41,7 +41,8 @@ def shared_buckets(keys: DataFrame, parts: int) -> DataFrame:
     buckets, repeatedly.  Keys and nodes are long, so the rows of this exchange are small.
     """
     same = Window.partitionBy("key")
-    seen = keys.select(
+    # Dealt out first, so that the exchange carries keys and nodes and not the hashes below.
+    seen = keys.select("key", "node").repartition(F.col("key")).select(
         "node",
         (F.pmod("key", F.lit(parts)) == 0).alias("first"),
         F.count("*").over(same).alias("n"),
