@@ -124,7 +124,8 @@ def exact_duplicates(
 
     hits = groups.where("group_size > 1").select("_digest", "at")
     hit = KeyBitmap(hits, "_digest").may_have("_digest")
-    texts = rows.where(hit).join(hits, "_digest").select("_digest", "_at", "at", "_text")
+    # Stored, texts are read once, and the next join can split a hot digest.
+    texts = stored(rows.where(hit).join(hits, "_digest").select("_digest", "_at", "at", "_text"))
     held = texts.where(F.col("_at") == F.col("at")).select("_digest", F.col("_text").alias("held"))
     unequal = stored(
         texts.select("_digest", "_text").join(stored(held), "_digest")
