@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from diffloom.llm.graph import components
 from diffloom.storage import stored
 
-Verify = Callable[[DataFrame], DataFrame]
+Verify = Callable[[DataFrame, DataFrame], DataFrame]
+#: Leaders of a bucket that are in one list, about.
+LIST = 64
 
 
 def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -94,25 +96,28 @@ def _round(members: DataFrame, labels, leaders: int, verify: Verify, similarity:
             ),
         ).select("bucket", "node", "size", "weight", "component", "tried", "leads")
     )
-    lead = stored(
-        marked.where("leads").select(
-            "bucket",
-            F.col("node").alias("leader"),
-            F.col("size").alias("leader_size"),
-            F.col("component").alias("leader_component"),
-        )
+    # Leaders travel in lists of bounded length, so a pair is not a row of the join.
+    chunks = -(-leaders // LIST)
+    lists = stored(
+        marked.where("leads")
+        .groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(chunks)).alias("chunk"))
+        .agg(F.collect_list(F.struct("node", "size", "component")).alias("led_by"))
     )
-    pairs = (
-        marked.join(lead, "bucket")
-        .where(
-            (F.col("component") != F.col("leader_component"))
-            & (F.col("size") >= F.lit(similarity) * F.col("leader_size"))
-            & (F.col("leader_size") >= F.lit(similarity) * F.col("size"))
+
+    def fits(leader):
+        return (
+            (leader["component"] != F.col("component"))
+            & (F.col("size") >= F.lit(similarity) * leader["size"])
+            & (leader["size"] >= F.lit(similarity) * F.col("size"))
         )
-        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        .distinct()
+
+    met = marked.join(lists, "bucket").select(
+        "node", F.transform(F.filter("led_by", fits), lambda leader: leader["node"]).alias("leaders")
+    )
+    candidates = met.where(F.size("leaders") > 0).groupBy("node").agg(
+        F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")
     )
-    found = stored(verify(pairs))
+    found = stored(verify(candidates, marked.where("leads").select("node").distinct()))
     rest = marked.select(
         "bucket", "node", "size", "weight", (F.col("tried") | F.col("leads")).alias("tried")
     )
@@ -126,7 +131,6 @@ def bucket_components(
 
     ``buckets`` is stored already and has bucket, node (any orderable type), size of the
     node's set, first and weight; sizes further apart than ``similarity`` allows are no
-    pair.  ``verify`` gets a table of pairs (a, b), a < b, and returns those that are links.
     """
     labels, links = None, None
     members = buckets.withColumn("tried", F.lit(False))

@@ -26,7 +26,6 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -139,25 +138,64 @@ def table_keys(representatives: DataFrame, keys: int) -> DataFrame:
     return both.select(F.xxhash64("i", "u", "j", "v").alias("key"), "node")
 
 
-def verified(texts: DataFrame, n: int, similarity: Fraction):
-    """Check of pairs (a, b) on the full shingle sets of ``texts(node, text)``."""
+def verified(texts: DataFrame, n: int, similarity: Fraction, block: int = 32, share: int = 4096):
+    """Check of candidates on the full shingle sets of ``texts(node, text)``.
+
+    Leaders are dealt into blocks.  A task holds the sets of one block's leaders and the
+    texts compared with them stream past, each once for a block and not once for a pair.
+    Blocks that more than ``share`` texts meet are worked on in several parts.
+    """
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = lru_cache(maxsize=4)(lambda text: shingle_set(words_of(text), n))
+        key, sets = None, {}
         for frame in frames:
-            linked = []
-            for left, right in zip(frame["text_a"], frame["text_b"]):
-                x, y = sets(left), shingle_set(words_of(right), n)
-                both = len(x & y)
-                union = len(x) + len(y) - both
-                linked.append(both * similarity.denominator >= similarity.numerator * union)
-            yield frame.loc[linked, ["a", "b"]]
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(of_b, "b").join(of_a, "a").mapInPandas(check, "a long, b long")
+            links = []
+            columns = (frame[c] for c in ("block", "part", "side", "node", "leaders", "text"))
+            for block_no, part, side, node, leaders, text in zip(*columns):
+                if (block_no, part) != key:
+                    key, sets = (block_no, part), {}
+                own = shingle_set(words_of(text), n)
+                if side == 0:
+                    sets[node] = own
+                    continue
+                for leader in leaders:
+                    both = len(own & sets[leader])
+                    union = len(own) + len(sets[leader]) - both
+                    if both * similarity.denominator >= similarity.numerator * union:
+                        links.append((min(node, leader), max(node, leader)))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    def verify(candidates: DataFrame, leaders: DataFrame) -> DataFrame:
+        led = stored(leaders)
+        blocks = max(1, -(-led.count() // block))
+
+        def block_of(node):
+            return F.pmod(F.xxhash64(node, F.lit(3)), F.lit(blocks))
+
+        met = candidates.select(
+            "node", "leaders", F.explode(F.array_distinct(F.transform("leaders", block_of))).alias("block")
+        )
+        rows = stored(
+            met.select(
+                "node", "block",
+                F.filter("leaders", lambda leader: block_of(leader) == F.col("block")).alias("leaders"),
+            )
+        )
+        parts = stored(
+            rows.groupBy("block").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+        )
+        heads = led.select("node", block_of(F.col("node")).alias("block")).join(parts, "block").select(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"),
+            F.lit(0).alias("side"), "node", F.lit(None).cast("array<long>").alias("leaders"),
+        )
+        others = rows.join(parts, "block").select(
+            "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"),
+            F.lit(1).alias("side"), "node", "leaders",
+        )
+        partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = heads.unionByName(others).join(texts, "node").repartition(partitions, "block", "part")
+        ordered = dealt.sortWithinPartitions("block", "part", "side")
+        return ordered.mapInPandas(check, "a long, b long").distinct()
 
     return verify
 

@@ -84,7 +84,13 @@ def test_bucket_of_bridged_groups_needs_no_pairs_of_one_group(spark):
     buckets = stored(spark.createDataFrame(rows, schema))
     asked = []
 
-    def verify(pairs):
+    def verify(candidates, leaders):
+        pairs = candidates.select("node", F.explode("leaders").alias("leader")).select(
+            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+        ).distinct()
+        assert {r.leader for r in candidates.select(F.explode("leaders").alias("leader")).collect()} <= {
+            r.node for r in leaders.collect()
+        }
         asked.extend((r.a, r.b) for r in pairs.collect())
         same = (F.col("a") < 20) == (F.col("b") < 20)
         return pairs.where(same | ((F.col("a") == 19) & (F.col("b") == 20)))
