@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_TRACKED: list[list[str]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """Paths of the tables that :func:`stored` writes in this block, for :func:`remove`."""
+    paths: list[str] = []
+    _TRACKED.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKED.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that no result still to be computed reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(table: DataFrame) -> DataFrame:
     """Write ``table`` once and continue from the stored copy.
 
@@ -32,6 +55,8 @@ def stored(table: DataFrame) -> DataFrame:
     true size, which decides whether a later join may broadcast it.
     """
     path = shared_folder(table.sparkSession)
+    for paths in _TRACKED:
+        paths.append(path)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 

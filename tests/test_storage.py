@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from diffloom.storage import numbered, shared_folder, with_place
+from diffloom.storage import numbered, remove, shared_folder, stored, tracked, with_place
 
 
 class Conf(dict):
@@ -42,3 +42,14 @@ def test_part_numbers_are_read_as_numbers(spark):
     names = spark.createDataFrame([("part-99999-a.parquet",), ("part-100000-b.parquet",)], "n string")
     part = F.regexp_extract("n", r"part-(\d+)", 1).cast("long")
     assert [r.p for r in names.select(part.alias("p")).orderBy("p").collect()] == [99999, 100000]
+
+
+def test_tracked_tables_can_be_removed(spark):
+    before = stored(spark.range(3))
+    with tracked() as paths:
+        inside = stored(spark.range(5))
+    assert inside.count() == 5 and len(paths) == 1
+    remove(spark, paths)
+    with pytest.raises(Exception):
+        spark.read.parquet(paths[0]).count()
+    assert before.count() == 3
