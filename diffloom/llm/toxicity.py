@@ -5,8 +5,9 @@ and significantly so (a chi-square test over all labelled texts), span the space
 steps after the first two passes over the texts run on a small table of such vectors.
 Inverse document frequencies come from all documents.
 
-The examples are a bounded random sample of the labelled vectors (``max_examples``, the
-documented bound of this classifier).  They form an inverted index in blocks with the
+The examples are a bounded random sample of the distinct labelled texts (``max_examples``,
+the documented bound of this classifier); copies of a text are one example that weighs as
+often as it is labelled.  They form an inverted index in blocks with the
 largest weight of every term per block.  The bound of a block for a text is the sum
 of its terms' block maxima; blocks are scored exactly in the order of their bounds until
 no bound reaches the k-th best cosine, so the neighbours are exact.  Neighbours vote
@@ -140,6 +141,7 @@ class BlockMaxIndex:
         # Examples with the same heaviest term share blocks, which sharpens the bounds.
         weighed.sort(key=lambda p: (p[1].terms[int(p[0].argmax())], p[1].mix))
         self.labels = np.array([e.label for _, e in weighed], np.float64)
+        self.copies = np.array([getattr(e, "copies", 1) for _, e in weighed], np.float64)
         self.mixes = np.array([e.mix for _, e in weighed], np.int64)
         self.ids = [e.id for _, e in weighed]
         blocks = -(-len(weighed) // block)
@@ -186,7 +188,7 @@ class BlockMaxIndex:
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float | None:
         if not len(places):
             return None
-        closeness = 1.0 / (1.02 - cosines)
+        closeness = self.copies[places] / (1.02 - cosines)
         return float((closeness * self.labels[places]).sum() / closeness.sum())
 
 
@@ -236,6 +238,15 @@ def votes(vectors: DataFrame, index: BlockMaxIndex, k: int, shown: int) -> DataF
     return vectors.mapInArrow(score, VOTES)
 
 
+def distinct_examples(labelled: DataFrame, limit: int) -> DataFrame:
+    """Random ``limit`` of the texts of ``labelled(id, mix, label, ...)``, one row for all copies."""
+    others = [F.first(c).alias(c) for c in labelled.columns if c not in ("id", "mix", "label")]
+    texts = labelled.groupBy("mix").agg(
+        F.min("id").alias("id"), F.avg("label").alias("label"), F.count("*").alias("copies"), *others
+    )
+    return texts.orderBy("mix").limit(limit)
+
+
 def monotone(rates: list[float], sizes: list[float]) -> list[float]:
     """Closest non-decreasing rates (pooled adjacent violators)."""
     pools: list[list[float]] = []
@@ -284,10 +295,9 @@ def toxicity(
     for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         frequency[row.t] = row["count"]
     idf = np.log((1.0 + n) / (1.0 + frequency)) + 1.0
-    sample = (
-        vectors.where(F.size("terms") > 0).join(labels, "id").orderBy("mix", "id").limit(max_examples)
-        .collect()
-    )
+    sample = distinct_examples(
+        vectors.where(F.size("terms") > 0).join(labels, "id"), max_examples
+    ).collect()
     index = BlockMaxIndex(sample, idf)
     voted = stored(votes(vectors, index, k, shown))
 

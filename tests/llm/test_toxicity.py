@@ -86,3 +86,14 @@ def test_odd_labels(spark, docs):
     one_kind = run(spark, docs, rows, [(1, 1), (None, 1), (2, None), (2, 1), (2, 0)])
     assert {r.score for r in one_kind} == {1.0}
     assert run(spark, docs, [], [(1, 1)]) == []
+
+
+def test_copies_weigh_but_take_one_place(spark, docs):
+    """200 labelled copies of each of a few texts, a sample smaller than that: all texts are examples."""
+    texts = [f"vile scum rotten trash{j} w{j}" for j in range(12)] + [f"calm c{j}" for j in range(40)]
+    texts = [t + (" trash" if j < 12 else "") for j, t in enumerate(texts)]
+    rows = [(i, texts[i % len(texts)]) for i in range(1040)]
+    labels = [(i, int(i % len(texts) < 12)) for i in range(1040)]
+    got = run(spark, docs, rows, labels, max_examples=60, k=12, shown=12)
+    seen = [{e.example % len(texts) for e in r.evidence} for r in got if r.doc_id % len(texts) < 12]
+    assert all(s >= set(range(12)) for s in seen) and all(len(r.evidence) <= 12 for r in got)
