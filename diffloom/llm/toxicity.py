@@ -1,37 +1,47 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-Terms that toxic training texts have several times as often as others (``least_lift``),
-and significantly so (a chi-square test over all labelled texts), span the space, so a text is a short sparse vector, and all
-steps after the first two passes over the texts run on a small table of such vectors.
-Inverse document frequencies come from all documents.
-
+All words of a text are its terms, and document frequencies come from all documents.
 The examples are a bounded random sample of the distinct labelled texts (``max_examples``,
 the documented bound of this classifier); copies of a text are one example that weighs as
-often as it is labelled.  They form an inverted index in blocks with the
-largest weight of every term per block.  The bound of a block for a text is the sum
-of its terms' block maxima; blocks are scored exactly in the order of their bounds until
-no bound reaches the k-th best cosine, so the neighbours are exact.  Neighbours vote
-with the inverse of their distance; votes are calibrated on all training rows (an example
-does not vote on itself) by monotone rates in bins.  The nearest examples are the evidence.
-
-Defined results: a text without such terms, null and empty ones included, gets the rate
-of toxic rows among training texts without such terms; among neighbours with equal cosine
-the one with the lower place in the index counts; repeated rows are scored each on their
-own; an id that several label rows have counts as toxic if one says so; null labels and
-null ids give no training row; with no toxic or no other training rows every score is the
-overall rate (0 without any row); other columns are ignored; an empty table gives an
-empty result.
+often as it is labelled.  Only terms of examples can add to a dot product, so these form an
+inverted index, and the nearest examples are found while a text is read: their order does
+not depend on the text's own norm.  The norm needs the frequency of every term.  Frequent
+terms (``head``) are looked up on the way, all others are joined with the table of
+frequencies, so cosines are exact whatever the size of the vocabulary.  The ``k`` nearest
+examples vote with the inverse of their distance; the nearest ones are the evidence.
+
+A second vote looks closer at words that toxic training texts have several times as often
+as others (``least_lift``), and significantly so (a chi-square test): the same nearest
+neighbours in the space of these terms, by an index in blocks with the largest weight of
+every term per block.  The bound of a block for a text is the sum of its terms' block
+maxima; blocks are scored exactly in the order of their bounds until no bound reaches the
+k-th best cosine.
+
+Votes are calibrated on all training rows (a text does not vote on itself): the second one
+by monotone rates in bins, where texts without such terms are a bin of their own, and both
+together by a logistic model.
+
+Defined results: a text without any term, null and empty ones included, has no neighbours
+and counts as one whose nearest examples are toxic at the overall rate; among neighbours
+with equal cosine the one with the lower place in the index counts; repeated rows are scored
+each on their own; an id that several label rows have counts as toxic if one says so; null
+labels and null ids give no training row; with no toxic or no other training rows every
+score is the overall rate (0 without any row) and there is no evidence; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +112,18 @@ def chosen_terms(
     return [bytes(row.term) for row in rows], toxic, other
 
 
+def text_hash(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
+
+
+def chosen_counts(words: list[bytes], number: dict[bytes, int], terms: list[bytes]):
+    """Numbers of the chosen terms among ``words``, in order, and their counts."""
+    found = number.keys() & set(words)
+    own = Counter(w for w in words if w in found) if found else {}
+    order = sorted(number[w] for w in found)
+    return order, [own[terms[t]] for t in order]
+
+
 VECTORS = "id long, mix long, terms array<int>, counts array<int>"
 
 
@@ -110,18 +132,14 @@ def sparse_vectors(docs: DataFrame, id_col: str, text_col: str, terms: list[byte
     number = {term: i for i, term in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = number.keys()
         for batch in batches:
             mixes, lists, counts = [], [], []
             for scalar in batch.column(1):
                 text = scalar.as_py()
-                words = terms_of(text)
-                found = known & set(words)
-                own = Counter(w for w in words if w in found) if found else {}
-                order = sorted(number[w] for w in found)
-                mixes.append(xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63))
+                order, own = chosen_counts(terms_of(text), number, terms)
+                mixes.append(text_hash(text))
                 lists.append(order)
-                counts.append([own[terms[t]] for t in order])
+                counts.append(own)
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.record_batch(
                 [batch.column(0), *(pa.array(v, k) for v, k in zip((mixes, lists, counts), kinds))],
@@ -192,50 +210,27 @@ class BlockMaxIndex:
         return float((closeness * self.labels[places]).sum() / closeness.sum())
 
 
-VOTES = (
-    "id long, vote double, own_vote double, evidence array<struct<example: long, cosine: double>>"
-)
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """term, n: texts that have the term; '' counts all rows."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-def votes(vectors: DataFrame, index: BlockMaxIndex, k: int, shown: int) -> DataFrame:
-    """Votes of the k nearest examples, once with and once without the text itself."""
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
+            counts.clear()
+            return pa.record_batch(columns, ["term", "n"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = set(index.mixes.tolist())
-        seen: dict = {}
         for batch in batches:
-            rows = []
-            columns = [batch.column(c).to_pylist() for c in ("id", "mix", "terms", "counts")]
-            for doc_id, mix, terms, counts in zip(*columns):
-                if not terms:
-                    rows.append((doc_id, None, None, []))
-                    continue
-                key = (*terms, -1, *counts)
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    places, cosines = index.nearest(terms, counts, k)
-                    evidence = [
-                        {"example": index.ids[p], "cosine": float(c)}
-                        for p, c in zip(places[:shown], cosines[:shown])
-                    ]
-                    seen[key] = index.vote(places, cosines), evidence
-                vote, evidence = seen[key]
-                own = vote
-                if mix in examples:
-                    own = index.vote(*index.nearest(terms, counts, k, mix))
-                rows.append((doc_id, vote, own, evidence))
-            kinds = (
-                pa.int64(), pa.float64(), pa.float64(),
-                pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())])),
-            )
-            yield pa.record_batch(
-                [pa.array(v, t) for v, t in zip(zip(*rows), kinds)] if rows
-                else [pa.array([], t) for t in kinds],
-                ["id", "vote", "own_vote", "evidence"],
-            )
+            for text in batch.column(0):
+                counts.update(set(terms_of(text.as_py())))
+            counts[b""] += batch.num_rows
+            if len(counts) > 500_000:
+                yield flush()
+        yield flush()
 
-    return vectors.mapInArrow(score, VOTES)
+    partial = docs.select("text").mapInArrow(count, "term binary, n long")
+    return partial.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def distinct_examples(labelled: DataFrame, limit: int) -> DataFrame:
@@ -247,6 +242,259 @@ def distinct_examples(labelled: DataFrame, limit: int) -> DataFrame:
     return texts.orderBy("mix").limit(limit)
 
 
+def example_terms(docs: DataFrame, sample: list) -> pa.Table:
+    """mix, terms, counts: terms of the sampled texts with their counts."""
+    wanted = {row.mix for row in sample}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for scalar in batch.column(0):
+                text = scalar.as_py()
+                if (mix := text_hash(text)) in wanted:
+                    own = Counter(terms_of(text))
+                    rows.append((mix, list(own), list(own.values())))
+            kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["mix", "terms", "counts"])
+
+    ids = docs.sparkSession.createDataFrame([(row.id,) for row in sample], "id long").distinct()
+    texts = docs.join(F.broadcast(ids), "id", "left_semi").select("text")
+    found = texts.mapInArrow(read, "mix long, terms array<binary>, counts array<int>")
+    return found.where(F.size("terms") > 0).dropDuplicates(["mix"]).toArrow().combine_chunks()
+
+
+class ExampleIndex:
+    """All terms of the examples: frequent ones as a dense matrix, others as postings.
+
+    ``texts`` has the terms of examples, ``own`` and ``head`` the frequencies of these terms
+    and of frequent ones among ``n`` texts.
+    """
+
+    def __init__(self, sample: list, texts: pa.Table, head: pa.Table, own: pa.Table, n: int):
+        of_mix = {e.mix: e for e in sample}
+        self.mixes = {mix: i for i, mix in enumerate(sorted(texts["mix"].to_pylist()))}
+        held = [of_mix[mix] for mix in self.mixes]
+        self.ids = [e.id for e in held]
+        self.labels = np.array([e.label for e in held], np.float64)
+        self.copies = np.array([e.copies for e in held], np.float64)
+        self.number: dict[bytes, int] = {}
+        frequency = []
+        for table in (own, head):
+            for term, f in zip(table["term"], table["n"]):
+                if (word := term.as_py()) not in self.number:
+                    self.number[word] = len(self.number)
+                    frequency.append(f.as_py())
+            if table is own:
+                self.of_examples = len(self.number)
+        self.idf = np.log((1.0 + n) / (1.0 + np.array(frequency, np.float64))) + 1.0
+        lists = texts["terms"].combine_chunks()
+        coded = pc.dictionary_encode(lists.flatten())
+        codes = np.array([self.number[t.as_py()] for t in coded.dictionary], np.int64)
+        number = codes[coded.indices.to_numpy()]
+        rows = np.array([self.mixes[mix] for mix in texts["mix"].to_pylist()], np.int32)
+        place = np.repeat(rows, pc.list_value_length(lists).to_numpy())
+        counts = texts["counts"].combine_chunks().flatten().to_numpy().astype(np.float64)
+        value = (1.0 + np.log(counts)) * self.idf[number]
+        value /= np.sqrt(np.bincount(place, value * value, len(held)))[place]
+        lengths = np.bincount(number, minlength=self.of_examples)
+        often = np.flatnonzero(lengths * 8 > len(held))
+        # The matrix is bounded; the least frequent of these terms have postings like others.
+        often = often[np.argsort(-lengths[often], kind="stable")][:1024]
+        self.row = np.full(self.of_examples, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        dense = self.row[number] >= 0
+        self.matrix = np.zeros((len(often), len(held)))
+        self.matrix[self.row[number[dense]], place[dense]] = value[dense]
+        place, number, value = place[~dense], number[~dense], value[~dense]
+        order = np.argsort(number, kind="stable")
+        self.places, self.values = place[order], value[order]
+        self.lengths = np.bincount(number, minlength=self.of_examples)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def weighed(self, text: str | None):
+        """Numbers and weights of known terms, and (term, count) of all others."""
+        numbers, counts, rest = [], [], []
+        number = self.number.get
+        for term, n in Counter(terms_of(text)).items():
+            if (i := number(term)) is None:
+                rest.append((term, n))
+            else:
+                numbers.append(i), counts.append(n)
+        numbers = np.array(numbers, np.int64)
+        return numbers, (1.0 + np.log(np.array(counts, np.float64))) * self.idf[numbers], rest
+
+    def dots(self, queries: list) -> np.ndarray:
+        """Dot products of weights with all examples, a row for each of (numbers, weights)."""
+        dense = np.zeros((len(queries), len(self.matrix)))
+        sums = np.zeros((len(queries), len(self.ids)))
+        for q, (numbers, weights) in enumerate(queries):
+            own = numbers < self.of_examples
+            numbers, weights = numbers[own], weights[own]
+            row = self.row[numbers]
+            dense[q, row[row >= 0]] = weights[row >= 0]
+            numbers, weights = numbers[row < 0], weights[row < 0]
+            lengths = self.lengths[numbers]
+            ends = np.cumsum(lengths)
+            if len(ends) and ends[-1]:
+                at = np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends + lengths, lengths)
+                sums[q] = np.bincount(
+                    self.places[at], self.values[at] * np.repeat(weights, lengths), len(self.ids)
+                )
+        return sums + dense @ self.matrix
+
+    def nearest(self, dots: np.ndarray, k: int) -> np.ndarray:
+        """Places of the k largest positive dot products, in order."""
+        if len(dots) > k:
+            least = np.partition(dots, len(dots) - k)[len(dots) - k]
+            places = np.flatnonzero((dots > 0) & (dots >= least * (1 - 1e-12)))
+        else:
+            places = np.flatnonzero(dots > 0)
+        top = dots[places].max(initial=1e-300)
+        return places[np.lexsort((places, -np.round(dots[places] / top, 12)))[:k]]
+
+
+NEAR = pa.struct([("place", pa.int32()), ("dot", pa.float64())])
+REST = pa.struct([("term", pa.binary()), ("count", pa.int32())])
+VOTES = (
+    "row long, id long, vote double, own_vote double, place int, square double, "
+    "near array<struct<place: int, dot: double>>, rest array<struct<term: binary, count: int>>"
+)
+
+
+def votes(
+    docs: DataFrame, whole: ExampleIndex, index: BlockMaxIndex, terms: list[bytes], k: int
+) -> DataFrame:
+    """For each row the votes among the chosen terms, with and without the text itself, and its
+    k + 1 nearest examples by all terms: dot products, the square of the norm as far as its terms
+    are known, and the other terms.  ``place`` is that of the text itself, if it is an example."""
+    held = docs.sparkSession.sparkContext.broadcast((whole, index, terms))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, index, terms = held.value
+        number = {term: i for i, term in enumerate(terms)}
+        examples = set(index.mixes.tolist())
+        seen: dict = {}
+        row = TaskContext.get().partitionId() << 33
+
+        def results(texts: list[tuple[int, str | None]]) -> None:
+            queries = [whole.weighed(text) for _, text in texts]
+            for (mix, text), (numbers, weights, rest), dots in zip(
+                texts, queries, whole.dots([q[:2] for q in queries])
+            ):
+                own, counts = chosen_counts(terms_of(text), number, terms)
+                vote = own_vote = None
+                if own:
+                    vote = own_vote = index.vote(*index.nearest(own, counts, k))
+                    if mix in examples:
+                        own_vote = index.vote(*index.nearest(own, counts, k, mix))
+                near = [{"place": int(p), "dot": float(dots[p])} for p in whole.nearest(dots, k + 1)]
+                seen[mix] = (
+                    vote, own_vote, whole.mixes.get(mix), float(weights @ weights), near,
+                    [{"term": t, "count": n} for t, n in rest],
+                )
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
+                texts = part.column(1).to_pylist()
+                mixes = [text_hash(text) for text in texts]
+                if len(seen) > 2000:
+                    seen.clear()
+                new = {m: t for m, t in zip(mixes, texts) if m not in seen}
+                results(list(new.items()))
+                rows = list(zip(*(seen[m] for m in mixes)))
+                kinds = (pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.list_(NEAR), pa.list_(REST))
+                yield pa.record_batch(
+                    [
+                        pa.array(range(row, row + len(mixes)), pa.int64()), part.column(0),
+                        *(pa.array(v, t) for v, t in zip(rows, kinds)),
+                    ],
+                    ["row", "id", "vote", "own_vote", "place", "square", "near", "rest"],
+                )
+                row += len(mixes)
+
+    return docs.mapInArrow(score, VOTES)
+
+
+def neighbours(voted: DataFrame, frequencies: DataFrame, whole: ExampleIndex, n: int, k: int, shown: int):
+    """id, vote, own_vote, full, own_full, evidence: cosines with the norms over all terms."""
+    idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("n"))) + 1.0
+    rest = (
+        voted.select("row", F.explode("rest").alias("of")).select("row", "of.term", "of.count")
+        .join(frequencies, "term")
+        .groupBy("row").agg(F.sum(F.pow((1.0 + F.log("count")) * idf, 2)).alias("more"))
+    )
+    session = voted.sparkSession
+    places = [(i, float(label), float(c), int(own)) for i, (label, c, own) in enumerate(
+        zip(whole.labels, whole.copies, whole.ids))]
+    table = session.sparkContext.broadcast(places)
+    norms = voted.drop("rest").join(rest, "row", "left").withColumn(
+        "norm", F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, labels, copies, ids = (list(c) for c in zip(*table.value)) if table.value else ([],) * 4
+        labels, copies = np.array(labels), np.array(copies)
+
+        def voice(at: np.ndarray, cosines: np.ndarray) -> float | None:
+            if not len(at):
+                return None
+            closeness = copies[at] / (1.02 - cosines)
+            return float((closeness * labels[at]).sum() / closeness.sum())
+
+        for batch in batches:
+            own, near, norm = (batch.column(c) for c in ("place", "near", "norm"))
+            full, own_full, evidence = [], [], []
+            for place, of, length in zip(own.to_pylist(), near.to_pylist(), norm.to_pylist()):
+                at = np.array([x["place"] for x in of], np.int64)
+                cosines = np.minimum(np.array([x["dot"] for x in of]) / (length or 1.0), 1.0)
+                full.append(voice(at[:k], cosines[:k]))
+                if place is None:
+                    own_full.append(full[-1])
+                else:
+                    others = at != place
+                    own_full.append(voice(at[others][:k], cosines[others][:k]))
+                evidence.append(
+                    [{"example": ids[p], "cosine": float(c)} for p, c in zip(at[:shown], cosines[:shown])]
+                )
+            kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())]))
+            yield pa.record_batch(
+                [
+                    *(batch.column(c) for c in ("id", "vote", "own_vote")),
+                    pa.array(full, pa.float64()), pa.array(own_full, pa.float64()), pa.array(evidence, kind),
+                ],
+                ["id", "vote", "own_vote", "full", "own_full", "evidence"],
+            )
+
+    return norms.select("id", "vote", "own_vote", "place", "near", "norm").mapInArrow(
+        finish,
+        "id long, vote double, own_vote double, full double, own_full double, "
+        "evidence array<struct<example: long, cosine: double>>",
+    )
+
+
+def logistic(x: np.ndarray, hits: np.ndarray, sizes: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Coefficients near ``around`` (a weak normal prior) for rows of x with hits out of sizes."""
+
+    def loss(c: np.ndarray) -> float:
+        z = x @ c
+        return float((sizes * np.logaddexp(0, z) - hits * z).sum() + 0.05 * ((c - around) ** 2).sum())
+
+    at = around.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        slope = x.T @ (sizes * p - hits) + 0.1 * (at - around)
+        curve = (x * (sizes * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(at))
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return at
+
+
 def monotone(rates: list[float], sizes: list[float]) -> list[float]:
     """Closest non-decreasing rates (pooled adjacent violators)."""
     pools: list[list[float]] = []
@@ -273,6 +521,7 @@ def toxicity(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", k: int = 25, max_examples: int = 4096, max_terms: int = 4096,
     least_chi: float = 30.0, least_lift: float = 3.0, least_texts: int = 5, bins: int = 20, shown: int = 3,
+    head: int = 100_000,
 ) -> DataFrame:
     """One row per document: id, score, evidence; ``training`` has (id_col, label_col)."""
     labels = stored(
@@ -288,27 +537,44 @@ def toxicity(
         least_chi, least_lift, least_texts, max_terms,
     )
     rate = toxic / (toxic + other) if toxic + other else 0.0
-    vectors = stored(sparse_vectors(own, "id", "text", terms))
-
-    n = vectors.count()
-    frequency = np.zeros(len(terms))
-    for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        frequency[row.t] = row["count"]
-    idf = np.log((1.0 + n) / (1.0 + frequency)) + 1.0
-    sample = distinct_examples(
-        vectors.where(F.size("terms") > 0).join(labels, "id"), max_examples
-    ).collect()
-    index = BlockMaxIndex(sample, idf)
-    voted = stored(votes(vectors, index, k, shown))
-
-    place = F.when(
-        F.col("own_vote").isNotNull(), F.least(F.floor(F.col("own_vote") * bins), F.lit(bins - 1))
+    if not toxic or not other:
+        none = F.array().cast("array<struct<example: bigint, cosine: double>>")
+        return own.select(F.col("id").alias(id_col), F.lit(rate).alias("score"), none.alias("evidence"))
+
+    frequencies = stored(term_frequencies(own))
+    vectors = stored(sparse_vectors(own.where(labelled), "id", "text", terms).join(labels, "id"))
+    n = frequencies.where(F.length("term") == 0).collect()[0].n
+    words = frequencies.where(F.length("term") > 0)
+
+    def frequency_of(some: pa.Array) -> pa.Table:
+        few = docs.sparkSession.createDataFrame(pa.table({"term": some.cast(pa.binary())}))
+        return words.join(F.broadcast(few), "term").toArrow()
+
+    sample = distinct_examples(vectors.select("id", "mix", "label"), max_examples).collect()
+    texts = example_terms(own, sample)
+    whole = ExampleIndex(
+        sample, texts, words.orderBy(F.desc("n"), "term").limit(head).toArrow(),
+        frequency_of(pc.unique(pc.list_flatten(texts["terms"]))), n,
     )
-    by_bin = {
-        row.bin: (row.n, row.toxic)
-        for row in voted.join(labels, "id").groupBy(place.alias("bin"))
+    table = frequency_of(pa.array(terms, pa.binary()))
+    of_chosen = dict(zip(table["term"].to_pylist(), table["n"].to_pylist()))
+    idf = np.log((1.0 + n) / (1.0 + np.array([of_chosen[t] for t in terms], np.float64))) + 1.0
+    chosen = distinct_examples(vectors.where(F.size("terms") > 0), max_examples).collect()
+    index = BlockMaxIndex(chosen, idf)
+    found = stored(votes(own, whole, index, terms, k))
+    voted = stored(neighbours(found, words, whole, n, k, shown))
+
+    def bin_of(vote: str) -> Column:
+        return F.when(F.col(vote).isNotNull(), F.least(F.floor(F.col(vote) * bins), F.lit(bins - 1)))
+
+    cells = (
+        voted.join(labels, "id").groupBy(bin_of("own_vote").alias("bin"), bin_of("own_full").alias("full"))
         .agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()
-    }
+    )
+    by_bin: dict = {}
+    for row in cells:
+        size, hits = by_bin.get(row.bin, (0, 0))
+        by_bin[row.bin] = size + row.n, hits + row.toxic
 
     def smoothed(b: int | None, prior: float, weight: float) -> float:
         size, hits = by_bin.get(b, (0, 0))
@@ -319,5 +585,21 @@ def toxicity(
         [smoothed(b, centre, 2.0) for b, centre in enumerate(centres)],
         [by_bin.get(b, (0, 0))[0] + 2.0 for b in range(bins)],
     )
-    score = calibrated(F.col("vote"), rates, smoothed(None, rate, 2.0))
+    absent = smoothed(None, rate, 2.0)
+
+    def odds(p: float) -> float:
+        return math.log(max(p, 1e-9) / max(1 - p, 1e-9))
+
+    x = np.array([
+        (1.0, odds(absent if r.bin is None else rates[r.bin]), 0.0 if r.full is None else centres[r.full] - rate)
+        for r in cells
+    ])
+    hits, sizes = (np.array([r[c] for r in cells], np.float64) for c in ("toxic", "n"))
+    shift, of_vote, of_full = logistic(x, hits, sizes, np.array([0.0, 1.0, 0.0]))
+    if of_full < 0:
+        (shift, of_vote), of_full = logistic(x[:, :2], hits, sizes, np.array([0.0, 1.0])), 0.0
+    first = calibrated(F.col("vote"), rates, absent)
+    first = F.log(F.greatest(first, F.lit(1e-9)) / F.greatest(1 - first, F.lit(1e-9)))
+    second = F.coalesce(F.col("full") - rate, F.lit(0.0))
+    score = 1 / (1 + F.exp(-(F.lit(float(shift)) + float(of_vote) * first + float(of_full) * second)))
     return voted.select(F.col("id").alias(id_col), score.alias("score"), "evidence")

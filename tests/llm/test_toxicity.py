@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -88,6 +89,28 @@ def test_odd_labels(spark, docs):
     assert run(spark, docs, [], [(1, 1)]) == []
 
 
+def test_all_words_count_in_cosines_and_norms(spark, docs):
+    """Cosines over every word, rare ones included; few rows choose no terms and still differ."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"v{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(5, 40)))) for i in range(80)]
+    rows = [(i, t + f" foul{i // 6 % 3}" * 3 * (i % 6 == 0)) for i, t in rows]
+    labels = [(i, int(i % 6 == 0)) for i in range(60)]
+    bags = {i: Counter(terms_of(t)) for i, t in rows}
+    frequency = Counter(t for bag in bags.values() for t in bag)
+    idf = {t: np.log(81 / (1 + f)) + 1 for t, f in frequency.items()}
+    vectors = {i: {t: (1 + np.log(c)) * idf[t] for t, c in bag.items()} for i, bag in bags.items()}
+    norm = {i: np.sqrt(sum(w * w for w in v.values())) for i, v in vectors.items()}
+    got = run(spark, docs, rows, labels, head=3)
+    for r in got:
+        own = vectors[r.doc_id]
+        cosines = sorted(
+            (sum(w * vectors[i].get(t, 0) for t, w in own.items()) / norm[i] / norm[r.doc_id] for i, _ in labels),
+            reverse=True,
+        )
+        assert np.allclose([e.cosine for e in r.evidence], [c for c in cosines if c > 0][:3])
+    assert len({r.score for r in got}) > 40
+
+
 def test_copies_weigh_but_take_one_place(spark, docs):
     """200 labelled copies of each of a few texts, a sample smaller than that: all texts are examples."""
     texts = [f"vile scum rotten trash{j} w{j}" for j in range(12)] + [f"calm c{j}" for j in range(40)]
