@@ -25,9 +25,3 @@ def parse(spark):
         return parse_patches(spark.createDataFrame(rows, "patch_id string, content string"))
 
     return run
-
-
-def patch(path, added=(), deleted=(), old=None):
-    """One file, one hunk: added lines, then deleted ones."""
-    lines = [f"--- {old or 'a/' + path}", f"+++ b/{path}", "@@ -1,1 +1,1 @@"]
-    return "\n".join(lines + ["+" + x for x in added] + ["-" + x for x in deleted])

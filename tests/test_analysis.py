@@ -1,4 +1,4 @@
-from conftest import patch
+from patch_texts import patch
 
 from diffloom.operators import architecture as arch
 from diffloom.operators.risk import file_risk, risk_histogram, riskiest_files

@@ -1,4 +1,4 @@
-from conftest import patch
+from patch_texts import patch
 from pyspark.sql import functions as F
 
 from diffloom.operators import control_flow as flow

@@ -1,6 +1,6 @@
 import json
 
-from conftest import patch
+from patch_texts import patch
 from pyspark.sql import functions as F
 
 from diffloom.plans import reports
