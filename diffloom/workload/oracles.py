@@ -533,34 +533,40 @@ ORACLES["flow_edges_shown"] = (
 )
 
 _LABEL = "translate(name, '\"{}[]|', '''()()/')"
+# Rows are cut to those drawn and their text is made first, so that only short lists are put in order.
 ORACLES["flow_charts"] = with_ctes(TEXTS, DRAWN_FLOWS) + f""",
-drawn AS (
-  SELECT d, f, count(*) AS total,
-    string_agg('    flow_' || (ord - 1) || CASE
+totals AS MATERIALIZED (SELECT d, f, count(*) AS total FROM nodes GROUP BY d, f),
+shown AS MATERIALIZED (
+  SELECT d, f, ord, '    flow_' || (ord - 1) || CASE
       WHEN flow_type IN ('if_else', 'switch_case', 'try_catch') THEN '{{' || {_LABEL} || '}}'
       WHEN flow_type = 'loop' THEN '([' || {_LABEL} || '])'
       WHEN flow_type = 'event_trigger' THEN '("' || {_LABEL} || '")'
-      ELSE '["' || {_LABEL} || '"]' END, chr(10) ORDER BY ord) FILTER (ord <= 25) AS shapes,
-    string_agg('    ' || CASE ord WHEN 1 THEN 'Start' ELSE 'flow_' || (ord - 2) END || ' --> flow_' || (ord - 1),
-      chr(10) ORDER BY ord) FILTER (ord <= 25) AS arrows
-  FROM nodes GROUP BY d, f)
-SELECT {_ID}, concat_ws(chr(10), 'graph TD', '    Start([Start])', shapes, arrows,
-    CASE WHEN total > 25 THEN '    flow_end([End — ' || (total - 25) || ' more not shown])'
-         ELSE '    flow_end([End])' END,
-    '    flow_' || (least(total, 25) - 1) || ' --> flow_end') AS chart
-FROM drawn JOIN file USING (d, f)"""
+      ELSE '["' || {_LABEL} || '"]' END AS shape,
+    '    ' || CASE ord WHEN 1 THEN 'Start' ELSE 'flow_' || (ord - 2) END || ' --> flow_' || (ord - 1) AS arrow
+  FROM nodes WHERE ord <= 25),
+drawn AS MATERIALIZED (
+  SELECT d, f, list_sort(list({{'ord': ord, 'shape': shape, 'arrow': arrow}})) AS rows FROM shown GROUP BY d, f)
+SELECT {_ID}, array_to_string(list_concat(
+    ['graph TD', '    Start([Start])'],
+    list_transform(rows, lambda r: r.shape), list_transform(rows, lambda r: r.arrow),
+    [CASE WHEN total > 25 THEN '    flow_end([End — ' || (total - 25) || ' more not shown])'
+          ELSE '    flow_end([End])' END,
+     '    flow_' || (least(total, 25) - 1) || ' --> flow_end']), chr(10)) AS chart
+FROM drawn JOIN totals USING (d, f) JOIN file USING (d, f)"""
 
 _SEQUENCE = """
-ordered_nodes AS (
-  SELECT *, row_number() OVER (PARTITION BY d, f ORDER BY (flow_type = 'function_call')::INT, ord) AS place
-  FROM nodes WHERE flow_type IN ('event_trigger', 'function_call') QUALIFY place <= 25),
-charts AS (
-  SELECT d, f, 'sequenceDiagram' || chr(10) || '    actor Main' || chr(10) || '    participant System' || chr(10) ||
-    string_agg(CASE WHEN flow_type = 'function_call'
+call_lines AS MATERIALIZED (
+  SELECT d, f, row_number() OVER (PARTITION BY d, f ORDER BY (flow_type = 'function_call')::INT, ord) AS place,
+    CASE WHEN flow_type = 'function_call'
         THEN '    Main->>System: ' || replace(replace(name, 'Call: ', ''), '()', '') || '()'
       WHEN contains(name, 'Emit') THEN '    Main->>System: emit(' || condition || ')'
-      ELSE '    System->>Main: on(' || condition || ')' END, chr(10) ORDER BY place) AS chart
-  FROM ordered_nodes GROUP BY d, f)
+      ELSE '    System->>Main: on(' || condition || ')' END AS line
+  FROM nodes WHERE flow_type IN ('event_trigger', 'function_call')),
+charts AS MATERIALIZED (
+  SELECT d, f, array_to_string(list_concat(
+      ['sequenceDiagram', '    actor Main', '    participant System'],
+      list_transform(list_sort(list({'place': place, 'line': line})), lambda r: r.line)), chr(10)) AS chart
+  FROM call_lines WHERE place <= 25 GROUP BY d, f)
 """
 ORACLES["flow_calls"] = with_ctes(TEXTS, DRAWN_FLOWS, _SEQUENCE) + f"""
 SELECT {_ID}, chart FROM charts JOIN file USING (d, f)"""
