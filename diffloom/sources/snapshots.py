@@ -8,8 +8,7 @@ standard library computes the line differences of one pair at a time.
 from __future__ import annotations
 
 import difflib
-import fnmatch
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from diffloom.functions.rules import SNAPSHOT_CONTEXT, TEXT_EXTENSIONS
 from diffloom.functions.text import extension, join_lines, split_lines
 from diffloom.operators.parse import finish_file_diffs, parse_patches
+from diffloom.sources.file_tree import list_files, read_files, with_contents, without_globs
 from diffloom.storage import numbered, stored
 
 NO_FILE = "/dev/null"
@@ -27,28 +27,30 @@ TEXT_PROBE = 512
 LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
-def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+def read_snapshot(
+    spark: SparkSession, folder: str, exclude: Iterable[str] = (), hidden: bool = True
+) -> DataFrame:
     """``path`` (relative, with /) and ``content`` of all files under ``folder``.
 
-    Spark's file listing leaves out names that start with a dot or underscore;
-    use a table with these two columns where such files matter.
+    Files that match a glob of ``exclude`` are not read.  ``hidden = False`` uses Spark's own
+    listing, which leaves out names that start with a dot or underscore, for stores
+    that only Spark's readers can open.
     """
+    if hidden:
+        return read_files(list_files(spark, folder, exclude), folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     base = folder.split(":", 1)[-1].strip("/") + "/"
     inner = F.regexp_replace("path", r"\A[A-Za-z0-9+.-]+:/*", "")
     below = F.expr("substring(inner, instr(inner, base) + length(base))")
-    return (
-        files.select(inner.alias("inner"), F.lit(base).alias("base"), "content")
-        .select(below.alias("path"), "content")
+    read = files.select(inner.alias("inner"), F.lit(base).alias("base"), "content").select(
+        below.alias("path"), "content"
     )
+    return without_globs(read, exclude)
 
 
-def exclude_paths(snapshot: DataFrame, globs: list[str]) -> DataFrame:
+def exclude_paths(snapshot: DataFrame, globs: Iterable[str]) -> DataFrame:
     """Drop paths that match a glob; ``*`` also matches ``/``."""
-    for glob in globs:
-        pattern = fnmatch.translate(glob).removesuffix(r"\Z").removesuffix(r"\z")
-        snapshot = snapshot.where(~F.col("path").rlike(rf"\A{pattern}\z"))
-    return snapshot
+    return without_globs(snapshot, globs)
 
 
 def is_text(path: Column, content: Column, probe_bytes: int | None = TEXT_PROBE) -> Column:
@@ -80,8 +82,8 @@ def _decoded(content: Column) -> Column:
     return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
 
 
-def _digested(snapshot: DataFrame, side: str) -> DataFrame:
-    text = is_text(F.col("path"), F.col("content"))
+def _digested(snapshot: DataFrame, side: str, probe_bytes: int | None) -> DataFrame:
+    text = is_text(F.col("path"), F.col("content"), probe_bytes)
     # One digest for the decoded text and one for the bytes of binary files.
     digest = F.when(F.col("is_text"), F.sha2(_decoded(F.col("content")), 256)).otherwise(
         F.sha2("content", 256)
@@ -94,13 +96,16 @@ def _digested(snapshot: DataFrame, side: str) -> DataFrame:
     )
 
 
-def snapshot_status(left: DataFrame, right: DataFrame) -> DataFrame:
+def snapshot_status(
+    left: DataFrame, right: DataFrame, probe_bytes: int | None = TEXT_PROBE
+) -> DataFrame:
     """``path, status, binary, bytes_equal`` of every path of either snapshot.
 
     ``status`` is added, removed, changed or equal.  A pair with a binary side is
     reported as changed even when the bytes agree, which ``bytes_equal`` tells.
     """
-    pairs = _digested(left, "left").join(_digested(right, "right"), "path", "full_outer")
+    old, new = (_digested(t, side, probe_bytes) for t, side in ((left, "left"), (right, "right")))
+    pairs = old.join(new, "path", "full_outer")
     here, there = F.col("in_left").isNotNull(), F.col("in_right").isNotNull()
     same = F.coalesce(F.col("left_digest") == F.col("right_digest"), F.lit(False))
     binary = ~F.coalesce("left_text", F.lit(True)) | ~F.coalesce("right_text", F.lit(True))
@@ -112,16 +117,33 @@ def snapshot_status(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def changed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def _changed(left: DataFrame, right: DataFrame, probe_bytes: int | None) -> DataFrame:
+    status = snapshot_status(left, right, probe_bytes)
+    return stored(status.where("status <> 'equal'").select("path", "status", "binary"))
+
+
+def _named_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        "path",
+        F.when(F.col("status") == "added", NO_FILE).otherwise(F.concat(F.lit("a/"), "path")).alias("old_path"),
+        F.when(F.col("status") == "removed", NO_FILE).otherwise(F.concat(F.lit("b/"), "path")).alias("new_path"),
+        "status",
+        "binary",
+        "left_doc",
+        "right_doc",
+    )
+
+
+def changed_pairs(
+    left: DataFrame, right: DataFrame, probe_bytes: int | None = TEXT_PROBE
+) -> DataFrame:
     """Text of the pairs that need a line difference, one row per path.
 
     An empty file on one side only is no change: it has no lines.
     """
     # Stored, the changed paths have a known size: when they are few, Catalyst
     # broadcasts them and no content of an equal file is shuffled.
-    changed = stored(
-        snapshot_status(left, right).where("status <> 'equal'").select("path", "status", "binary")
-    )
+    changed = _changed(left, right, probe_bytes)
     pairs = changed
     # Binary files are reported by name, so their contents stay where they are.
     differing = changed.where("not binary").select("path")
@@ -129,15 +151,35 @@ def changed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         texts = table.select("path", _decoded(F.col("content")).alias(f"{side}_doc"))
         wanted = texts.join(differing, "path", "left_semi")
         pairs = pairs.join(wanted, "path", "left")
-    return pairs.select(
-        "path",
-        F.when(F.col("status") == "added", NO_FILE).otherwise(F.concat(F.lit("a/"), "path")).alias("old_path"),
-        F.when(F.col("status") == "removed", NO_FILE).otherwise(F.concat(F.lit("b/"), "path")).alias("new_path"),
-        "status",
-        "binary",
-        "left_doc",
-        "right_doc",
+    return _named_pairs(pairs)
+
+
+def changed_folder_pairs(
+    spark: SparkSession, left: str, right: str, exclude: Iterable[str] = (),
+    probe_bytes: int | None = TEXT_PROBE,
+) -> DataFrame:
+    """:func:`changed_pairs` of two folders, whose files can be read again by name.
+
+    Only digests are exchanged.  Both files of a pair that changed are then read by the task
+    that has its path, so no content passes an exchange, of equal files or others.
+    """
+    globs = list(exclude)
+    sides = {"left": left, "right": right}
+    # One listing a side serves both steps.
+    lists = {side: stored(list_files(spark, folder, globs)) for side, folder in sides.items()}
+    changed = _changed(*(read_files(lists[side], sides[side]) for side in sides), probe_bytes)
+    for side in sides:
+        here = lists[side].select("path", F.col("length").alias(f"{side}_length"))
+        changed = changed.join(here, "path", "left")
+    bytes_ = sum(F.coalesce(f"{side}_length", F.lit(0)) for side in sides)
+    there = {side: ~F.col("binary") & F.col(f"{side}_length").isNotNull() for side in sides}
+    rows = changed.select(
+        "path", "status", "binary", F.when(F.col("binary"), 0).otherwise(bytes_).alias("length"),
+        *[flag.alias(f"in_{side}") for side, flag in there.items()],
     )
+    read = with_contents(rows, {f"{side}_bytes": (folder, f"in_{side}") for side, folder in sides.items()})
+    docs = {f"{side}_doc": _decoded(F.col(f"{side}_bytes")) for side in sides}
+    return _named_pairs(read.withColumns(docs))
 
 
 def _one_sided_patch() -> Column:
@@ -204,8 +246,15 @@ def _binary_entries(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    # Stored, the contents of changed files are fetched once for all three branches.
+    pairs = stored(pairs)
+    return parse_patches(pair_patches(pairs)).unionByName(_binary_entries(pairs))
+
+
 def compare_snapshots(
-    left: DataFrame, right: DataFrame, exclude: list[str] | None = None
+    left: DataFrame, right: DataFrame, exclude: list[str] | None = None,
+    probe_bytes: int | None = TEXT_PROBE,
 ) -> DataFrame:
     """File table of the differences; ``patch_id`` is the relative path.
 
@@ -213,9 +262,15 @@ def compare_snapshots(
     :func:`as_change_set` turns it into one patch.
     """
     left, right = (exclude_paths(side, exclude or []) for side in (left, right))
-    # Stored, the contents of changed files are fetched once for all three branches.
-    pairs = stored(changed_pairs(left, right))
-    return parse_patches(pair_patches(pairs)).unionByName(_binary_entries(pairs))
+    return _compared(changed_pairs(left, right, probe_bytes))
+
+
+def compare_folders(
+    spark: SparkSession, left: str, right: str, exclude: Iterable[str] = (),
+    probe_bytes: int | None = TEXT_PROBE,
+) -> DataFrame:
+    """:func:`compare_snapshots` of two folders; what ``exclude`` names is not read."""
+    return _compared(changed_folder_pairs(spark, left, right, exclude, probe_bytes))
 
 
 def as_change_set(files: DataFrame, name: str) -> DataFrame:
@@ -233,12 +288,13 @@ def as_change_set(files: DataFrame, name: str) -> DataFrame:
     return placed.select(*[columns.get(c, F.col(c)).alias(c) for c in files.columns])
 
 
-def compare_file_pairs(pairs: DataFrame) -> DataFrame:
+def compare_file_pairs(pairs: DataFrame, probe_bytes: int | None = TEXT_PROBE) -> DataFrame:
     """Compare explicit pairs ``left_path, right_path, left, right`` (binary).
 
     Equal pairs stay as identical entries (no hunks), binary pairs as binary.
     """
-    binary = ~is_text(F.col("left_path"), F.col("left")) | ~is_text(F.col("right_path"), F.col("right"))
+    text = [is_text(F.col(f"{side}_path"), F.col(side), probe_bytes) for side in ("left", "right")]
+    binary = ~(text[0] & text[1])
     docs = pairs.select(
         F.concat_ws(" | ", "left_path", "right_path").alias("path"),
         F.concat(F.lit("a/"), "left_path").alias("old_path"),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffloom.sources.file_tree import write_files
 from diffloom.storage import shared_folder
 
 EXTENSIONS = ["py", "cpp", "js", "ts", "java", "cs", "c", "h", "sql", "md", "jsx", "sh"]
@@ -252,6 +253,42 @@ def document_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return left, right
 
 
+#: Folders and endings of the files of a document tree; most of them start with a dot or underscore.
+TREE_FOLDERS = ["src/", "src/.cache/", "_build/", "docs/_draft/.old/", "", "pkg_a/", ".config/"]
+TREE_NAMES = ["__init__.py", ".gitignore", "main.c", "_notes.txt", "x.log"]
+
+
+def _tree_path(key: str) -> str:
+    """Path of document ``key`` in SQL that both engines run; one folder holds a third of them."""
+    folder = f"CASE WHEN {key} % 3 = 0 THEN 'src/' ELSE {{folders}} END"
+    return f"concat({folder}, 'd', {key}, '/', {{names}})"
+
+
+TREE_PATH = _tree_path("doc_id").format(
+    folders="CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {_literal(f)}" for i, f in enumerate(TREE_FOLDERS)) + " END",
+    names="CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {_literal(n)}" for i, n in enumerate(TREE_NAMES)) + " END",
+)
+
+
+def document_trees(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Two folders with a file for each document; the second has a line more in every fourth one.
+
+    Every tenth document is missing on the right and every tenth, five later, on the left.
+    """
+    docs = parquet(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{TREE_PATH} AS path", "concat(coalesce(text, ''), '\n') AS content"
+    )
+    more = F.when(F.col("doc_id") % 4 == 1, F.concat("content", F.lit("appended "), "doc_id", F.lit("\n")))
+    sides = {
+        "left": docs.where("doc_id % 10 <> 5"),
+        "right": docs.where("doc_id % 10 <> 0").withColumn("content", F.coalesce(more, "content")),
+    }
+    base = shared_folder(spark)
+    for name, table in sides.items():
+        write_files(table.select("path", "content"), f"{base}/{name}")
+    return f"{base}/left", f"{base}/right"
+
+
 def report_files(spark: SparkSession, sf_dir: str) -> str:
     """Write the orders as XML compare reports and return their folder."""
     orders = parquet(spark, sf_dir, "orders")

@@ -10,7 +10,7 @@ import re
 
 from diffloom.functions import rules
 from diffloom.plans.reports import PROMPT_TEMPLATE, STRIPPED_NOTICE
-from diffloom.workload.fixtures import PIECE_FILE, PIECE_HUNK, PIECE_MARK, duck_body
+from diffloom.workload.fixtures import PIECE_FILE, PIECE_HUNK, PIECE_MARK, TREE_PATH, duck_body
 
 _CLASS = {r"\w": r"\p{L}\p{N}_"}
 
@@ -1023,3 +1023,27 @@ ORACLES["patch_file_totals"] = with_ctes() + """
 SELECT path, is_binary AS binary, count(*) AS entries, sum(n_hunks)::BIGINT AS hunks,
        sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted
 FROM file JOIN file_agg USING (d, f) GROUP BY ALL"""
+ORACLES["patch_range_totals"] = ORACLES["patch_file_totals"] + " HAVING sum(n_hunks) > 0 OR is_binary"
+
+TREE = f"""
+tree AS (
+  SELECT doc_id, {TREE_PATH} AS path, coalesce(text, '') || chr(10) AS content FROM documents)
+"""
+ORACLES["tree_files"] = f"""WITH {TREE}
+SELECT path, octet_length(encode(content))::BIGINT AS length, sha256(content) AS content_sha256
+FROM tree WHERE doc_id % 10 <> 5"""
+ORACLES["tree_excluded"] = f"""WITH {TREE}
+SELECT path, octet_length(encode(content))::BIGINT AS length FROM tree
+WHERE doc_id % 10 <> 5 AND NOT (starts_with(path, '_build/') OR ends_with(path, '.log')
+  OR starts_with(path, '.config/') OR (starts_with(path, 'src/') AND ends_with(path, '/main.c')))"""
+ORACLES["tree_compare"] = f"""WITH {TREE},
+sides AS (
+  SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'removed' WHEN doc_id % 10 = 5 THEN 'added' ELSE 'changed' END AS status,
+         doc_id, string_split(content, chr(10))[1:-2] || CASE WHEN doc_id % 10 = 5 AND doc_id % 4 = 1
+           THEN ['appended ' || doc_id] ELSE [] END AS ls
+  FROM tree WHERE doc_id % 10 IN (0, 5) OR doc_id % 4 = 1)
+SELECT path, CASE status WHEN 'added' THEN '/dev/null' ELSE 'a/' || path END AS old_path,
+       CASE status WHEN 'removed' THEN '/dev/null' ELSE 'b/' || path END AS new_path, false AS binary, 1::BIGINT AS n_hunks,
+       CASE status WHEN 'changed' THEN 1 WHEN 'added' THEN len(list_filter(ls, lambda x: x NOT LIKE '++%')) ELSE 0 END::BIGINT AS added,
+       CASE status WHEN 'removed' THEN len(list_filter(ls, lambda x: x NOT LIKE '--%')) ELSE 0 END::BIGINT AS deleted
+FROM sides"""

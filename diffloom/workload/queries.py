@@ -41,10 +41,12 @@ from diffloom.operators.symbols import symbol_table
 from diffloom.plans import reports
 from diffloom.plans.package import export_review_package
 from diffloom.sources.compare_report import load_report
-from diffloom.sources.patches import load_patches
+from diffloom.sources.file_tree import list_files, read_files
+from diffloom.sources.patches import load_patches, read_patch_pieces
 from diffloom.sources.snapshots import (
     as_change_set,
     compare_file_pairs,
+    compare_folders,
     compare_snapshots,
     read_snapshot,
     snapshot_status,
@@ -53,6 +55,7 @@ from diffloom.storage import shared_folder
 from diffloom.workload.fixtures import (
     conversation_pieces,
     document_snapshots,
+    document_trees,
     parquet,
     report_files,
     spread,
@@ -502,11 +505,52 @@ def snapshot_folders(spark, sf_dir):
     folder = shared_folder(spark)
     docs = parquet(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text"))
     docs.write.partitionBy("lang").option("maxRecordsPerFile", 500).text(folder)
-    files = read_snapshot(spark, folder)
+    # What Spark writes beside the rows is part of the tree as well.
+    files = read_snapshot(spark, folder, exclude=["_SUCCESS", "*.crc"])
     lang = F.regexp_extract("path", "^lang=([^/]*)/", 1)
     return files.groupBy(lang.alias("lang")).agg(F.sum(F.length("content")).alias("bytes"))
 
 
+@query
+def tree_files(spark, sf_dir):
+    """All files of a tree most of whose names start with a dot or underscore."""
+    folder, _ = document_trees(spark, sf_dir)
+    listing = list_files(spark, folder)
+    read = read_files(listing, folder).select("path", F.sha2("content", 256).alias("content_sha256"))
+    return listing.select("path", "length").join(read, "path")
+
+
+TREE_EXCLUDE = ["_build/*", "*.log", "src/*/main.c", ".config/*"]
+
+
+@query
+def tree_excluded(spark, sf_dir):
+    """Files left by globs that act while the tree is listed."""
+    folder, _ = document_trees(spark, sf_dir)
+    return list_files(spark, folder, TREE_EXCLUDE).select("path", "length")
+
+
+@query
+def tree_compare(spark, sf_dir):
+    return _plain(compare_folders(spark, *document_trees(spark, sf_dir)).select(*_COMPARED))
+
+
+@query
+def patch_range_totals(spark, sf_dir):
+    """Patch files cut into byte ranges at file headers, of a size that many entries cross."""
+    folder = shared_folder(spark)
+    synthetic_patches(spark, sf_dir).select("content").write.option("maxRecordsPerFile", 500).text(folder)
+    pieces = read_patch_pieces(spark, folder, exclude=["_SUCCESS", "*.crc"], piece_bytes=20_000)
+    return _plain(
+        piece_file_stats(pieces).groupBy("path", "binary").agg(
+            F.count("*").alias("entries"),
+            F.sum("n_hunks").alias("hunks"),
+            F.sum("added").alias("added"),
+            F.sum("deleted").alias("deleted"),
+        )
+    )
+
+
 @query
 def package_tokens(spark, sf_dir):
     """Token summaries of a written review package."""
