@@ -28,17 +28,17 @@ def whitespace_only(hunk: Column) -> Column:
     )
 
 
-def _non_comment_line(starts: list[str]) -> str:
+def non_comment_line(starts: list[str]) -> str:
     harmless = "|".join(["$", *map(re.escape, starts)])
     return rf"(?md)^{CHANGED_MARK}(?![{BLANK}]*+(?:{harmless}))"
 
 
 def comment_only(hunk: Column, ext: Column) -> Column:
     """Every changed line is blank or starts with a comment token."""
-    other = ~hunk.rlike(_non_comment_line(COMMENT_STARTS_OTHER))
+    other = ~hunk.rlike(non_comment_line(COMMENT_STARTS_OTHER))
     clean = F.when(ext.isNull(), other)
     for name, starts in COMMENT_STARTS.items():
-        clean = clean.when(ext == name, ~hunk.rlike(_non_comment_line(starts)))
+        clean = clean.when(ext == name, ~hunk.rlike(non_comment_line(starts)))
     return hunk.rlike(rf"(?md)^{CHANGED_MARK}") & clean.otherwise(other)
 
 

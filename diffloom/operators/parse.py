@@ -47,7 +47,7 @@ def parse_patches(patches: DataFrame) -> DataFrame:
     # The outer generator keeps Catalyst from adding a size() filter that would
     # cut every text twice; element 0 is what precedes the first file header.
     cut = patches.select("patch_id", F.split(text, CUT_FILES, -1).alias("_pieces"))
-    paths = F.transform("_pieces", lambda p: canonical_path(*_header_paths(p)))
+    paths = F.transform("_pieces", lambda p: canonical_path(*header_paths(p)))
     # Below the generator, so that it is evaluated once per patch.
     segments = (
         cut.select("patch_id", "_pieces", _repeated(paths).alias("_repeated"))
@@ -56,7 +56,7 @@ def parse_patches(patches: DataFrame) -> DataFrame:
     )
     seg = F.col("segment")
     strays = _stray_headers(seg)
-    old_path, new_path = _header_paths(seg)
+    old_path, new_path = header_paths(seg)
     entries = computed(
         segments,
         old_path=old_path,
@@ -74,7 +74,7 @@ def _stray_headers(segment: Column) -> Column:
     return F.contains(tail, F.lit("\n+++ ")) | F.contains(tail, F.lit("\nBinary files"))
 
 
-def _header_paths(segment: Column) -> tuple[Column, Column]:
+def header_paths(segment: Column) -> tuple[Column, Column]:
     """Old and new path of the text from one file header to the next."""
     head = F.substring_index(segment, "\n@@ ", 1)
     searched = F.when(_stray_headers(segment), segment).otherwise(head)

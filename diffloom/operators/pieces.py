@@ -131,15 +131,12 @@ def number_pieces(parts: DataFrame) -> DataFrame:
     )
 
 
-def piece_file_stats(pieces: DataFrame) -> DataFrame:
-    """The columns of :func:`file_stats` for patches in pieces.
+def piece_files(numbered: DataFrame) -> DataFrame:
+    """``patch_id, file_seq, path, extension, binary, n_hunks, added, deleted`` of numbered pieces.
 
-    The last aggregation sums numbers with map-side combine, so a file that
-    spans many pieces is as cheap as many files.
+    The aggregation sums numbers with map-side combine, so a file that spans many
+    pieces is as cheap as many files.
     """
-    # Stored, the few numbers of a piece serve both levels of numbering, and the
-    # text is read and cut once.
-    numbered = number_pieces(stored(piece_parts(pieces)))
     parts = numbered.select(
         "patch_id", "piece_no", "files_before", "open_hunks", F.inline_outer("parts")
     )
@@ -165,7 +162,15 @@ def piece_file_stats(pieces: DataFrame) -> DataFrame:
     )
     new_path = F.coalesce(F.col("last_new.new_path"), F.lit(""))
     named = files.withColumn("path", canonical_path(F.col("old_path"), new_path))
-    return named.where((F.col("n_hunks") > 0) | F.col("binary")).select(
+    return named.select(
         "patch_id", "file_seq", "path", extension(F.col("path")).alias("extension"),
         "binary", "n_hunks", "added", "deleted",
     )
+
+
+def piece_file_stats(pieces: DataFrame) -> DataFrame:
+    """The columns of :func:`file_stats` for patches in pieces."""
+    # Stored, the few numbers of a piece serve both levels of numbering, and the
+    # text is read and cut once.
+    files = piece_files(number_pieces(stored(piece_parts(pieces))))
+    return files.where((F.col("n_hunks") > 0) | F.col("binary"))

@@ -36,7 +36,7 @@ def _guarded(line: Column, pattern: str, name: Column) -> Column:
     return F.when(reduce(or_, [line.contains(w) for w in words]), name).otherwise("")
 
 
-def _names(line: Column, patterns: list[str]) -> Column:
+def line_names(line: Column, patterns: list[str]) -> Column:
     """First non-empty group of each pattern on one line, '' where there is none."""
     found = []
     for pattern in patterns:
@@ -54,7 +54,7 @@ def symbol_list(kept_hunks: Column, ext: Column) -> Column:
     lines = F.split(text, "\n", -1)
 
     def scan(patterns: list[str]) -> Column:
-        names = F.flatten(F.transform(lines, lambda line: _names(line, patterns)))
+        names = F.flatten(F.transform(lines, lambda line: line_names(line, patterns)))
         return F.array_distinct(F.filter(names, lambda n: n != ""))
 
     none = F.array().cast("array<string>")

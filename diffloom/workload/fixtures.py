@@ -198,6 +198,17 @@ def synthetic_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def patch_line_pieces(spark: SparkSession, sf_dir: str, lines: int = 97) -> DataFrame:
+    """The synthetic patches in pieces of so many lines, which cut files and hunks anywhere."""
+    text = F.regexp_replace(F.replace("content", F.lit("\r\n"), F.lit("\n")), r"\n\z", "")
+    whole = synthetic_patches(spark, sf_dir).select("patch_id", F.split(text, "\n", -1).alias("rows"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / lines).cast("int"))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("rows", i * lines + 1, lines), "\n"))
+    return whole.select("patch_id", F.posexplode(cut).alias("piece_no", "piece")).select(
+        "patch_id", F.col("piece_no").cast("long").alias("piece_no"), F.concat("piece", F.lit("\n")).alias("content")
+    )
+
+
 PIECE_FILE, PIECE_HUNK = "(c + t * 5 + i) % 23 = 0", "(t * 3 + i) % 7 = 0"
 PIECE_MARK = "CASE (c + t + i) % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN ' ' ELSE '+' END"
 

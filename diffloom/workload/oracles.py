@@ -1047,3 +1047,10 @@ SELECT path, CASE status WHEN 'added' THEN '/dev/null' ELSE 'a/' || path END AS
        CASE status WHEN 'changed' THEN 1 WHEN 'added' THEN len(list_filter(ls, lambda x: x NOT LIKE '++%')) ELSE 0 END::BIGINT AS added,
        CASE status WHEN 'removed' THEN len(list_filter(ls, lambda x: x NOT LIKE '--%')) ELSE 0 END::BIGINT AS deleted
 FROM sides"""
+
+# Patches cut into pieces have the results of whole ones.
+for _name, _whole in {
+    "piece_noise": "hunk_noise", "piece_meaningful": "meaningful_files",
+    "piece_token_estimate": "token_estimate", "piece_symbols": "symbols",
+}.items():
+    ORACLES[_name] = ORACLES[_whole]

@@ -23,6 +23,7 @@ from diffloom.operators.parse import (
     removed_text,
     text_files,
 )
+from diffloom.operators.piece_hunks import Pieces
 from diffloom.operators.pieces import piece_file_stats
 from diffloom.operators.risk import file_risk, risk_histogram, riskiest_files
 from diffloom.operators.statistics import (
@@ -57,6 +58,7 @@ from diffloom.workload.fixtures import (
     document_snapshots,
     document_trees,
     parquet,
+    patch_line_pieces,
     report_files,
     spread,
     synthetic_patches,
@@ -468,6 +470,31 @@ def piece_totals(spark, sf_dir):
     return _plain(patch_totals(piece_file_stats(conversation_pieces(spark, sf_dir))))
 
 
+def _pieces(spark, sf_dir) -> Pieces:
+    return Pieces(patch_line_pieces(spark, sf_dir))
+
+
+@query
+def piece_noise(spark, sf_dir):
+    return _plain(_pieces(spark, sf_dir).hunks.select(*FILE_KEYS, "hunk_seq", "ws_only", "comment_only"))
+
+
+@query
+def piece_meaningful(spark, sf_dir):
+    kept = _pieces(spark, sf_dir).meaningful()
+    return kept.withColumn("meaningful", F.col("n_kept") > 0)
+
+
+@query
+def piece_token_estimate(spark, sf_dir):
+    return _plain(_pieces(spark, sf_dir).file_tokens())
+
+
+@query
+def piece_symbols(spark, sf_dir):
+    return _plain(_pieces(spark, sf_dir).symbols())
+
+
 STRIPPED = replace(OPTIONS, strip_patch=True)
 
 

@@ -1,8 +1,13 @@
 import random
 
+import pytest
+
 import diffloom.operators.pieces as pieces
-from diffloom.operators.parse import parse_patches
-from diffloom.operators.statistics import file_stats
+from diffloom.operators.hunk_filters import with_meaningful, with_noise_flags
+from diffloom.operators.parse import changed_only, hunk_table, parse_patches
+from diffloom.operators.piece_hunks import Pieces
+from diffloom.operators.statistics import file_stats, file_tokens
+from diffloom.operators.symbols import symbol_table
 
 LINES = ["--- a/x.py", "+++ b/x.py", "--- /dev/null", "+++ b/y.c\t1", "@@ -1 +1 @@", "+a", "-b", " c", "+++ z", "---",
          "Binary files differ", "", "\\ No newline"]
@@ -37,3 +42,66 @@ def test_no_task_gets_a_whole_patch_of_text(spark):
     parts = pieces.piece_parts(table)
     assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
     assert "content" not in pieces.number_pieces(parts).columns + parts.columns
+
+
+CODE = ["--- a/x.py", "+++ b/x.py", "--- a/y.cpp", "+++ b/y.cpp", "--- a/z.md", "+++ b/w.ts\tq", "@@ -1 +1 @@", "@@ -1,2 +3 @@ def h():",
+        "+  a  b", "-a b", "+a b ", "-\ta\u00a0b", "+# c", "-// d", "+", "-  ", " def run(a):", "+class Late {", "-int f(int a) {", "+++ k",
+        "---", "Binary files differ", "", "\\ No newline", "+* e", "+\"\"\" doc", "+function go() {", "+é = (a) => b", "+struct S {"]
+
+
+@pytest.fixture(params=["short", "one line each", "long"])
+def both(request, spark):
+    """Whole patches and the same in pieces."""
+    rng = random.Random(request.param)
+    step = {"short": lambda: rng.randint(1, 7), "one line each": lambda: 1, "long": lambda: rng.randint(20, 90)}[request.param]
+    whole, cut = [], []
+    for p in range(30):
+        weights = [3 if line.startswith(("@@", "+ ", "-a")) else 1 for line in CODE]
+        lines = rng.choices(CODE, weights, k=110)
+        end = rng.choice(["\n", "\r\n"])
+        whole.append((str(p), end.join(lines) + end))
+        number, at = 0, 0
+        while at < len(lines):
+            size = step()
+            cut.append((str(p), number, end.join(lines[at:at + size]) + end))
+            number, at = number + rng.randint(1, 2), at + size
+    rng.shuffle(cut)
+    files = parse_patches(spark.createDataFrame(whole, "patch_id string, content string"))
+    return files, Pieces(spark.createDataFrame(cut, "patch_id string, piece_no long, content string").repartition(5))
+
+
+def same(a, b, *columns):
+    key = lambda r: tuple(str(x) for x in r)
+    rows = [sorted((tuple(r) for r in t.select(*columns).collect()), key=key) for t in (a, b)]
+    assert rows[0] == rows[1]
+    return rows[0]
+
+
+KEYS = ["patch_id", "file_seq"]
+
+
+def test_hunks_over_pieces_equal_whole_hunks(both):
+    files, own = both
+    noise = same(
+        with_noise_flags(hunk_table(files)), own.hunks, *KEYS, "hunk_seq", "path", "extension", "added", "deleted", "ws_only", "comment_only")
+    assert any(r[-2] for r in noise) and any(r[-1] for r in noise) and not all(r[-1] for r in noise)
+    for switches in ((True, True), (False, True), (True, False), (False, False)):
+        same(with_meaningful(changed_only(files), *switches), own.meaningful(*switches), *KEYS, "n_hunks", "n_kept")
+        assert same(file_tokens(files, *switches), own.file_tokens(*switches), *KEYS, "path", "chars", "tokens")
+
+
+def test_symbols_over_pieces_equal_whole_symbols(both):
+    files, own = both
+    assert len(same(symbol_table(files), own.symbols(), *KEYS, "ord", "symbol")) > 50
+
+
+def test_text_of_pieces_is_not_exchanged(spark):
+    table = spark.createDataFrame([("p", 0, "--- a/x.py\n@@ -1 +1 @@\n+def a():\n")], "patch_id string, piece_no int, content string")
+    plan = Pieces(table).symbols()._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and "content" not in " ".join(exchanged)
+
+
+def test_no_pieces(spark):
+    own = Pieces(spark.createDataFrame([], "patch_id string, piece_no int, content string"))
+    assert own.hunks.count() == own.symbols().count() == own.file_tokens().count() == own.meaningful().count() == 0
