@@ -5,7 +5,8 @@ rows into lines or parts (``summary_lines``, ``changed_file_lines``,
 ``prompt_parts``, ``file_reports``), which stay distributed; the functions named
 after whole reports then put the lines of a patch into one document.  Such a
 document is no larger than the patch row it came from.  For a change set that
-came as many rows, such as a snapshot comparison, write the lines instead.
+came as many rows, such as a snapshot comparison, :mod:`diffloom.plans.documents`
+writes the same documents in parts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from diffloom.operators.redaction import API_SAFE, strip_hunk
 from diffloom.operators.risk import risk_icon, with_risk
 from diffloom.operators.statistics import chars_to_tokens, cost_usd
 from diffloom.operators.symbols import symbol_list, with_symbols
+from diffloom.storage import stored
 
 
 @dataclass(frozen=True)
@@ -61,11 +63,15 @@ def report_facts(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFra
     return arch.marked_facts(files, signature_chars=options.signature_chars)
 
 
-def review_rows(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
+def review_rows(
+    files: DataFrame, options: ReviewOptions = DEFAULTS, hunks: bool = True
+) -> DataFrame:
     """All file-level results, one row per entry, identical entries flagged.
 
     Of several entries for one path, the last one provides score, level,
-    reasons and symbols (columns without ``own_``) and the token count.
+    reasons and symbols (columns without ``own_``) and the token count.  Results of entries are
+    stored once, so each text is analysed once; without ``hunks``, texts are not stored and
+    the reports that show them cannot be made.
     """
     kept = with_meaningful(files, options.skip_whitespace, options.skip_comments)
     if options.skip_whitespace and options.skip_comments:
@@ -79,6 +85,7 @@ def review_rows(files: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFram
         F.length(join_lines(F.col("kept_hunks"))).alias("chars"),
         "path_repeats",
     )
+    facts = stored(facts if hunks else facts.drop("kept_hunks"))
     # Most paths occur once in a patch.  Their rows decide for themselves and pass no
     # exchange; only entries of repeated paths, or of files of which that is not
     # known, meet in a window by patch and path.
@@ -183,14 +190,14 @@ def summary_lines(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFra
     return rows.withColumn("line", F.when(_changed(), row))
 
 
-def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
-    """Overview per patch: totals, risk histogram, tokens, file table."""
+def summary_totals(rows: DataFrame, *lists: Column) -> DataFrame:
+    """Totals of each patch, combined on the map side, and whatever else is gathered with them."""
     listed = ~F.col("identical")
 
     def level_count(level: str) -> Column:
         return F.count_if(F.col("is_last") & (F.col("level") == level))
 
-    totals = summary_lines(rows, options).groupBy("patch_id").agg(
+    totals = rows.groupBy("patch_id").agg(
         F.count_if(_changed()).alias("changed_files"),
         F.count_if(listed & F.col("binary")).alias("binary_files"),
         F.sum(F.when(listed, F.col("added")).otherwise(0)).alias("lines_added"),
@@ -199,16 +206,18 @@ def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
         level_count("Med").alias("med"),
         level_count("Low").alias("low"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
-        _gather(F.col("line"), *_by_risk(), where=_changed()).alias("table"),
-        _gather(
-            _text("- `", F.col("path"), "`"), F.col("file_seq"), where=listed & F.col("binary")
-        ).alias("binaries"),
+        *lists,
     )
+    return totals.withColumn("cost_text", four_decimals(cost_usd(F.col("total_tokens"))))
+
+
+def summary_head(options: ReviewOptions) -> Column:
+    """Text of the summary up to the head of its file table, from :func:`summary_totals`."""
     head = ["# AI Review — Summary", "", f"> Generated: {options.generated_at}", f"> Source: {options.source}"]
     if options.strip_patch:
         head.append("> 🔒 Mode: **Stripped Patch** (context redacted, identifiers pseudonymized)")
     head += ["", "## Overview", "", "| Metric | Value |", "| --- | --- |"]
-    text = F.concat_ws(
+    return F.concat_ws(
         "\n",
         F.lit("\n".join(head)),
         _text("| Changed files | ", F.col("changed_files"), " |"),
@@ -222,11 +231,24 @@ def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
         _text("| Est. cost     | $", F.col("cost_text"), " (GPT-4o ref) |"),
         F.lit("\n## Changed Files\n"),
         F.lit(table_header("File", "+LOC", "-LOC", "Hunks", "Symbols", "Risk")),
+    )
+
+
+def summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
+    """Overview per patch: totals, risk histogram, tokens, file table."""
+    binary = ~F.col("identical") & F.col("binary")
+    totals = summary_totals(
+        summary_lines(rows, options),
+        _gather(F.col("line"), *_by_risk(), where=_changed()).alias("table"),
+        _gather(_text("- `", F.col("path"), "`"), F.col("file_seq"), where=binary).alias("binaries"),
+    )
+    text = F.concat_ws(
+        "\n",
+        summary_head(options),
         F.when(F.col("table") != "", F.col("table")),
         F.when(F.col("binaries") != "", F.concat(F.lit("\n### Binary Files\n\n"), F.col("binaries"))),
     )
-    priced = totals.withColumn("cost_text", four_decimals(cost_usd(F.col("total_tokens"))))
-    return priced.select(
+    return totals.select(
         "patch_id", "changed_files", "binary_files", "lines_added", "lines_deleted",
         "high", "med", "low", "total_tokens", text.alias("report"),
     )
@@ -277,7 +299,7 @@ FACT_KINDS = [
     arch.NEW, arch.REMOVED, arch.API, arch.DEPENDENCY, arch.SUBSYSTEM, arch.SIDE_EFFECT,
     arch.CONCURRENCY, arch.MEMORY,
 ]
-_SECTIONS = [
+SECTIONS = [
     (arch.NEW, "New Components / Classes", "None detected."),
     (arch.REMOVED, "Removed Components / Classes", "None detected."),
     (arch.API, "API / Interface Changes", "No explicit API changes detected in diff headers."),
@@ -286,7 +308,7 @@ _SECTIONS = [
     (arch.CONCURRENCY, "Concurrency / Threading Risks", "None detected."),
     (arch.MEMORY, "Memory Management Risks", "None detected."),
 ]
-_NOTES = (
+NOTES = (
     "## Notes\n\nThis analysis is heuristic-based. Verify each item manually.\n"
     "Focus attention on High-risk files listed in `summary.md`.\n"
 )
@@ -304,11 +326,11 @@ def architecture_reports(facts: DataFrame, options: ReviewOptions = DEFAULTS) ->
             "\n",
         ),
     ]
-    for kind, title, empty in _SECTIONS:
+    for kind, title, empty in SECTIONS:
         items = join_lines(F.transform(F.col(kind), lambda i: F.concat(F.lit("- "), i)))
         body = F.when(F.size(kind) > 0, items).otherwise(F.lit(f"*{empty}*"))
         parts.append(_text(f"## {title}\n\n", body, "\n"))
-    parts.append(F.lit(_NOTES))
+    parts.append(F.lit(NOTES))
     return lists.select("patch_id", F.concat_ws("\n", *parts).alias("report"))
 
 
@@ -429,34 +451,39 @@ def file_reports(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFram
     )
 
 
+#: Kind of a fact and its name in the JSON document.
+JSON_FACTS = {
+    arch.NEW: "new_components", arch.REMOVED: "removed_components", arch.API: "api_changes",
+    arch.DEPENDENCY: "dependency_changes", arch.SUBSYSTEM: "affected_subsystems",
+    arch.SIDE_EFFECT: "potential_side_effects", arch.CONCURRENCY: "concurrency_risks",
+    arch.MEMORY: "memory_risks",
+}
+
+
+def file_fields() -> list[Column]:
+    """Fields of a file in the JSON document."""
+    return [
+        F.col("path"), F.col("added"), F.col("deleted"), F.col("n_hunks").alias("hunks"), F.col("binary"),
+        F.col("level").alias("risk_level"), F.col("score").alias("risk_score"),
+        F.col("reasons").alias("risk_reasons"), F.col("symbols").alias("modified_symbols"),
+    ]
+
+
 def review_documents(
     rows: DataFrame, facts: DataFrame, options: ReviewOptions = DEFAULTS
 ) -> DataFrame:
     """One JSON document per patch."""
-    entry = F.struct(
-        "file_seq",
-        F.struct(
-            "path", "added", "deleted", F.col("n_hunks").alias("hunks"), "binary",
-            F.col("level").alias("risk_level"), F.col("score").alias("risk_score"),
-            F.col("reasons").alias("risk_reasons"), F.col("symbols").alias("modified_symbols"),
-        ).alias("file"),
-    )
+    entry = F.struct("file_seq", F.struct(*file_fields()).alias("file"))
     files = rows.groupBy("patch_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.when(~F.col("identical"), entry))), lambda e: e["file"]
         ).alias("files"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
     )
-    names = {
-        arch.NEW: "new_components", arch.REMOVED: "removed_components", arch.API: "api_changes",
-        arch.DEPENDENCY: "dependency_changes", arch.SUBSYSTEM: "affected_subsystems",
-        arch.SIDE_EFFECT: "potential_side_effects", arch.CONCURRENCY: "concurrency_risks",
-        arch.MEMORY: "memory_risks",
-    }
     document = F.struct(
         F.lit(options.generated_at).alias("generated_at"),
         "files",
-        F.struct(*[F.col(kind).alias(name) for kind, name in names.items()]).alias("architecture"),
+        F.struct(*[F.col(kind).alias(name) for kind, name in JSON_FACTS.items()]).alias("architecture"),
         F.struct(
             "total_tokens", cost_usd(F.col("total_tokens")).alias("estimated_cost_usd")
         ).alias("token_estimate"),
@@ -467,24 +494,28 @@ def review_documents(
 
 
 def token_summaries(rows: DataFrame, options: ReviewOptions = DEFAULTS) -> DataFrame:
-    """Totals and the paths with most tokens, as text, per patch."""
-    order = Window.partitionBy("patch_id").orderBy(F.desc_nulls_last("tokens"), "path_seq")
-    placed = rows.withColumn("place", F.row_number().over(order))
-    line = _text("  ", _pad(F.format_number("tokens", 0), 6, right=False), "  ", F.col("path"))
-    shown = F.col("tokens").isNotNull()
+    """Totals and the paths with most tokens, as text, per patch.
+
+    Where a limit is given, tasks keep as many rows of a patch as it allows before the
+    exchange, and totals are combined apart from them.
+    """
+    order = Window.partitionBy("patch_id").orderBy(F.desc("tokens"), "path_seq")
+    placed = rows.where("tokens is not null").withColumn("place", F.row_number().over(order))
     if options.top_token_paths is not None:
-        shown = shown & (F.col("place") <= options.top_token_paths)
-    top = _gather(line, F.col("place"), where=shown)
-    totals = placed.groupBy("patch_id").agg(
+        placed = placed.where(F.col("place") <= options.top_token_paths)
+    line = _text("  ", _pad(F.format_number("tokens", 0), 6, right=False), "  ", F.col("path"))
+    top = placed.groupBy("patch_id").agg(_gather(line, F.col("place")).alias("top"))
+    totals = rows.groupBy("patch_id").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum("counted_chars"), F.lit(0)).alias("total_chars"),
-        top.alias("top"),
     ).withColumn("cost_text", four_decimals(cost_usd(F.col("total_tokens"))))
     text = F.concat_ws(
         "\n",
         _text("Estimated tokens : ", F.format_number("total_tokens", 0)),
         _text("Estimated cost   : $", F.col("cost_text"), " (GPT-4o input ref)"),
         F.lit("\nTop files by token count:"),
-        F.when(F.col("top") != "", F.col("top")),
+        F.col("top"),
+    )
+    return totals.join(top, "patch_id", "left").select(
+        "patch_id", "total_tokens", "total_chars", text.alias("report")
     )
-    return totals.select("patch_id", "total_tokens", "total_chars", text.alias("report"))

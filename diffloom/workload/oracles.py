@@ -1054,3 +1054,11 @@ for _name, _whole in {
     "piece_token_estimate": "token_estimate", "piece_symbols": "symbols",
 }.items():
     ORACLES[_name] = ORACLES[_whole]
+
+# Documents in parts are the documents in one row.
+for _name, _whole, _column in (
+    ("document_summary", "summary_report", "report"), ("document_changed_files", "changed_files", "report"),
+    ("document_architecture", "arch_report", "report"), ("document_prompt", "prompt_rows", "prompt"),
+    ("document_json", "review_json", "document"),
+):
+    ORACLES[_name] = f"SELECT patch_id, {_column} FROM ({ORACLES[_whole]})"

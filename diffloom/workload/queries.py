@@ -39,7 +39,7 @@ from diffloom.operators.statistics import (
     top_paths_by_tokens,
 )
 from diffloom.operators.symbols import symbol_table
-from diffloom.plans import reports
+from diffloom.plans import documents, reports
 from diffloom.plans.package import export_review_package
 from diffloom.sources.compare_report import load_report
 from diffloom.sources.file_tree import list_files, read_files
@@ -52,7 +52,7 @@ from diffloom.sources.snapshots import (
     read_snapshot,
     snapshot_status,
 )
-from diffloom.storage import shared_folder
+from diffloom.storage import shared_folder, stored
 from diffloom.workload.fixtures import (
     conversation_pieces,
     document_snapshots,
@@ -357,8 +357,8 @@ def page_charts(spark, sf_dir):
     return flow.code_flow_charts(pages, ["page_id"], "sequence")
 
 
-def _rows(spark, sf_dir) -> DataFrame:
-    return reports.review_rows(_files(spark, sf_dir), OPTIONS)
+def _rows(spark, sf_dir, hunks: bool = False) -> DataFrame:
+    return reports.review_rows(_files(spark, sf_dir), OPTIONS, hunks)
 
 
 @query
@@ -378,20 +378,20 @@ def arch_report(spark, sf_dir):
 
 @query
 def prompt_rows(spark, sf_dir):
-    prompts = reports.review_prompts(_rows(spark, sf_dir), OPTIONS)
+    prompts = reports.review_prompts(_rows(spark, sf_dir, hunks=True), OPTIONS)
     return prompts.select("patch_id", "prompt", prompt_tokens(F.col("prompt")).alias("prompt_tokens"))
 
 
 @query
 def file_reports(spark, sf_dir):
-    return _plain(reports.file_reports(_rows(spark, sf_dir), OPTIONS))
+    return _plain(reports.file_reports(_rows(spark, sf_dir, hunks=True), OPTIONS))
 
 
 @query
 def review_json(spark, sf_dir):
     files = _files(spark, sf_dir)
     facts = reports.report_facts(files, OPTIONS)
-    documents = reports.review_documents(reports.review_rows(files, OPTIONS), facts, OPTIONS)
+    documents = reports.review_documents(reports.review_rows(files, OPTIONS, hunks=False), facts, OPTIONS)
     # The two engines print doubles differently, so the cost is a column of its own.
     cost = F.get_json_object("document", "$.token_estimate.estimated_cost_usd").cast("double")
     return documents.select(
@@ -401,6 +401,56 @@ def review_json(spark, sf_dir):
     )
 
 
+def _stored_rows(spark, sf_dir, hunks: bool) -> DataFrame:
+    return stored(_rows(spark, sf_dir, hunks))
+
+
+def _stored_facts(spark, sf_dir) -> DataFrame:
+    return stored(reports.report_facts(_files(spark, sf_dir), OPTIONS))
+
+
+@query
+def document_summary(spark, sf_dir):
+    """The summary as ordered text files, read back."""
+    lines = documents.document_lines(documents.summary_entries(_stored_rows(spark, sf_dir, False), OPTIONS))
+    folder = shared_folder(spark)
+    documents.write_documents(lines, folder)
+    parts = spark.read.text(folder, wholetext=True).select(
+        F.col("patch_id").cast("string").alias("patch_id"), F.col("_metadata.file_name").alias("part"), "value"
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("part", "value")))
+    text = F.array_join(F.transform(ordered, lambda p: p["value"]), "")
+    return parts.groupBy("patch_id").agg(F.regexp_replace(text, r"\n\z", "").alias("report"))
+
+
+@query
+def document_changed_files(spark, sf_dir):
+    rows = _stored_rows(spark, sf_dir, False)
+    lines = documents.document_lines(documents.changed_file_entries(rows))
+    return documents.joined(lines).withColumnRenamed("document", "report")
+
+
+@query
+def document_architecture(spark, sf_dir):
+    facts = _stored_facts(spark, sf_dir)
+    lines = documents.document_lines(documents.architecture_entries(facts, OPTIONS))
+    return documents.joined(lines).withColumnRenamed("document", "report")
+
+
+@query
+def document_prompt(spark, sf_dir):
+    rows = _stored_rows(spark, sf_dir, True)
+    lines = documents.document_lines(documents.prompt_entries(rows, OPTIONS))
+    return documents.joined(lines).withColumnRenamed("document", "prompt")
+
+
+@query
+def document_json(spark, sf_dir):
+    rows, facts = _stored_rows(spark, sf_dir, False), _stored_facts(spark, sf_dir)
+    whole = documents.joined(documents.document_lines(documents.json_entries(rows, facts, OPTIONS)), "")
+    return whole.select("patch_id", F.regexp_replace("document", r',"estimated_cost_usd":[^}]*', "").alias("document"))
+
+
 @query
 def token_summary(spark, sf_dir):
     return _plain(reports.token_summaries(_rows(spark, sf_dir), OPTIONS))

@@ -1,10 +1,14 @@
 import json
+import random
+from pathlib import Path
+
+import pytest
 
 from patch_texts import patch
 from pyspark.sql import functions as F
 
-from diffloom.plans import reports
-from diffloom.plans.package import export_review_package
+from diffloom.plans import documents, reports
+from diffloom.plans.package import export_review_package, export_text_package
 from diffloom.plans.reports import ReviewOptions
 
 OPTIONS = ReviewOptions(source="unit", generated_at="2024-01-01 00:00:00")
@@ -128,3 +132,80 @@ def test_single_paths_pass_no_exchange(parse):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     first, second = plan.split("Union", 1)[1].split("\n:- ", 1)[-1].split("\n+- ", 1)
     assert "Window" not in first and "Window" in second
+
+
+LINES = ["class A {", "import os", "def f(self):", "public int G(int a) {", "// c", "std::mutex m;", "x = \"q\\\\\"", "export class V {", "é"]
+
+
+@pytest.fixture
+def many(spark):
+    """Patches with few and many files, binary, identical and repeated ones."""
+    rng = random.Random(9)
+    texts = [TEXT, "--- a/i.bin\n+++ b/i.bin\nBinary files differ", "--- a/same\n+++ b/same"]
+    for n in (1, 40):
+        own = [patch(f"src/{'auth/' if i % 3 else ''}f{i % 30}.{rng.choice(['py', 'cpp', 'ts'])}",
+                     rng.choices(LINES, k=6), rng.choices(LINES, k=3)) for i in range(n)]
+        texts.append("\n".join(own))
+    from diffloom.operators.parse import parse_patches
+
+    return parse_patches(spark.createDataFrame([(f"p/{i}", x) for i, x in enumerate(texts)], "patch_id string, content string"))
+
+
+WHOLE = {
+    "summary": lambda rows, facts, o: reports.summaries(rows, o).select("patch_id", "report"),
+    "changed_files": lambda rows, facts, o: reports.changed_file_lists(rows),
+    "architecture_changes": lambda rows, facts, o: reports.architecture_reports(facts, o),
+    "review_prompt": lambda rows, facts, o: reports.review_prompts(rows, o),
+    "review_data": lambda rows, facts, o: reports.review_documents(rows, facts, o),
+}
+CHOICES = {
+    "plain": OPTIONS,
+    "all": ReviewOptions(facts_shown=None, dependencies_per_side=None, symbols_in_summary=None, signature_chars=None),
+    "small": ReviewOptions(facts_shown=2, dependencies_per_side=1, strip_patch=True),
+}
+
+
+@pytest.mark.parametrize("choice", CHOICES)
+def test_lines_in_order_are_the_document(many, choice):
+    options = CHOICES[choice]
+    rows, facts = reports.review_rows(many, options), reports.report_facts(many, options)
+    for name, whole in WHOLE.items():
+        lines = documents.report_lines(name, rows, facts, options)
+        got = documents.joined(lines, "" if name == "review_data" else "\n")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole(rows, facts, options).collect())), name
+        assert not [r for r in lines.groupBy("patch_id").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"), F.count("*").alias("n")).collect()
+                    if (r.a, r.b) != (0, r.n - 1)]
+
+
+def test_no_list_of_a_change_set_is_in_the_plans(many):
+    rows, facts = reports.review_rows(many, OPTIONS), reports.report_facts(many, OPTIONS)
+    for name in WHOLE:
+        lines = documents.report_lines(name, rows, facts, OPTIONS)
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "listagg" not in plan
+
+
+def test_text_package_of_a_comparison(spark, many, tmp_path):
+    from diffloom.sources.snapshots import as_change_set
+
+    files = as_change_set(many, "all of it")
+    paths = export_text_package(files, str(tmp_path / "out"), OPTIONS)
+    rows, facts = reports.review_rows(files, OPTIONS), reports.report_facts(files, OPTIONS)
+    for name, whole in WHOLE.items():
+        parts = sorted(Path(paths[name]).glob("patch_id=*/part-*.txt"))
+        text = "".join(part.read_text() for part in parts)
+        expected = whole(rows, facts, OPTIONS).first()[1]
+        assert (text.replace("\n", "") if name == "review_data" else text[:-1]) == expected, name
+    reports_ = {p.read_text() for p in Path(paths["diffs"]).rglob("*.diff.md")}
+    assert reports_ == {r.report for r in reports.file_reports(rows, OPTIONS).collect()}
+    assert "Estimated tokens" in next(Path(paths["token_estimate"]).rglob("part-*.txt")).read_text()
+
+
+def test_texts_are_analysed_once(many):
+    plan = reports.summaries(reports.review_rows(many, OPTIONS, hunks=False), OPTIONS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "kept_hunks" not in plan
+
+
+def test_top_tokens_are_limited_before_the_exchange(many):
+    plan = reports.token_summaries(reports.review_rows(many, OPTIONS), OPTIONS)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
