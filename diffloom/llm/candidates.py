@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.llm.graph import components
-from diffloom.storage import stored
+from diffloom.storage import remove, stored, tracked
 
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 #: Leaders of a bucket that are in one list, about.
@@ -59,8 +59,42 @@ def shared_buckets(keys: DataFrame, parts: int) -> DataFrame:
     return members.drop("n").join(weights, "node")
 
 
-def _round(members: DataFrame, labels, leaders: int, verify: Verify, similarity: float):
-    """One round: (members of open buckets with new ``tried``, links found), None when done."""
+def overlap_bound(size: Column, own: Column, other: Column) -> Column:
+    """At most so many elements of a set of ``size`` elements are in another one.
+
+    Sketches are arrays of 64-bit words in which the hash of each element sets a bit.  Each bit that
+    only the own sketch has is there for an element that the other set lacks.
+    """
+    alone = F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return size - F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+
+
+def _kept(paths: list[str], table: DataFrame) -> DataFrame:
+    """Store ``table`` and note its path."""
+    with tracked() as own:
+        table = stored(table)
+    paths += own
+    return table
+
+
+def _round(
+    members: DataFrame, labels, leaders: int, verify: Verify, similarity: float, sketches: DataFrame | None
+):
+    """One round: (members of open buckets with new ``tried``, links found, path of the members).
+
+    None when done.  All other tables of the round are removed.
+    """
+    kept: list[str] = []
+    with tracked() as made:
+        done = _worked_round(members, labels, leaders, verify, similarity, sketches, kept)
+    remove(members.sparkSession, [path for path in made if path not in kept])
+    return done
+
+
+def _worked_round(
+    members: DataFrame, labels, leaders: int, verify: Verify, similarity: float,
+    sketches: DataFrame | None, kept: list[str],
+):
     tagged = with_components(members, labels)
     classes = tagged.groupBy("bucket", "component").agg(
         F.count("*").alias("n"), F.count(F.when(~F.col("tried"), 1)).alias("untried")
@@ -86,8 +120,8 @@ def _round(members: DataFrame, labels, leaders: int, verify: Verify, similarity:
             F.max_by("node", F.struct("weight", "node")).alias("central")
         )
     )
-    marked = stored(
-        members.join(central, "bucket", "left").withColumn(
+    marked = _kept(
+        kept, members.join(central, "bucket", "left").withColumn(
             "leads",
             is_open
             & (
@@ -98,50 +132,70 @@ def _round(members: DataFrame, labels, leaders: int, verify: Verify, similarity:
     )
     # Leaders travel in lists of bounded length, so a pair is not a row of the join.
     chunks = -(-leaders // LIST)
+    heads, others = marked.where("leads"), marked
+    if sketches is not None:
+        heads, others = (rows.join(sketches, "node") for rows in (heads, others))
+    told = [c for c in ("node", "size", "component", "sketch") if c in heads.columns]
     lists = stored(
-        marked.where("leads")
-        .groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(chunks)).alias("chunk"))
-        .agg(F.collect_list(F.struct("node", "size", "component")).alias("led_by"))
+        heads.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(chunks)).alias("chunk"))
+        .agg(F.collect_list(F.struct(*told)).alias("led_by"))
     )
 
     def fits(leader):
-        return (
+        near = (
             (leader["component"] != F.col("component"))
             & (F.col("size") >= F.lit(similarity) * leader["size"])
             & (leader["size"] >= F.lit(similarity) * F.col("size"))
         )
+        if sketches is None:
+            return near
+        both = overlap_bound(F.col("size"), F.col("sketch"), leader["sketch"])
+        # both / (sizes - both) >= similarity; a little less, so that rounding rejects no pair.
+        return near & (both * (1 + similarity) >= (similarity - 1e-9) * (F.col("size") + leader["size"]))
 
-    met = marked.join(lists, "bucket").select(
+    met = others.join(lists, "bucket").select(
         "node", F.transform(F.filter("led_by", fits), lambda leader: leader["node"]).alias("leaders")
     )
     candidates = met.where(F.size("leaders") > 0).groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")
     )
-    found = stored(verify(candidates, marked.where("leads").select("node").distinct()))
+    found = _kept(kept, verify(candidates, marked.where("leads").select("node").distinct()))
     rest = marked.select(
         "bucket", "node", "size", "weight", (F.col("tried") | F.col("leads")).alias("tried")
     )
-    return rest, found
+    return rest, found, kept[0]
 
 
 def bucket_components(
-    buckets: DataFrame, verify: Verify, similarity: float, growth: int = 8
+    buckets: DataFrame, verify: Verify, similarity: float, growth: int = 8,
+    sketches: DataFrame | None = None,
 ) -> DataFrame | None:
     """node, component for the nodes that have a link; None without a link.
 
     ``buckets`` is stored already and has bucket, node (any orderable type), size of the
     node's set, first and weight; sizes further apart than ``similarity`` allows are no
+    links.  With ``sketches(node, sketch)``, pairs whose overlap cannot be enough
+    (:func:`overlap_bound`) are not verified either.
     """
-    labels, links = None, None
+    spark = buckets.sparkSession
+    labels, links, old_labels = None, None, []
     members = buckets.withColumn("tried", F.lit(False))
     for wave in (members.where("first"), members):
-        rest, leaders = wave.drop("first"), 1
-        while (done := _round(rest, labels, leaders, verify, similarity)) is not None:
-            rest, found = done
+        rest, leaders, old_members = wave.drop("first"), 1, []
+        while (done := _round(rest, labels, leaders, verify, similarity, sketches)) is not None:
+            # What the round was worked out from is stored with it.
+            remove(spark, old_members)
+            rest, found, members_path = done
+            old_members = [members_path]
             leaders *= growth
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
-                labels = components(links)
+                with tracked() as made:
+                    joined, own = components(links), []
+                    labels = _kept(own, joined)
+                remove(spark, old_labels + [path for path in made if path not in own])
+                old_labels = own
             if wave is not members:
                 break
+        remove(spark, old_members)
     return labels
