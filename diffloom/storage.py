@@ -48,17 +48,37 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Shuffle files of a finished query are removed at once and not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(table: DataFrame) -> DataFrame:
     """Write ``table`` once and continue from the stored copy.
 
     This cuts the lineage, survives the loss of executors and gives Catalyst the
-    true size, which decides whether a later join may broadcast it.
+    true size, which decides whether a later join may broadcast it.  No later query reads
+    the shuffle files of the write, so they go with it.
     """
-    path = shared_folder(table.sparkSession)
+    spark = table.sparkSession
+    path = shared_folder(spark)
     for paths in _TRACKED:
         paths.append(path)
-    table.write.parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+    with shuffles_removed(spark):
+        table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def with_place(ordered: DataFrame, *order: str) -> DataFrame:

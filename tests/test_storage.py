@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from diffloom.storage import numbered, remove, shared_folder, stored, tracked, with_place
+from diffloom.storage import CLEANUP, numbered, remove, shared_folder, stored, tracked, with_place
 
 
 class Conf(dict):
@@ -53,3 +53,12 @@ def test_tracked_tables_can_be_removed(spark):
     with pytest.raises(Exception):
         spark.read.parquet(paths[0]).count()
     assert before.count() == 3
+
+
+def test_setting_for_shuffle_files_is_put_back(spark):
+    before = spark.conf.get(CLEANUP, None)
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    assert table.count() == 7 and spark.conf.get(CLEANUP, None) == before
+    with pytest.raises(Exception):
+        stored(spark.range(3).select(F.raise_error(F.lit("no"))))
+    assert spark.conf.get(CLEANUP, None) == before
