@@ -69,8 +69,8 @@ def overlap_bound(size: Column, own: Column, other: Column) -> Column:
     return size - F.aggregate(alone, F.lit(0), lambda total, n: total + n)
 
 
-def _kept(paths: list[str], table: DataFrame) -> DataFrame:
-    """Store ``table`` and note its path."""
+def kept_table(paths: list[str], table: DataFrame) -> DataFrame:
+    """Store ``table`` and note its path among those to stay."""
     with tracked() as own:
         table = stored(table)
     paths += own
@@ -120,7 +120,7 @@ def _worked_round(
             F.max_by("node", F.struct("weight", "node")).alias("central")
         )
     )
-    marked = _kept(
+    marked = kept_table(
         kept, members.join(central, "bucket", "left").withColumn(
             "leads",
             is_open
@@ -159,7 +159,7 @@ def _worked_round(
     candidates = met.where(F.size("leaders") > 0).groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")
     )
-    found = _kept(kept, verify(candidates, marked.where("leads").select("node").distinct()))
+    found = kept_table(kept, verify(candidates, marked.where("leads").select("node").distinct()))
     rest = marked.select(
         "bucket", "node", "size", "weight", (F.col("tried") | F.col("leads")).alias("tried")
     )
@@ -192,7 +192,7 @@ def bucket_components(
                 links = found if links is None else links.unionByName(found)
                 with tracked() as made:
                     joined, own = components(links), []
-                    labels = _kept(own, joined)
+                    labels = kept_table(own, joined)
                 remove(spark, old_labels + [path for path in made if path not in own])
                 old_labels = own
             if wave is not members:
