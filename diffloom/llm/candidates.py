@@ -63,7 +63,7 @@ def overlap_bound(size: Column, own: Column, other: Column) -> Column:
     """At most so many elements of a set of ``size`` elements are in another one.
 
     Sketches are arrays of 64-bit words in which the hash of each element sets a bit.  Each bit that
-    only the own sketch has is there for an element that the other set lacks.
+    only the own sketch has is there for an element that the other set lacks.  Null where a sketch is.
     """
     alone = F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
     return size - F.aggregate(alone, F.lit(0), lambda total, n: total + n)
@@ -151,7 +151,8 @@ def _worked_round(
             return near
         both = overlap_bound(F.col("size"), F.col("sketch"), leader["sketch"])
         # both / (sizes - both) >= similarity; a little less, so that rounding rejects no pair.
-        return near & (both * (1 + similarity) >= (similarity - 1e-9) * (F.col("size") + leader["size"]))
+        enough = both * (1 + similarity) >= (similarity - 1e-9) * (F.col("size") + leader["size"])
+        return near & F.coalesce(enough, F.lit(True))
 
     met = others.join(lists, "bucket").select(
         "node", F.transform(F.filter("led_by", fits), lambda leader: leader["node"]).alias("leaders")
@@ -175,7 +176,7 @@ def bucket_components(
     ``buckets`` is stored already and has bucket, node (any orderable type), size of the
     node's set, first and weight; sizes further apart than ``similarity`` allows are no
     links.  With ``sketches(node, sketch)``, pairs whose overlap cannot be enough
-    (:func:`overlap_bound`) are not verified either.
+    (:func:`overlap_bound`) are not verified either; null sketches reject nothing.
     """
     spark = buckets.sparkSession
     labels, links, old_labels = None, None, []

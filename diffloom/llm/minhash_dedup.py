@@ -38,7 +38,9 @@ from diffloom.llm.bitmap import KeyBitmap
 from diffloom.llm.candidates import bucket_components, shared_buckets
 from diffloom.storage import stored
 
-SIGNATURE = "id long, n_shingles long, digest binary, halves array<long>"
+SIGNATURE = "id long, n_shingles long, digest binary, halves array<long>, sketch array<long>"
+#: Bits of a sketch, in which the hash of each shingle sets one.
+SKETCH_BITS = 2048
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,32 +96,40 @@ class Signer:
         return mixed
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[shingles % np.uint64(SKETCH_BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(
     docs: DataFrame, id_col: str, text_col: str, n: int, half: int, keys: int
 ) -> DataFrame:
-    """id, n_shingles, digest of the word sequence, 2 * keys half keys."""
+    """id, n_shingles, digest of the word sequence, 2 * keys half keys, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n, half, keys)
         for batch in batches:
-            sizes, digests, halves = [], [], []
+            sizes, digests, halves, sketches = [], [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 if not words:
-                    sizes.append(0), digests.append(None), halves.append([])
+                    sizes.append(0), digests.append(None), halves.append([]), sketches.append([])
                     continue
                 shingles = signer.shingles(words)
                 sizes.append(len(shingles))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
                 halves.append(signer.halves(shingles).view(np.int64))
+                sketches.append(sketch(shingles))
             yield pa.record_batch(
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(halves, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "digest", "halves"],
+                ["id", "n_shingles", "digest", "halves", "sketch"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -209,7 +219,7 @@ def near_duplicates(
     classes = stored(
         signed.where("digest is not null and id is not null").groupBy("digest").agg(
             F.min("id").alias("node"), F.first("n_shingles").alias("size"),
-            F.first("halves").alias("halves"),
+            F.first("halves").alias("halves"), F.first("sketch").alias("sketch"),
         )
     )
     shared = shared_buckets(table_keys(classes, keys), parts=16)
@@ -225,7 +235,11 @@ def near_duplicates(
         .agg(F.max("text").alias("text"))
     )
     exact = Fraction(similarity).limit_denominator(10_000)
-    labels = bucket_components(buckets, verified(texts, words, exact), similarity)
+    # Rows that share an identifier may have several word sequences; the sketch of one of them
+    # says nothing of the text that confirms links, so such rows have none.
+    one = classes.groupBy("node").agg(F.count("*").alias("_n"), F.first("sketch").alias("sketch"))
+    sketches = stored(one.select("node", F.when(F.col("_n") == 1, F.col("sketch")).alias("sketch")))
+    labels = bucket_components(buckets, verified(texts, words, exact), similarity, sketches=sketches)
     of_class = classes.select("digest", "node")
     if labels is not None:
         of_class = of_class.join(labels, "node", "left")

@@ -98,3 +98,37 @@ def test_bucket_of_bridged_groups_needs_no_pairs_of_one_group(spark):
     got = dict(tuple(r) for r in bucket_components(buckets, verify, 0.8).collect())
     assert set(got.values()) == {0} and len(got) == 40
     assert len(set(asked)) < len(nodes) * (len(nodes) - 1) / 2
+
+
+def test_overlap_bound_rejects_no_link(spark):
+    """The bound is at least the overlap, and close to it where sketches are sparse."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from diffloom.llm.candidates import overlap_bound
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        common = rng.sample(range(10**9), rng.randint(0, 60))
+        a, b = ({*common, *rng.sample(range(10**9), rng.randint(1, 60))} for _ in range(2))
+        words = []
+        for own in (a, b):
+            value = sum({1 << (x % 1024): 0 for x in own})
+            parts = [value >> (64 * i) & (2**64 - 1) for i in range(16)]
+            words.append([x - 2**64 if x >= 2**63 else x for x in parts])
+        rows.append((len(a), len(a & b), *words))
+    rows.append((5, 5, rows[0][2], None))
+    table = spark.createDataFrame(rows, "size int, both int, a array<long>, b array<long>")
+    got = table.select("size", "both", overlap_bound(F.col("size"), F.col("a"), F.col("b")).alias("most")).collect()
+    assert got[-1].most is None
+    assert all(r.both <= r.most <= r.size for r in got[:-1])
+    assert sum(r.most - r.both for r in got[:-1]) < 0.2 * sum(r.size for r in got[:-1])
+
+
+def test_rows_that_share_an_identifier_are_linked_by_their_greatest_text(docs, words):
+    own = words(40)
+    rows = [(1, "a " + words(30)), (1, "z " + own), (2, "z " + own), (3, "z " + own + " more"), (4, words(35))]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(docs(rows)).collect()}
+    assert {(2, 1), (3, 1), (4, 4)} <= got
