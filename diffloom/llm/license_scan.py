@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.functions.text import computed
+from diffloom.storage import stored
+
 #: Pattern -> replacement, in this order, on lower-cased text.
 SPELLINGS = [
     (r"https?://", ""),
@@ -100,24 +103,29 @@ def license_scan(
     The lookups happen on digests only; texts do not leave their task.
     """
     digests = known_digests(known)
-    lines = docs.select(
-        F.col(id_col).alias("_id"),
-        F.monotonically_increasing_id().alias("_row"),
-        canonical_lines(F.col(text_col)).alias("_lines"),
+    own = docs.select(
+        F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text")
+    )
+    # Stored, each text is canonicalised once and rows keep their numbers.
+    rows = stored(
+        computed(own, _lines=canonical_lines(F.col("_text"))).select(
+            "_id", "_row",
+            F.sha2(F.array_join("_lines", " "), 256).alias("digest"),
+            F.transform(F.array_distinct("_lines"), lambda line: F.sha2(line, 256)).alias("_digests"),
+        )
     )
-    whole = lines.select("_id", "_row", F.sha2(F.array_join("_lines", " "), 256).alias("digest"))
     found = (
-        lines.select("_id", F.explode(F.array_distinct("_lines")).alias("_line"))
-        .select("_id", F.sha2("_line", 256).alias("digest"))
+        rows.select("_row", F.explode("_digests").alias("digest"))
         .join(digests, "digest")
-        .groupBy("_id")
+        .groupBy("_row")
         .agg(F.sort_array(F.collect_set("license_id")).alias("_notices"))
     )
     return (
-        whole.join(digests, "digest", "left")
-        .join(found, whole["_id"].eqNullSafe(found["_id"]), "left")
+        rows.drop("_digests")
+        .join(digests, "digest", "left")
+        .join(found, "_row", "left")
         .select(
-            whole["_id"].alias(id_col),
+            F.col("_id").alias(id_col),
             "digest",
             "license_id",
             F.coalesce("_notices", F.array().cast("array<string>")).alias("notices"),

@@ -75,3 +75,10 @@ def test_license_texts_and_lines(spark, docs):
     assert by_id[3].digest == by_id[4].digest == by_id[5].digest and by_id[3].license_id is None
     assert by_id[6].notices == []
     assert license_scan(docs([]), known).collect() == []
+
+
+def test_rows_that_share_an_identifier_have_their_own_notices(spark, docs):
+    known = spark.createDataFrame(NOTICES, "license_id string, text string")
+    rows = [(1, "x\nLicensed under the MIT License."), (1, "no notice"), (None, "SPDX-License-Identifier: MPL-2.0\ny"), (None, "z")]
+    got = sorted((r.doc_id or 0, r.notices) for r in license_scan(docs(rows), known).collect())
+    assert got == [(0, []), (0, ["MPL-2.0"]), (1, []), (1, ["MIT"])]
