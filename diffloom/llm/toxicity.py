@@ -10,19 +10,21 @@ terms (``head``) are looked up on the way, all others are joined with the table
 frequencies, so cosines are exact whatever the size of the vocabulary.  The ``k`` nearest
 examples vote with the inverse of their distance; the nearest ones are the evidence.
 
-A second vote looks closer at words that toxic training texts have several times as often
-as others (``least_lift``), and significantly so (a chi-square test): the same nearest
-neighbours in the space of these terms, by an index in blocks with the largest weight of
-every term per block.  The bound of a block for a text is the sum of its terms' block
-maxima; blocks are scored exactly in the order of their bounds until no bound reaches the
-k-th best cosine.
-
-Votes are calibrated on all training rows (a text does not vote on itself): the second one
-by monotone rates in bins, where texts without such terms are a bin of their own, and both
-together by a logistic model.
+A second vote gives every term of the examples, besides its TF-IDF weight, the contrast of
+its classes: the logarithm of how many times as often toxic training texts have it as others
+do, less ``confidence`` standard errors (1.645: the one-sided bound of 95 per cent), and zero
+where that is negative.  No count, list of terms or size decides which terms take part.  These
+vectors are sparse, and an index in blocks holds the largest weight of every term per block:
+the bound of a block for a text is the sum of its terms' block maxima, and blocks are scored
+exactly in the order of their bounds until no bound reaches the k-th best cosine.
+
+The mean of both votes is the vote of a text.  It is calibrated on all training rows (a text
+does not vote on itself) by monotone rates in bins; a fiftieth of the score is the vote
+itself, so that texts of bins with one rate keep their order.
 
 Defined results: a text without any term, null and empty ones included, has no neighbours
-and counts as one whose nearest examples are toxic at the overall rate; among neighbours
+and counts in the first vote as one whose nearest examples are toxic at the overall rate; a
+text whose terms have no contrast has the second vote 0; among neighbours
 with equal cosine the one with the lower place in the index counts; repeated rows are scored
 each on their own; an id that several label rows have counts as toxic if one says so; null
 labels and null ids give no training row; with no toxic or no other training rows every
@@ -32,10 +34,10 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import string
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -90,124 +92,99 @@ def term_statistics(labelled: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def chosen_terms(
-    statistics: DataFrame, least_chi: float, least_lift: float, least_texts: int, max_terms: int
-) -> tuple[list[bytes], int, int]:
-    """Terms of toxic texts by chi-square, and the numbers of toxic and other texts."""
-    statistics = stored(statistics)
-    total = statistics.where(F.length("term") == 0).collect()
-    toxic, other = (int(total[0].toxic), int(total[0].other)) if total else (0, 0)
-    if not toxic or not other:
-        return [], toxic, other
-    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
-    c, d, n = F.lit(float(toxic)) - a, F.lit(float(other)) - b, float(toxic + other)
-    spread = (a + b) * (c + d) * float(toxic) * float(other)
-    chi = F.when(spread > 0, (a * d - b * c) ** 2 * n / spread)
-    rows = (
-        statistics.where(F.length("term") > 0).where(a + b >= least_texts)
-        .where(a * other >= F.lit(least_lift) * b * toxic)
-        .withColumn("chi", chi).where(F.col("chi") >= least_chi)
-        .orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()
-    )
-    return [bytes(row.term) for row in rows], toxic, other
+def contrasts(toxic: np.ndarray, other: np.ndarray, sizes: tuple[int, int], confidence: float) -> np.ndarray:
+    """Lower bounds of the log ratio of a term's rates in toxic and other texts, at least 0."""
+    a, b = toxic + 0.5, other + 0.5
+    ratio = np.log(a / (sizes[0] + 1)) - np.log(b / (sizes[1] + 1))
+    error = np.sqrt(1 / a - 1 / (sizes[0] + 1) + 1 / b - 1 / (sizes[1] + 1))
+    return np.maximum(0.0, ratio - confidence * error)
 
 
 def text_hash(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
 
 
-def chosen_counts(words: list[bytes], number: dict[bytes, int], terms: list[bytes]):
-    """Numbers of the chosen terms among ``words``, in order, and their counts."""
-    found = number.keys() & set(words)
-    own = Counter(w for w in words if w in found) if found else {}
-    order = sorted(number[w] for w in found)
-    return order, [own[terms[t]] for t in order]
-
-
-VECTORS = "id long, mix long, terms array<int>, counts array<int>"
-
-
-def sparse_vectors(docs: DataFrame, id_col: str, text_col: str, terms: list[bytes]) -> DataFrame:
-    """id, hash of the text, numbers of the chosen terms and their counts in whole texts."""
-    number = {term: i for i, term in enumerate(terms)}
+def text_hashes(labelled: DataFrame) -> DataFrame:
+    """id, mix (hash of the text) and label of ``labelled(id, text, label)``."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mixes, lists, counts = [], [], []
-            for scalar in batch.column(1):
-                text = scalar.as_py()
-                order, own = chosen_counts(terms_of(text), number, terms)
-                mixes.append(text_hash(text))
-                lists.append(order)
-                counts.append(own)
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.record_batch(
-                [batch.column(0), *(pa.array(v, k) for v, k in zip((mixes, lists, counts), kinds))],
-                ["id", "mix", "terms", "counts"],
-            )
+            mixes = pa.array([text_hash(text.as_py()) for text in batch.column(1)], pa.int64())
+            yield pa.record_batch([batch.column(0), mixes, batch.column(2)], ["id", "mix", "label"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(vectors, VECTORS)
+    return labelled.select("id", "text", "label").mapInArrow(hashes, "id long, mix long, label int")
 
 
 class BlockMaxIndex:
     """Inverted index over examples in blocks, with each term's largest weight by block."""
 
     def __init__(self, examples: list, idf: np.ndarray, block: int = 64) -> None:
-        self.idf, self.block = idf, block
+        self.idf = idf
         weighed = [(self.weights(e.terms, e.counts), e) for e in examples]
         # Examples with the same heaviest term share blocks, which sharpens the bounds.
         weighed.sort(key=lambda p: (p[1].terms[int(p[0].argmax())], p[1].mix))
         self.labels = np.array([e.label for _, e in weighed], np.float64)
         self.copies = np.array([getattr(e, "copies", 1) for _, e in weighed], np.float64)
         self.mixes = np.array([e.mix for _, e in weighed], np.int64)
-        self.ids = [e.id for _, e in weighed]
-        blocks = -(-len(weighed) // block)
-        self.bounds = np.zeros((len(idf), max(1, blocks)))
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for i, (weights, e) in enumerate(weighed):
-            for t, w in zip(e.terms, weights):
-                postings[t].append((i, w))
-                self.bounds[t, i // block] = max(self.bounds[t, i // block], w)
-        self.docs = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.values = [np.array([w for _, w in p]) for p in postings]
+        self.place_of = {mix: i for i, mix in enumerate(self.mixes.tolist())}
+        self.blocks = max(1, -(-len(weighed) // block))
+        places = np.repeat(np.arange(len(weighed)), np.array([len(w) for w, _ in weighed], np.int64))
+        numbers = np.array([t for _, e in weighed for t in e.terms], np.int64)
+        values = np.concatenate([np.zeros(0), *(w for w, _ in weighed)])
+        order = np.lexsort((places, numbers))
+        self.places, self.values = places[order], values[order]
+        # Postings of a term in a block stand together; cells count through terms, then blocks.
+        cells = numbers[order] * self.blocks + self.places // block
+        self.starts = np.searchsorted(cells, np.arange(len(idf) * self.blocks + 1))
+        bounds = np.zeros(len(idf) * self.blocks)
+        np.maximum.at(bounds, cells, self.values)
+        self.bounds = bounds.reshape(len(idf), self.blocks)
 
     def weights(self, terms, counts) -> np.ndarray:
         raw = (1.0 + np.log(np.array(counts, np.float64))) * self.idf[np.array(terms, np.int64)]
         return raw / np.linalg.norm(raw)
 
+    def scored(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray):
+        """Places in ``blocks`` with a positive cosine, and these."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        starts = self.starts[cells]
+        lengths = self.starts[cells + 1] - starts
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
+        weights = np.repeat(np.repeat(query, len(blocks)), lengths)
+        sums = np.bincount(self.places[at], self.values[at] * weights, len(self.labels))
+        hit = np.flatnonzero(sums > 0)
+        return hit, sums[hit]
+
     def nearest(self, terms, counts, k: int, without: int | None = None):
-        """Places and cosines of the k nearest examples with a positive cosine."""
-        query = self.weights(terms, counts)
+        """Places and cosines of the k nearest examples with a positive cosine, in order;
+        the example whose text has the hash ``without`` is left out."""
+        terms, query = np.array(terms, np.int64), self.weights(terms, counts)
+        own = self.place_of.get(without) if without is not None else None
         bounds = query @ self.bounds[terms]
-        scores, seen, worst = [], [], 0.0
-        held = 0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (held >= k and bounds[b] < worst - 1e-12):
-                break
-            low, high = b * self.block, min((b + 1) * self.block, len(self.labels))
-            total = np.zeros(high - low)
-            for t, q in zip(terms, query):
-                lo, hi = np.searchsorted(self.docs[t], [low, high])
-                total[self.docs[t][lo:hi] - low] += q * self.values[t][lo:hi]
-            if without is not None:
-                total[self.mixes[low:high] == without] = 0
-            hit = np.flatnonzero(total > 0)
-            scores.append(total[hit]), seen.append(hit + low)
-            held += len(hit)
-            if held >= k:
-                worst = np.partition(np.concatenate(scores), held - k)[held - k]
-        if not held:
-            return np.zeros(0, np.int64), np.zeros(0)
-        places, cosines = np.concatenate(seen), np.minimum(np.concatenate(scores), 1.0)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        step = 4
+        while len(order):
+            if len(cosines) >= k:
+                worst = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+                order = order[bounds[order] >= worst - 1e-12]
+            hit, found = self.scored(terms, query, order[:step]) if len(order) else (places[:0], cosines[:0])
+            others = hit != own if own is not None else slice(None)
+            places, cosines = np.append(places, hit[others]), np.append(cosines, found[others])
+            order, step = order[step:], step * 2
+        cosines = np.minimum(cosines, 1.0)
         best = np.lexsort((places, -np.round(cosines, 12)))[:k]
         return places[best], cosines[best]
 
-    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float | None:
-        if not len(places):
-            return None
-        closeness = self.copies[places] / (1.02 - cosines)
-        return float((closeness * self.labels[places]).sum() / closeness.sum())
+
+def voice(labels: np.ndarray, copies: np.ndarray, cosines: np.ndarray) -> float | None:
+    """Vote of the examples with these labels, copies and cosines, by the inverse of distance."""
+    if not len(cosines):
+        return None
+    closeness = copies / (1.02 - cosines)
+    return float((closeness * labels).sum() / closeness.sum())
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -264,6 +241,16 @@ def example_terms(docs: DataFrame, sample: list) -> pa.Table:
     return found.where(F.size("terms") > 0).dropDuplicates(["mix"]).toArrow().combine_chunks()
 
 
+class Example(NamedTuple):
+    """Example of an index in blocks: numbers of its terms and their counts."""
+
+    mix: int
+    label: float
+    copies: float
+    terms: np.ndarray
+    counts: np.ndarray
+
+
 class ExampleIndex:
     """All terms of the examples: frequent ones as a dense matrix, others as postings.
 
@@ -297,6 +284,7 @@ class ExampleIndex:
         counts = texts["counts"].combine_chunks().flatten().to_numpy().astype(np.float64)
         value = (1.0 + np.log(counts)) * self.idf[number]
         value /= np.sqrt(np.bincount(place, value * value, len(held)))[place]
+        self.bags = (place, number, counts)
         lengths = np.bincount(number, minlength=self.of_examples)
         often = np.flatnonzero(lengths * 8 > len(held))
         # The matrix is bounded; the least frequent of these terms have postings like others.
@@ -312,8 +300,34 @@ class ExampleIndex:
         self.lengths = np.bincount(number, minlength=self.of_examples)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def contrasted(self, classes: pa.Table, sizes: tuple[int, int], confidence: float) -> BlockMaxIndex:
+        """Index of the same examples with the contrast of each term in its weight.
+
+        ``classes`` has the number of texts of each kind for the terms; ``slot`` then leads from
+        a term's number to that in the index, or to -1 where the term has no contrast.
+        """
+        toxic, other = np.zeros(self.of_examples), np.zeros(self.of_examples)
+        numbers = [self.number[term.as_py()] for term in classes["term"]]
+        toxic[numbers], other[numbers] = classes["toxic"].to_numpy(), classes["other"].to_numpy()
+        contrast = contrasts(toxic, other, sizes, confidence)
+        known = np.flatnonzero(contrast > 0)
+        self.slot = np.full(len(self.number), -1, np.int64)
+        self.slot[known] = np.arange(len(known))
+        place, number, counts = self.bags
+        slots = self.slot[number]
+        order = np.lexsort((slots, place))
+        order = order[slots[order] >= 0]
+        ends = np.cumsum(np.bincount(place[order], minlength=len(self.ids)))[:-1]
+        bags = zip(np.split(slots[order], ends), np.split(counts[order], ends))
+        examples = [
+            Example(mix, label, copies, *bag)
+            for mix, label, copies, bag in zip(self.mixes, self.labels, self.copies, bags) if len(bag[0])
+        ]
+        del self.bags
+        return BlockMaxIndex(examples, self.idf[known] * contrast[known])
+
     def weighed(self, text: str | None):
-        """Numbers and weights of known terms, and (term, count) of all others."""
+        """Numbers, counts and weights of known terms, and (term, count) of all others."""
         numbers, counts, rest = [], [], []
         number = self.number.get
         for term, n in Counter(terms_of(text)).items():
@@ -321,8 +335,8 @@ class ExampleIndex:
                 rest.append((term, n))
             else:
                 numbers.append(i), counts.append(n)
-        numbers = np.array(numbers, np.int64)
-        return numbers, (1.0 + np.log(np.array(counts, np.float64))) * self.idf[numbers], rest
+        numbers, counts = np.array(numbers, np.int64), np.array(counts, np.float64)
+        return numbers, counts, (1.0 + np.log(counts)) * self.idf[numbers], rest
 
     def dots(self, queries: list) -> np.ndarray:
         """Dot products of weights with all examples, a row for each of (numbers, weights)."""
@@ -362,35 +376,33 @@ VOTES = (
 )
 
 
-def votes(
-    docs: DataFrame, whole: ExampleIndex, index: BlockMaxIndex, terms: list[bytes], k: int
-) -> DataFrame:
-    """For each row the votes among the chosen terms, with and without the text itself, and its
+def votes(docs: DataFrame, whole: ExampleIndex, index: BlockMaxIndex, k: int) -> DataFrame:
+    """For each row the votes by terms with contrast, with and without the text itself, and its
     k + 1 nearest examples by all terms: dot products, the square of the norm as far as its terms
     are known, and the other terms.  ``place`` is that of the text itself, if it is an example."""
-    held = docs.sparkSession.sparkContext.broadcast((whole, index, terms))
+    held = docs.sparkSession.sparkContext.broadcast((whole, index))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, index, terms = held.value
-        number = {term: i for i, term in enumerate(terms)}
-        examples = set(index.mixes.tolist())
+        whole, index = held.value
         seen: dict = {}
         row = TaskContext.get().partitionId() << 33
 
+        def contrast_votes(mix: int, numbers: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+            slots = whole.slot[numbers]
+            if not (known := slots >= 0).any():
+                return 0.0, 0.0
+            places, cosines = index.nearest(slots[known], counts[known], k + 1)
+            others = places != index.place_of.get(mix, -1)
+            of = index.labels[places], index.copies[places], cosines
+            return voice(*(x[:k] for x in of)) or 0.0, voice(*(x[others][:k] for x in of)) or 0.0
+
         def results(texts: list[tuple[int, str | None]]) -> None:
             queries = [whole.weighed(text) for _, text in texts]
-            for (mix, text), (numbers, weights, rest), dots in zip(
-                texts, queries, whole.dots([q[:2] for q in queries])
-            ):
-                own, counts = chosen_counts(terms_of(text), number, terms)
-                vote = own_vote = None
-                if own:
-                    vote = own_vote = index.vote(*index.nearest(own, counts, k))
-                    if mix in examples:
-                        own_vote = index.vote(*index.nearest(own, counts, k, mix))
+            all_dots = whole.dots([(numbers, weights) for numbers, _, weights, _ in queries])
+            for (mix, _), (numbers, counts, weights, rest), dots in zip(texts, queries, all_dots):
                 near = [{"place": int(p), "dot": float(dots[p])} for p in whole.nearest(dots, k + 1)]
                 seen[mix] = (
-                    vote, own_vote, whole.mixes.get(mix), float(weights @ weights), near,
+                    *contrast_votes(mix, numbers, counts), whole.mixes.get(mix), float(weights @ weights), near,
                     [{"term": t, "count": n} for t, n in rest],
                 )
 
@@ -437,11 +449,8 @@ def neighbours(voted: DataFrame, frequencies: DataFrame, whole: ExampleIndex, n:
         _, labels, copies, ids = (list(c) for c in zip(*table.value)) if table.value else ([],) * 4
         labels, copies = np.array(labels), np.array(copies)
 
-        def voice(at: np.ndarray, cosines: np.ndarray) -> float | None:
-            if not len(at):
-                return None
-            closeness = copies[at] / (1.02 - cosines)
-            return float((closeness * labels[at]).sum() / closeness.sum())
+        def voted(at: np.ndarray, cosines: np.ndarray) -> float | None:
+            return voice(labels[at], copies[at], cosines)
 
         for batch in batches:
             own, near, norm = (batch.column(c) for c in ("place", "near", "norm"))
@@ -449,12 +458,12 @@ def neighbours(voted: DataFrame, frequencies: DataFrame, whole: ExampleIndex, n:
             for place, of, length in zip(own.to_pylist(), near.to_pylist(), norm.to_pylist()):
                 at = np.array([x["place"] for x in of], np.int64)
                 cosines = np.minimum(np.array([x["dot"] for x in of]) / (length or 1.0), 1.0)
-                full.append(voice(at[:k], cosines[:k]))
+                full.append(voted(at[:k], cosines[:k]))
                 if place is None:
                     own_full.append(full[-1])
                 else:
                     others = at != place
-                    own_full.append(voice(at[others][:k], cosines[others][:k]))
+                    own_full.append(voted(at[others][:k], cosines[others][:k]))
                 evidence.append(
                     [{"example": ids[p], "cosine": float(c)} for p, c in zip(at[:shown], cosines[:shown])]
                 )
@@ -474,27 +483,6 @@ def neighbours(voted: DataFrame, frequencies: DataFrame, whole: ExampleIndex, n:
     )
 
 
-def logistic(x: np.ndarray, hits: np.ndarray, sizes: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Coefficients near ``around`` (a weak normal prior) for rows of x with hits out of sizes."""
-
-    def loss(c: np.ndarray) -> float:
-        z = x @ c
-        return float((sizes * np.logaddexp(0, z) - hits * z).sum() + 0.05 * ((c - around) ** 2).sum())
-
-    at = around.copy()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
-        slope = x.T @ (sizes * p - hits) + 0.1 * (at - around)
-        curve = (x * (sizes * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(at))
-        step, size = np.linalg.solve(curve, slope), 1.0
-        while size > 1e-6 and loss(at - size * step) > loss(at):
-            size /= 2
-        at = at - size * step
-        if np.abs(size * step).max() < 1e-9:
-            break
-    return at
-
-
 def monotone(rates: list[float], sizes: list[float]) -> list[float]:
     """Closest non-decreasing rates (pooled adjacent violators)."""
     pools: list[list[float]] = []
@@ -507,11 +495,11 @@ def monotone(rates: list[float], sizes: list[float]) -> list[float]:
     return [rate for rate, _, n in pools for _ in range(n)]
 
 
-def calibrated(vote: Column, rates: list[float], absent: float) -> Column:
+def calibrated(vote: Column, rates: list[float]) -> Column:
     """Piecewise linear between the centres of the bins."""
     bins = len(rates)
     at = vote * bins - 0.5
-    score = F.when(vote.isNull(), F.lit(absent)).when(at <= 0, F.lit(rates[0]))
+    score = F.when(at <= 0, F.lit(rates[0]))
     for i in range(bins - 1):
         score = score.when(at <= i + 1, F.lit(rates[i]) + (at - i) * (rates[i + 1] - rates[i]))
     return score.otherwise(F.lit(rates[-1]))
@@ -519,9 +507,8 @@ def calibrated(vote: Column, rates: list[float], absent: float) -> Column:
 
 def toxicity(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", k: int = 25, max_examples: int = 4096, max_terms: int = 4096,
-    least_chi: float = 30.0, least_lift: float = 3.0, least_texts: int = 5, bins: int = 20, shown: int = 3,
-    head: int = 100_000,
+    label_col: str = "toxic", k: int = 25, max_examples: int = 4096, confidence: float = 1.645,
+    bins: int = 20, shown: int = 3, head: int = 100_000,
 ) -> DataFrame:
     """One row per document: id, score, evidence; ``training`` has (id_col, label_col)."""
     labels = stored(
@@ -530,76 +517,48 @@ def toxicity(
         .agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).cast("int").alias("label"))
     )
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    labelled = KeyBitmap(labels, "id").may_have("id")
-    terms, toxic, other = chosen_terms(
-        # Labels grow with the documents, so neither side is broadcast, at any size.
-        term_statistics(own.where(labelled).join(labels.hint("merge"), "id")),
-        least_chi, least_lift, least_texts, max_terms,
-    )
-    rate = toxic / (toxic + other) if toxic + other else 0.0
-    if not toxic or not other:
+    # Labels grow with the documents, so neither side is broadcast, at any size.
+    labelled = own.where(KeyBitmap(labels, "id").may_have("id")).join(labels.hint("merge"), "id")
+    statistics = stored(term_statistics(labelled))
+    total = statistics.where(F.length("term") == 0).collect()
+    sizes = (int(total[0].toxic), int(total[0].other)) if total else (0, 0)
+    rate = sizes[0] / sum(sizes) if sum(sizes) else 0.0
+    if not all(sizes):
         none = F.array().cast("array<struct<example: bigint, cosine: double>>")
         return own.select(F.col("id").alias(id_col), F.lit(rate).alias("score"), none.alias("evidence"))
 
     frequencies = stored(term_frequencies(own))
-    vectors = stored(sparse_vectors(own.where(labelled), "id", "text", terms).join(labels, "id"))
     n = frequencies.where(F.length("term") == 0).collect()[0].n
     words = frequencies.where(F.length("term") > 0)
+    sample = distinct_examples(text_hashes(labelled), max_examples).collect()
+    texts = example_terms(own, sample)
+    of_examples = pa.table({"term": pc.unique(pc.list_flatten(texts["terms"])).cast(pa.binary())})
 
-    def frequency_of(some: pa.Array) -> pa.Table:
-        few = docs.sparkSession.createDataFrame(pa.table({"term": some.cast(pa.binary())}))
-        return words.join(F.broadcast(few), "term").toArrow()
+    def of_these(table: DataFrame) -> pa.Table:
+        few = docs.sparkSession.createDataFrame(of_examples)
+        return table.join(F.broadcast(few), "term").toArrow()
 
-    sample = distinct_examples(vectors.select("id", "mix", "label"), max_examples).collect()
-    texts = example_terms(own, sample)
     whole = ExampleIndex(
-        sample, texts, words.orderBy(F.desc("n"), "term").limit(head).toArrow(),
-        frequency_of(pc.unique(pc.list_flatten(texts["terms"]))), n,
+        sample, texts, words.orderBy(F.desc("n"), "term").limit(head).toArrow(), of_these(words), n,
     )
-    table = frequency_of(pa.array(terms, pa.binary()))
-    of_chosen = dict(zip(table["term"].to_pylist(), table["n"].to_pylist()))
-    idf = np.log((1.0 + n) / (1.0 + np.array([of_chosen[t] for t in terms], np.float64))) + 1.0
-    chosen = distinct_examples(vectors.where(F.size("terms") > 0), max_examples).collect()
-    index = BlockMaxIndex(chosen, idf)
-    found = stored(votes(own, whole, index, terms, k))
+    index = whole.contrasted(of_these(statistics), sizes, confidence)
+    found = stored(votes(own, whole, index, k))
     voted = stored(neighbours(found, words, whole, n, k, shown))
 
-    def bin_of(vote: str) -> Column:
-        return F.when(F.col(vote).isNotNull(), F.least(F.floor(F.col(vote) * bins), F.lit(bins - 1)))
+    def mean(vote: str, full: str) -> Column:
+        return (F.col(vote) + F.coalesce(F.col(full), F.lit(rate))) / 2
 
-    cells = (
-        voted.join(labels, "id").groupBy(bin_of("own_vote").alias("bin"), bin_of("own_full").alias("full"))
-        .agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()
+    in_bin = F.least(F.floor(mean("own_vote", "own_full") * bins), F.lit(bins - 1))
+    rows = voted.join(labels, "id").groupBy(in_bin.alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("label").alias("toxic")
     )
-    by_bin: dict = {}
-    for row in cells:
-        size, hits = by_bin.get(row.bin, (0, 0))
-        by_bin[row.bin] = size + row.n, hits + row.toxic
-
-    def smoothed(b: int | None, prior: float, weight: float) -> float:
-        size, hits = by_bin.get(b, (0, 0))
-        return (hits + prior * weight) / (size + weight)
-
+    cells = {row.bin: (row.n, row.toxic) for row in rows.collect()}
     centres = [(b + 0.5) / bins for b in range(bins)]
+    held = [cells.get(b, (0, 0)) for b in range(bins)]
     rates = monotone(
-        [smoothed(b, centre, 2.0) for b, centre in enumerate(centres)],
-        [by_bin.get(b, (0, 0))[0] + 2.0 for b in range(bins)],
+        [(hits + 2.0 * centre) / (size + 2.0) for (size, hits), centre in zip(held, centres)],
+        [size + 2.0 for size, _ in held],
     )
-    absent = smoothed(None, rate, 2.0)
-
-    def odds(p: float) -> float:
-        return math.log(max(p, 1e-9) / max(1 - p, 1e-9))
-
-    x = np.array([
-        (1.0, odds(absent if r.bin is None else rates[r.bin]), 0.0 if r.full is None else centres[r.full] - rate)
-        for r in cells
-    ])
-    hits, sizes = (np.array([r[c] for r in cells], np.float64) for c in ("toxic", "n"))
-    shift, of_vote, of_full = logistic(x, hits, sizes, np.array([0.0, 1.0, 0.0]))
-    if of_full < 0:
-        (shift, of_vote), of_full = logistic(x[:, :2], hits, sizes, np.array([0.0, 1.0])), 0.0
-    first = calibrated(F.col("vote"), rates, absent)
-    first = F.log(F.greatest(first, F.lit(1e-9)) / F.greatest(1 - first, F.lit(1e-9)))
-    second = F.coalesce(F.col("full") - rate, F.lit(0.0))
-    score = 1 / (1 + F.exp(-(F.lit(float(shift)) + float(of_vote) * first + float(of_full) * second)))
+    vote = mean("vote", "full")
+    score = 0.98 * calibrated(vote, rates) + 0.02 * vote
     return voted.select(F.col("id").alias(id_col), score.alias("score"), "evidence")

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from diffloom.llm.toxicity import BlockMaxIndex, monotone, terms_of, toxicity
+from diffloom.llm.toxicity import BlockMaxIndex, contrasts, monotone, terms_of, toxicity
 
 
 class Example:
@@ -120,3 +120,77 @@ def test_copies_weigh_but_take_one_place(spark, docs):
     got = run(spark, docs, rows, labels, max_examples=60, k=12, shown=12)
     seen = [{e.example % len(texts) for e in r.evidence} for r in got if r.doc_id % len(texts) < 12]
     assert all(s >= set(range(12)) for s in seen) and all(len(r.evidence) <= 12 for r in got)
+
+
+def brute_force_scores(rows, labels, k, bins=20, confidence=1.645):
+    """Both votes, their mean and its calibration by plain loops over all pairs of texts."""
+    label = dict(labels)
+    bags = {i: Counter(terms_of(t)) for i, t in rows}
+    frequency = Counter(t for bag in bags.values() for t in bag)
+    toxic = Counter(t for i in label if label[i] for t in bags[i])
+    other = Counter(t for i in label if not label[i] for t in bags[i])
+    sizes = sum(label.values()), len(label) - sum(label.values())
+    rate = sizes[0] / len(label)
+    idf = {t: np.log((1 + len(rows)) / (1 + f)) + 1 for t, f in frequency.items()}
+    pull = {t: float(contrasts(np.array(toxic[t]), np.array(other[t]), sizes, confidence)) for t in idf}
+
+    def vector(i, of):
+        v = {t: (1 + np.log(c)) * of[t] for t, c in bags[i].items() if of[t] > 0}
+        norm = np.sqrt(sum(w * w for w in v.values())) or 1
+        return {t: w / norm for t, w in v.items()}
+
+    def vote(of, without_itself, empty):
+        vectors = {i: vector(i, of) for i, _ in rows}
+        votes = {}
+        for i, _ in rows:
+            near = sorted(
+                ((round(sum(w * vectors[j].get(t, 0) for t, w in vectors[i].items()), 12), -j)
+                 for j in label if not (without_itself and i == j)),
+                reverse=True,
+            )
+            near = [(1 / (1.02 - min(c, 1)), label[-j]) for c, j in near if c > 0][:k]
+            votes[i] = sum(w * y for w, y in near) / sum(w for w, _ in near) if near else empty
+        return votes
+
+    weights = {t: idf[t] * pull[t] for t in idf}
+
+    def mean(alone):
+        first, second = vote(weights, alone, 0.0), vote(idf, alone, rate)
+        return {i: (first[i] + second[i]) / 2 for i, _ in rows}
+
+    held, shown = mean(True), mean(False)
+    size, hits = np.zeros(bins), np.zeros(bins)
+    for i in label:
+        b = min(int(held[i] * bins), bins - 1)
+        size[b] += 1
+        hits[b] += label[i]
+    centres = (np.arange(bins) + 0.5) / bins
+    rates = monotone(list((hits + 2 * centres) / (size + 2)), list(size + 2))
+    return {i: 0.98 * np.interp(v, centres, rates) + 0.02 * v for i, v in shown.items()}
+
+
+def test_scores_equal_brute_force(spark, docs):
+    rows, labels = corpus(260)
+    rows += [(300, ""), (301, "unseen words only"), (302, "vile"), (303, "scum scum vile w5 w6")]
+    want = brute_force_scores(rows, labels[:200], 7)
+    got = {r.doc_id: r.score for r in run(spark, docs, rows, labels[:200], k=7)}
+    assert got.keys() == want.keys()
+    # Ties at the k-th place may be taken in another order; nothing else may differ.
+    differing = [i for i in want if abs(got[i] - want[i]) > 1e-9]
+    assert not differing, (len(differing), [(i, got[i], want[i]) for i in differing[:5]])
+    assert len(set(got.values())) > 150
+
+
+def test_contrast_grows_with_evidence():
+    of = contrasts(np.array([0, 1, 3, 30, 300, 30]), np.array([0, 0, 0, 0, 0, 270]), (330, 2660), 1.645)
+    assert of[0] == 0 and (np.diff(of[:5]) > 0).all() and of[5] == 0
+
+
+def test_long_and_empty_labelled_texts(spark, docs):
+    """A very long text is read whole; labelled texts without any word give no examples."""
+    long = " ".join(f"w{i}" for i in range(60_000)) + " vile scum"
+    rows, labels = corpus(200)
+    got = {r.doc_id: r.score for r in run(spark, docs, rows + [(900, long), (901, "w1 w2")], labels)}
+    assert len(got) == 202 and all(0 <= s <= 1 for s in got.values())
+    empty = run(spark, docs, [(1, ""), (2, None), (3, "a b")], [(1, 1), (2, 0)])
+    assert len({r.score for r in empty}) == 1 and not any(r.evidence for r in empty)
