@@ -104,15 +104,15 @@ def text_hash(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
 
 
-def text_hashes(labelled: DataFrame) -> DataFrame:
-    """id, mix (hash of the text) and label of ``labelled(id, text, label)``."""
+def text_hashes(docs: DataFrame) -> DataFrame:
+    """id and mix (hash of the text) of ``docs(id, text)``."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mixes = pa.array([text_hash(text.as_py()) for text in batch.column(1)], pa.int64())
-            yield pa.record_batch([batch.column(0), mixes, batch.column(2)], ["id", "mix", "label"])
+            yield pa.record_batch([batch.column(0), mixes], ["id", "mix"])
 
-    return labelled.select("id", "text", "label").mapInArrow(hashes, "id long, mix long, label int")
+    return docs.select("id", "text").mapInArrow(hashes, "id long, mix long")
 
 
 class BlockMaxIndex:
@@ -133,52 +133,61 @@ class BlockMaxIndex:
         values = np.concatenate([np.zeros(0), *(w for w, _ in weighed)])
         order = np.lexsort((places, numbers))
         self.places, self.values = places[order], values[order]
-        # Postings of a term in a block stand together; cells count through terms, then blocks.
-        cells = numbers[order] * self.blocks + self.places // block
-        self.starts = np.searchsorted(cells, np.arange(len(idf) * self.blocks + 1))
-        bounds = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(bounds, cells, self.values)
-        self.bounds = bounds.reshape(len(idf), self.blocks)
+        # Postings of a term in a block stand together and form a cell; only such cells are held.
+        cells, first = np.unique(numbers[order] * self.blocks + self.places // block, return_index=True)
+        self.first = np.append(first, len(values))
+        self.block_of = cells % self.blocks
+        self.bounds = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cells // self.blocks, np.arange(len(idf) + 1))
 
     def weights(self, terms, counts) -> np.ndarray:
         raw = (1.0 + np.log(np.array(counts, np.float64))) * self.idf[np.array(terms, np.int64)]
         return raw / np.linalg.norm(raw)
 
-    def scored(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray):
-        """Places in ``blocks`` with a positive cosine, and these."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        starts = self.starts[cells]
-        lengths = self.starts[cells + 1] - starts
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
-        weights = np.repeat(np.repeat(query, len(blocks)), lengths)
-        sums = np.bincount(self.places[at], self.values[at] * weights, len(self.labels))
-        hit = np.flatnonzero(sums > 0)
-        return hit, sums[hit]
-
     def nearest(self, terms, counts, k: int, without: int | None = None):
         """Places and cosines of the k nearest examples with a positive cosine, in order;
         the example whose text has the hash ``without`` is left out."""
         terms, query = np.array(terms, np.int64), self.weights(terms, counts)
         own = self.place_of.get(without) if without is not None else None
-        bounds = query @ self.bounds[terms]
+        cells, lengths = spans(self.cells, terms)
+        query = np.repeat(query, lengths)
+        blocks = self.block_of[cells]
+        bounds = np.bincount(blocks, query * self.bounds[cells], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        ranks = rank[blocks]
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        while len(order):
+        done, end, step = 0, np.count_nonzero(bounds), 8
+        while done < end:
+            now = min(end, done + step)
+            part = np.flatnonzero((ranks >= done) & (ranks < now))
+            at, lengths = spans(self.first, cells[part])
+            sums = np.bincount(
+                self.places[at], self.values[at] * np.repeat(query[part], lengths), len(self.labels)
+            )
+            if own is not None:
+                sums[own] = 0
+            hit = np.flatnonzero(sums)
+            places, cosines = np.concatenate((places, hit)), np.concatenate((cosines, sums[hit]))
+            done, step = now, step * 4
             if len(cosines) >= k:
                 worst = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-                order = order[bounds[order] >= worst - 1e-12]
-            hit, found = self.scored(terms, query, order[:step]) if len(order) else (places[:0], cosines[:0])
-            others = hit != own if own is not None else slice(None)
-            places, cosines = np.append(places, hit[others]), np.append(cosines, found[others])
-            order, step = order[step:], step * 2
+                end = done + np.count_nonzero(bounds[order[done:end]] >= worst - 1e-12)
         cosines = np.minimum(cosines, 1.0)
         best = np.lexsort((places, -np.round(cosines, 12)))[:k]
         return places[best], cosines[best]
 
 
+def spans(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from ``starts[w]`` to before ``starts[w + 1]`` for each w, and their numbers."""
+    begin = starts[which]
+    lengths = starts[which + 1] - begin
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(begin - ends + lengths, lengths), lengths
+
+
 def voice(labels: np.ndarray, copies: np.ndarray, cosines: np.ndarray) -> float | None:
     """Vote of the examples with these labels, copies and cosines, by the inverse of distance."""
     if not len(cosines):
@@ -518,8 +527,8 @@ def toxicity(
     )
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # Labels grow with the documents, so neither side is broadcast, at any size.
-    labelled = own.where(KeyBitmap(labels, "id").may_have("id")).join(labels.hint("merge"), "id")
-    statistics = stored(term_statistics(labelled))
+    maybe = own.where(KeyBitmap(labels, "id").may_have("id"))
+    statistics = stored(term_statistics(maybe.join(labels.hint("merge"), "id")))
     total = statistics.where(F.length("term") == 0).collect()
     sizes = (int(total[0].toxic), int(total[0].other)) if total else (0, 0)
     rate = sizes[0] / sum(sizes) if sum(sizes) else 0.0
@@ -530,7 +539,7 @@ def toxicity(
     frequencies = stored(term_frequencies(own))
     n = frequencies.where(F.length("term") == 0).collect()[0].n
     words = frequencies.where(F.length("term") > 0)
-    sample = distinct_examples(text_hashes(labelled), max_examples).collect()
+    sample = distinct_examples(text_hashes(maybe).join(labels.hint("merge"), "id"), max_examples).collect()
     texts = example_terms(own, sample)
     of_examples = pa.table({"term": pc.unique(pc.list_flatten(texts["terms"])).cast(pa.binary())})
 
