@@ -195,3 +195,13 @@ def test_a_large_file_has_the_statistics_of_its_parts(spark, tree, size):
     assert rows(piece_file_stats(pieces)) == rows(file_stats(parse_patches(whole)))
     longest = pieces.agg(F.max(F.octet_length("content"))).first()[0]
     assert size > 1000 or longest < 3 * size + 100
+
+
+def test_many_folders_are_dealt_to_a_fixed_number_of_tasks(tree):
+    files = {f"d{i}/f": "1" for i in range(40)} | {"src/a/b": "2", "x": "3"}
+    reader = FileTreeReader({"path": tree("t", files), "folders": "4"})
+    parts = reader.partitions()
+    # A task for each folder made listing a wide tree as many tasks as it has folders.
+    assert len(parts) == 4
+    found = [p for part in parts for batch in reader.read(part) for p in batch.column("path").to_pylist()]
+    assert sorted(found) == sorted(files)
