@@ -14,7 +14,9 @@ from diffloom.sources.file_tree import (
     glob_prunes,
     list_files,
     read_files,
+    read_text_runs,
     write_files,
+    write_text_runs,
 )
 from diffloom.sources.patches import read_patch_files, read_patch_pieces
 from diffloom.sources.snapshots import compare_folders, compare_snapshots, read_snapshot
@@ -205,3 +207,17 @@ def test_many_folders_are_dealt_to_a_fixed_number_of_tasks(tree):
     assert len(parts) == 4
     found = [p for part in parts for batch in reader.read(part) for p in batch.column("path").to_pylist()]
     assert sorted(found) == sorted(files)
+
+
+def test_text_runs_of_many_keys(spark, tmp_path):
+    keys = ["007", "a=b/c %+é", None, "x"]
+    table = spark.createDataFrame([(k, f"{k} {i}") for k in keys for i in range(3)], "patch_id string, text string")
+    folder = str(tmp_path / "runs")
+    write_text_runs(table.coalesce(1), folder)
+    got = {r.key: (r.part, r.value) for r in read_text_runs(spark, folder).collect()}
+    # One file for each key, written by the task itself, and keys stay text.
+    assert {k: v for k, (_, v) in got.items()} == {k: "".join(f"{k} {i}\n" for i in range(3)) for k in keys}
+    assert all(part.startswith("part-00000-") for part, _ in got.values())
+    assert not list(tmp_path.glob("*.staging-*"))
+    with pytest.raises(ValueError, match="already"):
+        write_text_runs(table, folder)
