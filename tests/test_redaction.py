@@ -157,3 +157,12 @@ def test_context_budget_against_brute_force(spark):
 def test_keyword_list_sizes():
     assert len(set(rules.KEPT_WORDS)) == 118
     assert len(rules.KEPT_TYPES) == 25 - 1 + 1 and len(rules.PUBLIC_PREFIXES) == 31
+
+
+def test_hunks_with_little_context_are_not_cut_apart(spark):
+    hunks = ["@@ -1 +1 @@\n a\n+b\n c", "@@ -1 +1 @@\n a\n b\n+c", "", None]
+    table = spark.createDataFrame([(h,) for h in hunks], "h string").select("h", limit_context(F.col("h"), 2).alias("t"))
+    assert all(row.t == row.h for row in table.collect())
+    # Only what has more context than the budget is split; the last line needs no search.
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "CASE WHEN" in plan
