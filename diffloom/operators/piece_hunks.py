@@ -28,7 +28,7 @@ from diffloom.functions.rules import (
     SYMBOL_EXTENSIONS,
     SYMBOL_PATTERNS,
 )
-from diffloom.functions.text import ADD_MARK, DEL_MARK, canonical_path, extension, unify_newlines
+from diffloom.functions.text import ADD_MARK, DEL_MARK, canonical_path, extension, unify_newlines, without_last_newline
 from diffloom.operators.hunk_filters import non_comment_line
 from diffloom.operators.parse import CONSUMED, CUT_FILES, CUT_HUNKS, header_paths
 from diffloom.operators.pieces import number_pieces, piece_parts, piece_files
@@ -42,7 +42,7 @@ FILE = ["patch_id", "file_seq"]
 
 def piece_segments(pieces: DataFrame) -> DataFrame:
     """``patch_id, piece_no, part, last, segment``: the text of each part of a file in a piece."""
-    text = F.regexp_replace(F.concat(F.lit("\n"), unify_newlines(F.col("content"))), r"\n\z", "")
+    text = without_last_newline(F.concat(F.lit("\n"), unify_newlines(F.col("content"))))
     cut = pieces.select("patch_id", "piece_no", F.split(text, CUT_FILES, -1).alias("_segments"))
     return cut.select(
         "patch_id", "piece_no", (F.size("_segments") - 1).cast("long").alias("last"),

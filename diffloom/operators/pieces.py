@@ -19,6 +19,7 @@ from diffloom.functions.text import (
     join_lines,
     let,
     unify_newlines,
+    without_last_newline,
 )
 from diffloom.operators.parse import (
     BINARY_LINE,
@@ -66,7 +67,7 @@ def _part(segment: Column, number: Column) -> Column:
 
 def piece_parts(pieces: DataFrame) -> DataFrame:
     """One small row per piece: its parts and what they add to the numbering."""
-    text = F.regexp_replace(F.concat(F.lit("\n"), unify_newlines(F.col("content"))), r"\n\z", "")
+    text = without_last_newline(F.concat(F.lit("\n"), unify_newlines(F.col("content"))))
     parts = F.transform(F.split(text, CUT_FILES, -1), _part)
     hunks = F.transform("parts", lambda p: p["hunks"])
     return pieces.select("patch_id", "piece_no", parts.alias("parts")).select(
