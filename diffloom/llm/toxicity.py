@@ -37,6 +37,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -174,6 +175,9 @@ class BlockMaxIndex:
             if len(cosines) >= k:
                 worst = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
                 end = done + np.count_nonzero(bounds[order[done:end]] >= worst - 1e-12)
+                # What is below the k-th best is out for good; the margin is that of the rounding below.
+                stays = cosines >= min(worst, 1.0) - 4e-12
+                places, cosines = places[stays], cosines[stays]
         cosines = np.minimum(cosines, 1.0)
         best = np.lexsort((places, -np.round(cosines, 12)))[:k]
         return places[best], cosines[best]
@@ -337,14 +341,12 @@ class ExampleIndex:
 
     def weighed(self, text: str | None):
         """Numbers, counts and weights of known terms, and (term, count) of all others."""
-        numbers, counts, rest = [], [], []
-        number = self.number.get
-        for term, n in Counter(terms_of(text)).items():
-            if (i := number(term)) is None:
-                rest.append((term, n))
-            else:
-                numbers.append(i), counts.append(n)
-        numbers, counts = np.array(numbers, np.int64), np.array(counts, np.float64)
+        bag = Counter(terms_of(text))
+        numbers = np.fromiter(map(self.number.get, bag, repeat(-1)), np.int64, len(bag))
+        counts = np.fromiter(bag.values(), np.float64, len(bag))
+        known = numbers >= 0
+        rest = [(t, n) for (t, n), held in zip(bag.items(), known.tolist()) if not held]
+        numbers, counts = numbers[known], counts[known]
         return numbers, counts, (1.0 + np.log(counts)) * self.idf[numbers], rest
 
     def dots(self, queries: list) -> np.ndarray:
@@ -377,8 +379,12 @@ class ExampleIndex:
         return places[np.lexsort((places, -np.round(dots[places] / top, 12)))[:k]]
 
 
-NEAR = pa.struct([("place", pa.int32()), ("dot", pa.float64())])
-REST = pa.struct([("term", pa.binary()), ("count", pa.int32())])
+def lists_of(lengths: list[int], **columns: pa.Array) -> pa.ListArray:
+    """Lists of structs from flat columns; the lists have these lengths."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
 VOTES = (
     "row long, id long, vote double, own_vote double, place int, square double, "
     "near array<struct<place: int, dot: double>>, rest array<struct<term: binary, count: int>>"
@@ -409,10 +415,10 @@ def votes(docs: DataFrame, whole: ExampleIndex, index: BlockMaxIndex, k: int) ->
             queries = [whole.weighed(text) for _, text in texts]
             all_dots = whole.dots([(numbers, weights) for numbers, _, weights, _ in queries])
             for (mix, _), (numbers, counts, weights, rest), dots in zip(texts, queries, all_dots):
-                near = [{"place": int(p), "dot": float(dots[p])} for p in whole.nearest(dots, k + 1)]
+                near = whole.nearest(dots, k + 1)
                 seen[mix] = (
-                    *contrast_votes(mix, numbers, counts), whole.mixes.get(mix), float(weights @ weights), near,
-                    [{"term": t, "count": n} for t, n in rest],
+                    *contrast_votes(mix, numbers, counts), whole.mixes.get(mix), float(weights @ weights),
+                    near, dots[near], rest,
                 )
 
         for batch in batches:
@@ -424,12 +430,21 @@ def votes(docs: DataFrame, whole: ExampleIndex, index: BlockMaxIndex, k: int) ->
                     seen.clear()
                 new = {m: t for m, t in zip(mixes, texts) if m not in seen}
                 results(list(new.items()))
-                rows = list(zip(*(seen[m] for m in mixes)))
-                kinds = (pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.list_(NEAR), pa.list_(REST))
+                *rows, near, dots, rest = zip(*(seen[m] for m in mixes))
+                kinds = (pa.float64(), pa.float64(), pa.int32(), pa.float64())
+                others = [of for own in rest for of in own]
                 yield pa.record_batch(
                     [
                         pa.array(range(row, row + len(mixes)), pa.int64()), part.column(0),
                         *(pa.array(v, t) for v, t in zip(rows, kinds)),
+                        lists_of(
+                            [len(p) for p in near], place=pa.array(np.concatenate(near), pa.int32()),
+                            dot=pa.array(np.concatenate(dots), pa.float64()),
+                        ),
+                        lists_of(
+                            [len(own) for own in rest], term=pa.array([t for t, _ in others], pa.binary()),
+                            count=pa.array([n for _, n in others], pa.int32()),
+                        ),
                     ],
                     ["row", "id", "vote", "own_vote", "place", "square", "near", "rest"],
                 )
@@ -463,24 +478,29 @@ def neighbours(voted: DataFrame, frequencies: DataFrame, whole: ExampleIndex, n:
 
         for batch in batches:
             own, near, norm = (batch.column(c) for c in ("place", "near", "norm"))
-            full, own_full, evidence = [], [], []
-            for place, of, length in zip(own.to_pylist(), near.to_pylist(), norm.to_pylist()):
-                at = np.array([x["place"] for x in of], np.int64)
-                cosines = np.minimum(np.array([x["dot"] for x in of]) / (length or 1.0), 1.0)
+            full, own_full, lengths, examples, close = [], [], [], [], []
+            flat = pc.list_flatten(near)
+            places, dots = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("place", "dot"))
+            ends = np.cumsum(pc.list_value_length(near).to_numpy(zero_copy_only=False)).tolist()
+            for place, begin, end, length in zip(own.to_pylist(), [0, *ends], ends, norm.to_pylist()):
+                at = places[begin:end]
+                cosines = np.minimum(dots[begin:end] / (length or 1.0), 1.0)
                 full.append(voted(at[:k], cosines[:k]))
                 if place is None:
                     own_full.append(full[-1])
                 else:
                     others = at != place
                     own_full.append(voted(at[others][:k], cosines[others][:k]))
-                evidence.append(
-                    [{"example": ids[p], "cosine": float(c)} for p, c in zip(at[:shown], cosines[:shown])]
-                )
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())]))
+                lengths.append(len(at[:shown]))
+                examples += at[:shown].tolist()
+                close += cosines[:shown].tolist()
+            evidence = lists_of(
+                lengths, example=pa.array([ids[p] for p in examples], pa.int64()), cosine=pa.array(close, pa.float64())
+            )
             yield pa.record_batch(
                 [
                     *(batch.column(c) for c in ("id", "vote", "own_vote")),
-                    pa.array(full, pa.float64()), pa.array(own_full, pa.float64()), pa.array(evidence, kind),
+                    pa.array(full, pa.float64()), pa.array(own_full, pa.float64()), evidence,
                 ],
                 ["id", "vote", "own_vote", "full", "own_full", "evidence"],
             )

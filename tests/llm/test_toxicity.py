@@ -194,3 +194,18 @@ def test_long_and_empty_labelled_texts(spark, docs):
     assert len(got) == 202 and all(0 <= s <= 1 for s in got.values())
     empty = run(spark, docs, [(1, ""), (2, None), (3, "a b")], [(1, 1), (2, 0)])
     assert len({r.score for r in empty}) == 1 and not any(r.evidence for r in empty)
+
+
+def test_search_ranks_few_examples(monkeypatch):
+    """What is below the k-th best of a step is not carried to the final order."""
+    import diffloom.llm.toxicity as module
+
+    rng = np.random.default_rng(6)
+    bags = [np.sort(rng.choice(60, 12, replace=False)) for _ in range(700)]
+    examples = [Example(b.tolist(), rng.integers(1, 50, 12).tolist(), 0, i) for i, b in enumerate(bags)]
+    index = BlockMaxIndex(examples, rng.uniform(1, 5, 60), block=16)
+    ranked, lexsort = [], np.lexsort
+    monkeypatch.setattr(module.np, "lexsort", lambda keys: ranked.append(len(keys[0])) or lexsort(keys))
+    for b in bags[:20]:
+        assert len(index.nearest(b.tolist(), [1] * 12, 10)[0]) == 10
+    assert max(ranked) < 100
