@@ -132,3 +132,21 @@ def test_rows_that_share_an_identifier_are_linked_by_their_greatest_text(docs, w
     rows = [(1, "a " + words(30)), (1, "z " + own), (2, "z " + own), (3, "z " + own + " more"), (4, words(35))]
     got = {(r.doc_id, r.component_id) for r in near_duplicates(docs(rows)).collect()}
     assert {(2, 1), (3, 1), (4, 4)} <= got
+
+
+def test_bucket_of_unlinked_members_ends_after_few_rounds(spark):
+    """One list of leaders a bucket, however many lead; all pairs are asked all the same."""
+    rows = [(1, i, 1, True, 300) for i in range(300)]
+    buckets = stored(spark.createDataFrame(rows, "bucket long, node long, size int, first boolean, weight long"))
+    rounds = []
+
+    def verify(candidates, leaders):
+        pairs = candidates.select("node", F.explode("leaders").alias("leader")).select(
+            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+        ).distinct()
+        rounds.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.where("a < 0")
+
+    assert bucket_components(buckets, verify, 0.8) is None
+    assert set().union(*rounds) == set(itertools.combinations(range(300), 2))
+    assert len(rounds) <= 4
