@@ -3,14 +3,14 @@
 A hunk may begin in one piece and end in another, so what a piece knows of it is kept as a
 state that can be merged in any order, a row of numbers per piece and hunk:
 
-* the multiset of token lists of added against removed lines, as sums of two 64-bit
-  hashes of each line, plus for added and minus for removed ones.  Equal multisets have sums of
+* the multiset of token lists of added against removed lines, as sums of the four 32-bit
+  numbers of a hash of each line, plus for added and minus for removed ones.  Equal multisets have sums of
   zero; others have them with a chance of about 2 ** -128;
 * for every comment dialect, whether all changed lines seen are comments or blank.  Which
   dialect counts is known once the file's path is;
 * characters, lines added and removed.
 
-Lines are combined within the task that reads them, so only these rows are exchanged, and text never
+Hunks are described in Arrow batches (:mod:`diffloom.operators.piece_text`) within the task that reads them, so only these rows are exchanged, and text never
 is.  Files and hunks are numbered as in :mod:`diffloom.operators.pieces`.
 """
 
@@ -21,52 +21,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diffloom.functions.dialect import BLANK
 from diffloom.functions.rules import (
     COMMENT_STARTS,
     COMMENT_STARTS_OTHER,
     SYMBOL_EXTENSIONS,
     SYMBOL_PATTERNS,
 )
-from diffloom.functions.text import ADD_MARK, DEL_MARK, canonical_path, extension, unify_newlines, without_last_newline
-from diffloom.operators.hunk_filters import non_comment_line
-from diffloom.operators.parse import CONSUMED, CUT_FILES, CUT_HUNKS, header_paths
-from diffloom.operators.pieces import number_pieces, piece_parts, piece_files
+from diffloom.operators.piece_text import LANES, describe_batches, symbol_batches
+from diffloom.operators.pieces import number_pieces, part_sums, piece_files
 from diffloom.operators.statistics import chars_to_tokens
-from diffloom.operators.symbols import line_names
+from diffloom.operators.symbols import needs_parenthesis
+from diffloom.session import ship_package
 from diffloom.storage import stored
 
 PART = ["patch_id", "piece_no", "part"]
+SUMS = [f"sum_{lane}" for lane in range(LANES)]
 FILE = ["patch_id", "file_seq"]
 
 
-def piece_segments(pieces: DataFrame) -> DataFrame:
-    """``patch_id, piece_no, part, last, segment``: the text of each part of a file in a piece."""
-    text = without_last_newline(F.concat(F.lit("\n"), unify_newlines(F.col("content"))))
-    cut = pieces.select("patch_id", "piece_no", F.split(text, CUT_FILES, -1).alias("_segments"))
-    return cut.select(
-        "patch_id", "piece_no", (F.size("_segments") - 1).cast("long").alias("last"),
-        F.posexplode_outer("_segments").alias("part", "segment"),
-    ).withColumn("part", F.col("part").cast("long"))
-
-
-def piece_lines(segments: DataFrame) -> DataFrame:
-    """One row per hunk line: the segment's columns, ``hunk`` (0: of a hunk begun earlier), ``line_no, line``."""
-    cleaned = F.regexp_replace("segment", CONSUMED, "")
-    hunks = segments.withColumn("_hunks", F.split(cleaned, CUT_HUNKS, -1)).drop("segment")
-    own = hunks.select(
-        *[c for c in hunks.columns if c != "_hunks"], F.posexplode_outer("_hunks").alias("hunk", "text")
-    )
-    # What a piece has before its first hunk or file: lines that begin with a line feed.
-    lines = F.split(F.when(F.col("hunk") == 0, F.substring("text", 2, 2**31 - 1)).otherwise(F.col("text")), "\n", -1)
-    in_hunk = (F.col("hunk") > 0) | ((F.col("part") == 0) & (F.col("text") != ""))
-    kept = own.where(in_hunk)
-    return kept.select(
-        *[c for c in own.columns if c not in ("text", "hunk")], F.col("hunk").cast("long").alias("hunk"),
-        F.posexplode_outer(lines).alias("line_no", "line"),
-    )
-
-
 def _dialects() -> dict[str, list[str]]:
     return {**COMMENT_STARTS, "": COMMENT_STARTS_OTHER}
 
@@ -75,30 +47,27 @@ def _all_comments(dialect: str) -> str:
     return f"comments_{dialect or 'other'}"
 
 
-def fragment_state(lines: DataFrame) -> DataFrame:
-    """State of every hunk in every piece, combined before the exchange."""
-    line = F.col("line")
-    # The first line of a hunk that begins here is its header.
-    sign = F.when((F.col("hunk") > 0) & (F.col("line_no") == 0), 0).when(line.rlike(rf"\A{ADD_MARK}"), 1).when(
-        line.rlike(rf"\A{DEL_MARK}"), -1
-    ).otherwise(0)
-    squeezed = F.regexp_replace(F.regexp_replace(F.substring(line, 2, 2**31 - 1), f"[{BLANK}]+", " "), r"\A | \z", "")
-    signed = lines.withColumn("_sign", sign).withColumn(
-        "_tokens", F.when(F.col("_sign") != 0, squeezed)
+def _in_arrow(pieces: DataFrame, work, columns: str) -> DataFrame:
+    """``patch_id, piece_no`` and the columns that ``work`` makes of each piece."""
+    ship_package(pieces.sparkSession)
+    kinds = dict(pieces.dtypes)
+    keys = f"patch_id {kinds['patch_id']}, piece_no {kinds['piece_no']}"
+    return pieces.select("patch_id", "piece_no", "content").mapInArrow(work, f"{keys}, {columns}")
+
+
+def describe_pieces(pieces: DataFrame) -> DataFrame:
+    """``patch_id, piece_no, parts, states`` of every piece: the parts of files in it (as
+    :func:`diffloom.operators.pieces.piece_parts` has them) and the state of its hunks; hunk 0 is the
+    rest of one begun earlier."""
+    names = [_all_comments(dialect) for dialect in _dialects()]
+    counts = ("part", "hunk", "added", "deleted", "lines", "chars", *SUMS)
+    state = ", ".join([*[f"{c}: bigint" for c in counts], *[f"{name}: boolean" for name in names]])
+    part = (
+        "part: bigint, old_path: string, new_path: string, binary: boolean, hunks: bigint, "
+        "added: bigint, deleted: bigint, head_added: bigint, head_deleted: bigint"
     )
-    state = {
-        "added": F.count_if(F.col("_sign") == 1),
-        "deleted": F.count_if(F.col("_sign") == -1),
-        "lines": F.count("*"),
-        "chars": F.sum(F.length("line").cast("long")),
-    }
-    for seed in (0, 1):
-        hashed = F.xxhash64("_tokens", F.lit(seed)).cast("decimal(20,0)") * F.col("_sign")
-        state[f"sum_{seed}"] = F.coalesce(F.sum(F.when(F.col("_sign") != 0, hashed)), F.lit(0)).cast("decimal(38,0)")
-    for dialect, starts in _dialects().items():
-        harmless = ~line.rlike(non_comment_line(starts))
-        state[_all_comments(dialect)] = F.coalesce(F.bool_and(F.when(F.col("_sign") != 0, harmless)), F.lit(True))
-    return signed.groupBy(*PART, "hunk").agg(*[value.alias(name) for name, value in state.items()])
+    work = describe_batches([*_dialects().values()], names)
+    return _in_arrow(pieces, work, f"parts array<struct<{part}>>, states array<struct<{state}>>")
 
 
 def _placed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -118,7 +87,9 @@ class Pieces:
 
     def __init__(self, pieces: DataFrame) -> None:
         self.pieces = pieces
-        self.parts = stored(piece_parts(pieces))
+        # One pass over the text gives the numbers of parts and hunks.
+        self.described = stored(describe_pieces(pieces))
+        self.parts = part_sums(self.described)
         self.numbers = stored(number_pieces(self.parts))
         self.files = stored(piece_files(self.numbers))
         self._hunks: DataFrame | None = None
@@ -127,14 +98,14 @@ class Pieces:
     def hunks(self) -> DataFrame:
         """``patch_id, file_seq, hunk_seq, path, extension, binary, added, deleted, chars, ws_only, comment_only``."""
         if self._hunks is None:
-            state = fragment_state(piece_lines(piece_segments(self.pieces).drop("last")))
-            merged = _placed(state, self.numbers).groupBy(*FILE, "hunk_seq").agg(
-                *[F.sum(c).alias(c) for c in ("added", "deleted", "lines", "chars", "sum_0", "sum_1")],
+            states = self.described.select("patch_id", "piece_no", F.inline("states"))
+            merged = _placed(states, self.numbers).groupBy(*FILE, "hunk_seq").agg(
+                *[F.sum(c).alias(c) for c in ("added", "deleted", "lines", "chars", *SUMS)],
                 *[F.bool_and(_all_comments(d)).alias(_all_comments(d)) for d in _dialects()],
             )
             files = self.files.select(*FILE, "path", "extension", "binary")
             changed = F.col("added") + F.col("deleted") > 0
-            balanced = (F.col("added") == F.col("deleted")) & (F.col("sum_0") == 0) & (F.col("sum_1") == 0)
+            balanced = reduce(Column.__and__, [F.col(c) == 0 for c in SUMS], F.col("added") == F.col("deleted"))
             clean = F.col(_all_comments(""))
             for dialect in COMMENT_STARTS:
                 clean = F.when(F.col("extension") == dialect, F.col(_all_comments(dialect))).otherwise(clean)
@@ -177,27 +148,12 @@ class Pieces:
         in the first and last part of a piece the rules of all languages are tried, and those of
         the file's language are chosen when the numbers are joined.
         """
-        segments = piece_segments(self.pieces)
-        own = extension(canonical_path(*header_paths(F.col("segment"))))
-        cut = (F.col("part") == 0) | (F.col("part") == F.col("last"))
-        lines = piece_lines(segments.withColumn("own", F.when(~cut, own)).drop("last"))
-        stripped = F.regexp_replace("line", r"\A[+\-@ ]+", "")
-        nothing = F.array().cast("array<struct<language:string,rule:int,symbol:string>>")
-
-        def of(language: str, extensions: list[str]) -> Column:
-            names = F.transform(
-                line_names(F.col("stripped"), SYMBOL_PATTERNS[language]),
-                lambda name, rule: F.struct(F.lit(language).alias("language"), rule.alias("rule"), name.alias("symbol")),
-            )
-            wanted = F.col("own").isNull() | F.col("own").isin(*extensions)
-            return F.when(wanted, F.filter(names, lambda n: n["symbol"] != "")).otherwise(nothing)
-
-        found = F.flatten(F.array(*[of(name, known) for name, known in SYMBOL_EXTENSIONS.items()]))
-        rows = lines.withColumn("stripped", stripped).select(
-            *PART, "hunk", "line_no", F.inline_outer(found)
-        ).where("symbol is not null")
+        guards = {p: needs_parenthesis(p) for patterns in SYMBOL_PATTERNS.values() for p in patterns}
         # A symbol once for each hunk and piece leaves the task that found it.
-        firsts = rows.groupBy(*PART, "hunk", "language", "symbol").agg(F.min(F.struct("line_no", "rule")).alias("at"))
+        found = _in_arrow(
+            self.pieces, symbol_batches(guards), "part bigint, hunk bigint, language string, symbol string, line_no int, rule int"
+        )
+        firsts = found.select(*PART, "hunk", "language", "symbol", F.struct("line_no", "rule").alias("at"))
         language = F.create_map(
             *[F.lit(x) for name, known in SYMBOL_EXTENSIONS.items() for e in known for x in (e, name)]
         )

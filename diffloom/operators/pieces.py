@@ -69,8 +69,13 @@ def piece_parts(pieces: DataFrame) -> DataFrame:
     """One small row per piece: its parts and what they add to the numbering."""
     text = without_last_newline(F.concat(F.lit("\n"), unify_newlines(F.col("content"))))
     parts = F.transform(F.split(text, CUT_FILES, -1), _part)
+    return part_sums(pieces.select("patch_id", "piece_no", parts.alias("parts")))
+
+
+def part_sums(described: DataFrame) -> DataFrame:
+    """What the array ``parts`` of every piece adds to the numbering."""
     hunks = F.transform("parts", lambda p: p["hunks"])
-    return pieces.select("patch_id", "piece_no", parts.alias("parts")).select(
+    return described.select(
         "patch_id",
         "piece_no",
         "parts",

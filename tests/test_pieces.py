@@ -105,3 +105,18 @@ def test_text_of_pieces_is_not_exchanged(spark):
 def test_no_pieces(spark):
     own = Pieces(spark.createDataFrame([], "patch_id string, piece_no int, content string"))
     assert own.hunks.count() == own.symbols().count() == own.file_tokens().count() == own.meaningful().count() == 0
+
+
+def test_pieces_in_arrow_equal_the_columns(spark):
+    """Parts that workers describe equal those of piece_parts; the text is read once for parts and hunks."""
+    from diffloom.operators.piece_hunks import describe_pieces
+    from diffloom.operators.pieces import part_sums, piece_parts
+
+    rng = random.Random(8)
+    odd = ["+++ b/late.py\tx", "+++ /dev/null", "Binary files a and b differ", "--- ", "+++ ", "++++", "----", "", "+\x0bx", "- y", "@@ -٣ +1 @@ z"]
+    texts = ["\n".join(rng.choices(CODE + odd, k=rng.randint(0, 25))) + rng.choice(["", "\n", "\r\n"]) for _ in range(300)]
+    rows = [(str(i % 40), i, text) for i, text in enumerate([*texts, None, "", "\n", "\n\n"])]
+    table = spark.createDataFrame(rows, "patch_id string, piece_no long, content string")
+    native, own = piece_parts(table), part_sums(describe_pieces(table).drop("states"))
+    assert own.dtypes == native.dtypes
+    assert sorted(map(str, own.collect())) == sorted(map(str, native.collect()))
